@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sedimark.llm.bpe import encode_table
 from sedimark.llm.mixing import mix
+from sedimark.llm.neighbours import most_similar, similar_pairs
 from sedimark.llm.splitting import oversized, split_oversized
 from sedimark.plans.registry import Registry, table
 
@@ -56,3 +57,16 @@ def p9_mix(spark, d):
 def p9_shares(spark, d):
     """The share each source was to have and the share it reached."""
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
+
+
+@registry.query()
+def p7_found(spark, d):
+    """Pairs of similarity 0.85 or more of which one is among the other's ten nearest."""
+    return similar_pairs(table(spark, d, "chunk_vectors"))
+
+
+@registry.query()
+def p7_degree(spark, d):
+    """How often vectors are among others' ten nearest, by number of times."""
+    near = most_similar(table(spark, d, "chunk_vectors"))
+    return near.groupBy("neighbour").agg(F.count(F.lit(1)).alias("times")).groupBy("times").agg(F.count(F.lit(1)).alias("vectors"))
