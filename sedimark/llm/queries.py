@@ -8,10 +8,30 @@ from sedimark.llm.bpe import encode_table
 from sedimark.llm.mixing import mix
 from sedimark.llm.neighbours import most_similar, similar_pairs
 from sedimark.llm.splitting import oversized, split_oversized
+from sedimark.llm.syntax import judge_files, rates
 from sedimark.plans.registry import Registry, table
 
 registry = Registry()
 
+
+@registry.query()
+def p2_found(spark, d):
+    """Files that are not valid in the language of their extension."""
+    return judge_files(table(spark, d, "code_chunks")).where("not valid").select("source")
+
+
+@registry.query()
+def p2_rates(spark, d):
+    """Invalid files per scope and language."""
+    return rates(judge_files(table(spark, d, "code_chunks")))
+
+
+@registry.query()
+def p2_failures(spark, d):
+    """Where invalid files stop making sense, and why."""
+    return judge_files(table(spark, d, "code_chunks")).where("not valid").select("source", "language", "line", "col", "cause")
+
+
 _OVER = "length(text) > 4000 or length(text) - length(replace(text, chr(10), '')) + case when text = '' or right(text, 1) = chr(10) then 0 else 1 end > 50"
 
 
