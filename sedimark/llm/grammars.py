@@ -7,6 +7,7 @@ A lexer gives a string of token characters, the tokens that begin a line, and on
 from __future__ import annotations
 
 import re
+from itertools import accumulate
 
 from sedimark.llm.peg import END, Grammar, Tokens
 
@@ -41,7 +42,9 @@ _JS_PUNCT = "... => ?. ?? ??= && || &&= ||= ** **= ++ -- += -= *= /= %= &= |= ^=
 _REGEX = r"/(?![*/])(?:\\.|\[(?:\\.|[^\]\\\n])*\]|[^/\\\[\n])+/[A-Za-z]*"
 _JS_TOKEN = re.compile(
     r"(?:[^\S\n]|//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/)*+"
-    r"(\n|[A-Za-z_$\u0080-\U0010ffff][\w$‌‍]*|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'|`"
+    r"(\n|[A-Za-z_$\u0080-\U0010ffff][\w$‌‍]*|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*'"
+    r"|`(?:[^`\\$]|\\[\s\S]|\$(?!\{)|\$\{[^{}`\"'/\\]*\})*`|`"
+    rf"|(?:(?<=[=(,:\[!&|?;] )|(?<=[(,\[!])){_REGEX}"
     r"|0[xX][\da-fA-F_]+n?|0[bB][01_]+n?|0[oO][0-7_]+n?|(?:\d[\d_]*\.?[\d_]*|\.\d[\d_]*)(?:[eE][+-]?\d+)?n?|\#[A-Za-z_$][\w$]*"
     r"|\.\.\.|=>|\?\?=|\?\?|\?\.(?!\d)|&&=|\|\|=|&&|\|\||\*\*=|\*\*|\+\+|--|===|!==|==|!=|<<=|<<|<=|>=|[-+*%&|^]=|/=|[-+*/%&|^!~?:=<>()\[\]{};,.@#]|[\s\S]|\Z)"
 )
@@ -198,20 +201,27 @@ _UNARY = "! ~ + - ++ -- typeof void delete".split()
 _BEFORE_REGEX = frozenset("( , = : [ ! & | ? { } ; + - * % ~ ^ < > => && || ?? ... == != === !== <= >= += -= *= %= return typeof instanceof in of new delete void throw case do else yield await".split())
 
 
-class _Template(dict):
-    """Token spelling -> character; names, numbers and strings are classified once per spelling."""
+class _Kinds(dict):
+    """Token spelling -> character; names, numbers, strings and templates are classified once per spelling."""
 
     def __init__(self, owner: EcmaScript) -> None:
         super().__init__({x: owner.tokens.code(x) for x in [*_JS_RESERVED, *_JS_SOFT, *_JS_PUNCT]})
-        self.fixed = len(self)
+        self["\n"], self[""] = "\n", ""
+        self.fixed, self.owner = len(self), owner
         code = owner.tokens.code
-        self.kinds = code("NAME"), code("NUMBER"), code("STRING"), code("PRIVATE"), code("ERROR")
+        self.kinds = code("NAME"), code("NUMBER"), code("STRING"), code("PRIVATE"), code("ERROR"), code("TEMPLATE")
+        self.regex = code("REGEX")
 
     def __missing__(self, token: str) -> str:
         first = token[0]
-        name, number, string, private, error = self.kinds
+        name, number, string, private, error, template = self.kinds
         if first in "\"'":
             kind = string if len(token) > 1 else error
+        elif first == "/":
+            return self.regex
+        elif first == "`":
+            holes = _HOLE.findall(token) if len(token) > 1 else ["("]
+            return template if all(self.owner.expression(h) for h in holes) else error
         elif first.isdigit() or first == "." and len(token) > 1 and token[1].isdigit():
             kind = number
         elif first == "#" and len(token) > 1:
@@ -227,6 +237,9 @@ class _Template(dict):
         return kind
 
 
+_HOLE = re.compile(r"(?<!\\)\$\{([^{}]*)\}")
+
+
 class EcmaScript(Language):
     """JavaScript modules or TypeScript, with or without JSX."""
 
@@ -246,54 +259,54 @@ class EcmaScript(Language):
             "ARROWSTART": ["(", "<", "NAME", *_JS_SOFT],
             "EXPRSTART": ["NAME", "NUMBER", "STRING", "TEMPLATE", "REGEX", "JSXBEGIN", "@", *starts, *_JS_SOFT],
         }
-        self.kind = _Template(self)
+        self.kind = _Kinds(self)
         self.grammar = Grammar(text, self.tokens, "Program", sets)
         code = self.tokens.code
         self.c = {x: code(x) for x in ("TEMPLATE", "REGEX", "ERROR", "JSXBEGIN", "JSXSELFEND", "JSXOPENEND", "JSXCLOSE", "JSXNAME", "JSXEQ", "JSXSTRING", "JSXLB", "JSXRB", "JSXTEXT")}
 
     def lex(self, text, places=False):
+        start = 1 if text[:1] == "\ufeff" else 0
+        if text.startswith("#!", start):
+            start = (text.find("\n", start) + 1) or len(text)
+        if not self.jsx and not places:
+            tokens = _JS_TOKEN.findall(text, start)
+            if not self._in_context(tokens):
+                # nothing depends on context: all tokens at once, then the line breaks out of them
+                parts = [x for x in "".join(map(self.kind.__getitem__, tokens)).split("\n") if x]
+                lines = [0, *accumulate(map(len, parts))]
+                return "".join(parts) + END, lines, None
         kinds: list[str] = []
         lines: list[int] = []
         at: list[int] = []
-        start = 1 if text[:1] == "﻿" else 0
-        if text.startswith("#!", start):
-            start = (text.find("\n", start) + 1) or len(text)
-        if not self.jsx and "`" not in text and "/" not in _no_comments(text):
-            # nothing depends on context: all tokens at once
-            kind = self.kind
-            if places:
-                fresh = True
-                for m in _JS_TOKEN.finditer(text, start):
-                    if m.group(1) == "\n":
-                        fresh = True
-                    elif m.group(1):
-                        if fresh:
-                            lines.append(len(kinds))
-                            fresh = False
-                        kinds.append(kind[m.group(1)])
-                        at.append(m.start(1))
-            else:
-                tokens = _JS_TOKEN.findall(text, start)
-                fresh = True
-                add = kinds.append
-                for token in tokens:
-                    if token == "\n":
-                        fresh = True
-                    elif token:
-                        if fresh:
-                            lines.append(len(kinds))
-                            fresh = False
-                        add(kind[token])
-            lines.append(len(kinds))
-            kinds.append(END)
-            at.append(len(text))
-            return "".join(kinds), lines, at if places else None
         self._scan(text, start, kinds, lines, at)
         lines.append(len(kinds))
         kinds.append(END)
         at.append(len(text))
         return "".join(kinds), lines, at if places else None
 
+    def _in_context(self, tokens: list[str]) -> bool:
+        """Whether some token can only be told by what is before it: a slash that may begin a pattern, a nested template."""
+        if "`" in tokens:
+            return True
+        for slash in ("/", "/="):
+            at = -1
+            while True:
+                try:
+                    at = tokens.index(slash, at + 1)
+                except ValueError:
+                    break
+                before = at - 1
+                while before >= 0 and tokens[before] == "\n":
+                    before -= 1
+                if before < 0 or tokens[before] in _BEFORE_REGEX:
+                    return True
+        return False
+
+    def expression(self, text: str) -> bool:
+        """Whether ``text`` is one expression."""
+        kinds, _, _ = self.lex(text)
+        return self._expression(kinds[:-1])
+
     def _scan(self, text: str, i: int, kinds: list[str], lines: list[int], at: list[int]) -> None:
         """Tokens one by one, with a stack for what is nested: blocks, template holes and elements."""
         kind, c, n = self.kind, self.c, len(text)
@@ -344,6 +357,10 @@ class EcmaScript(Language):
                 break
             place = m.start(1)
             i = m.end()
+            if token[0] in "`/" and len(token) > 1 and token != "/=":
+                put(kind[token], place)
+                last = ")"
+                continue
             if token == "`":
                 begin = len(kinds)
                 put(c["TEMPLATE"], place)
@@ -477,13 +494,6 @@ class EcmaScript(Language):
         return i + 1, False
 
 
-_COMMENTS_OR_STRINGS = re.compile(r"//[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'")
-
-
-def _no_comments(text: str) -> str:
-    return _COMMENTS_OR_STRINGS.sub("", text) if "/" in text else ""
-
-
 # -- Python ------------------------------------------------------------------------------------------------------------
 
 _PY_KEYWORDS = "False None True and as assert async await break class continue def del elif else except finally for from global if import in is lambda nonlocal not or pass raise return try while with yield".split()
@@ -594,6 +604,33 @@ class _PyKinds(dict):
         return kind
 
 
+class _QuickKinds(dict):
+    """Like _PyKinds for the line-wise lexer, whose tokens hold whole format strings and line breaks."""
+
+    def __init__(self, owner: Python) -> None:
+        super().__init__(owner.kind)
+        self.owner, self[""] = owner, ""
+
+    def __missing__(self, token: str) -> str:
+        if token[0] == "\n" or token[0] == "\r" and len(token) > 1:
+            kind = "\n"
+        elif token[-1] in "\"'" and (m := _PY_FORMAT.match(token)):
+            kind = self.owner.c["STRING"] if self.owner._fstring(token, m.end(), "r" in m.group().lower()) == len(token) else self.owner.c["ERROR"]
+        else:
+            return self.owner.kind[token]
+        if len(self) > 300_000:
+            self.clear()
+            self.update(self.owner.kind)
+            self[""] = ""
+        self[token] = kind
+        return kind
+
+
+_PY_FORMAT = re.compile(r"(?:[rR]?[fFtT]|[fFtT][rR])(?=[\"'])")
+#: the same tokens with format strings whole, where no quote of their own kind is nested in them
+_PY_QUICK = re.compile(_PY_TOKEN.pattern.replace("(?:[rR]?[fFtT]|[fFtT][rR])(?=[\"'])|" + _PY_PREFIX, r"(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?"))
+
+
 class Python(Language):
     """Python 3."""
 
@@ -609,8 +646,12 @@ class Python(Language):
         self.grammar = Grammar(_PY_GRAMMAR, self.tokens, "File", sets)
         code = self.tokens.code
         self.c = {x: code(x) for x in ("NEWLINE", "INDENT", "DEDENT", "STRING", "ERROR")}
+        self.quick = _QuickKinds(self)
+        self.brackets = [code(x) for x in "([{"], [code(x) for x in ")]}"]
 
     def lex(self, text, places=False):
+        if not places and "\x00" not in text and (quick := self._quick(text)) is not None:
+            return quick
         kinds: list[str] = []
         lines: list[int] = [0]
         at: list[int] = []
@@ -697,6 +738,63 @@ class Python(Language):
         place(n)
         return "".join(kinds), sorted(set(lines)), at if places else None
 
+    def _quick(self, text: str) -> tuple[str, list[int], None] | None:
+        """Line by line instead of token by token; None where that does not do (uneven indentation, odd brackets, tabs,
+        format strings that nest quotes, line ends within brackets before a dedent)."""
+        tokens = _PY_QUICK.findall(text, 1 if text[:1] == "\ufeff" else 0)
+        first = re.match(r"\ufeff?([ \t\f]*)", text).group(1)
+        breaks = [x for x in tokens if x and (x[0] == "\n" or x[0] == "\r" and len(x) > 1)]
+        parts = "".join(map(self.quick.__getitem__, tokens)).split("\n")
+        newline, indent, dedent = self.c["NEWLINE"], self.c["INDENT"], self.c["DEDENT"]
+        out: list[str] = []
+        lines: list[int] = []
+        levels, size, depth, pending = [0], 0, 0, ""
+        opening, closing = self.brackets
+        for white, part in zip([first, *breaks], parts):
+            if not part:
+                continue
+            if depth:
+                pending += part
+            else:
+                white = white.lstrip("\r\n")
+                if "\t" in white or "\f" in white:
+                    return None
+                width = len(white)
+                lead = ""
+                if width != levels[-1]:
+                    if width > levels[-1]:
+                        levels.append(width)
+                        lead = indent
+                    else:
+                        while width < levels[-1]:
+                            levels.pop()
+                            lead += dedent
+                        if width != levels[-1]:
+                            return None
+                if lead:
+                    out.append(lead)
+                    size += len(lead)
+                lines.append(size)
+                pending = part
+            for x in opening:
+                depth += part.count(x)
+            for x in closing:
+                depth -= part.count(x)
+            if depth < 0:
+                return None
+            if not depth:
+                out.append(pending + newline)
+                size += len(pending) + 1
+        if depth or self.c["ERROR"] in "".join(out):
+            return None
+        out.append(dedent * (len(levels) - 1))
+        size += len(levels) - 1
+        if not lines or lines[0] != 0:
+            lines.insert(0, 0)
+        if lines[-1] != size:
+            lines.append(size)
+        return "".join(out) + END, lines, None
+
     def _fstring(self, text: str, i: int, raw: bool) -> int:
         """The end of a format string whose quote is at ``i``; -1 where it is malformed."""
         quote = text[i : i + 3] if text[i : i + 3] in ('"""', "'''") else text[i]
@@ -871,7 +969,7 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 
 _HTML_TOKEN = re.compile(
     r"<!--(?:[^-]|-(?!->))*-->|<!DOCTYPE[^>]*>|<!\[CDATA\[[\s\S]*?\]\]>|<\?[^>]*>"
-    r"|<(/?)([A-Za-z][^\s/>\x00\"'<=]*)((?:\s+|/(?!>)|(?:[^\s\"'<>/=\x00]+)(?:\s*=\s*(?:\"[^\"]*\"|'[^']*'|[^\s\"'=<>`]+))?)*)\s*(/?)>"
+    r"|<(/?)([A-Za-z][^\s/>\x00\"'<=]*)((?:\s++|/(?!>)|[^\s\"'<>/=\x00]++(?:\s*+=\s*+(?:\"[^\"]*+\"|'[^']*+'|[^\s\"'=<>`]++))?+)*+)(/?)>"
     r"|\{\{[\s\S]*?\}\}|[^<{]+|[\s\S]",
     re.I,
 )
