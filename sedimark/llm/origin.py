@@ -35,6 +35,7 @@ CONVENTIONAL = {
     "dir:thirdparty": VENDORED, "dir:3rdparty": VENDORED, "dir:3rd-party": VENDORED, "dir:vendored": VENDORED, "dir:vendor": VENDORED,
     "dir:vendors": VENDORED, "dir:external-libs": VENDORED, "dir:externals": VENDORED, "dir:extern": VENDORED, "dir:site-packages": VENDORED,
     "dir:__generated__": GENERATED, "dir:generated": GENERATED, "dir:codegen-output": GENERATED, "dir:autogen": GENERATED, "dir:_generated": GENERATED,
+    "end:_pb2": GENERATED, "end:.pb": GENERATED, "end:_generated": GENERATED, "end:-generated": GENERATED, "end:_pb2_grpc": GENERATED,
     "infix:min": MINIFIED, "infix:gen": GENERATED, "infix:generated": GENERATED, "infix:pb": GENERATED, "infix:g": GENERATED, "infix:bundle": MINIFIED,
 }
 
@@ -126,6 +127,8 @@ _PACKAGE = re.compile(
     re.I | re.M,
 )
 _LITERALS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b\d[\d._eExXa-fA-F+]*n?\b|\b(?:true|false|null|None|True|False|undefined)\b")
+#: a cheap look before all literals are taken out: comments, then an assignment whose value begins with a literal or bracket
+_ASSIGNED = re.compile(r"(?:\s|//[^\n]*|#[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"\"\"[\s\S]*?\"\"\")*+(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+)?(?:module\.exports|[A-Za-z_$][\w$]*)?(?:\s*:\s*[\w$<>\[\], |]+)?\s*=?\s*[\[({\"'`\d-]")
 _FRAME = re.compile(r"\A(?:\s*(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+)?(?:module\.exports|[A-Za-z_$][\w$]*)?(?:\s*:\s*[\w$<>\[\], |]+)?\s*=?\s*[\[\](){},:;.\s+*-]*(?:\bas\s+const\b)?[\s;,]*){1,6}\Z")
 _SERIAL = re.compile(r"[A-Za-z_]*?(\d+)[A-Za-z]*\b")
 _SERIAL_NAME = re.compile(r"^[^\S\n]*(?:export\s+)?(?:(?:interface|class|function|def|const|enum|type|model)\s+)?\.?([A-Za-z_$][\w$-]*?)(\d+)([A-Za-z_]*)\b", re.M)
@@ -169,12 +172,8 @@ def dense(text: str) -> bool:
 
 
 def bulk(text: str, ext: str) -> bool:
-    """Nothing but data: an assignment or two whose right side is literals, at least a thousand characters of them."""
-    if len(text) < 600 or ext in ("css", "html", "prisma"):
-        return False
-    head = text[:4000]
-    sample = _LITERALS.sub("", head)
-    if len(sample) > 0.62 * len(head) and not re.match(r"\s*(?:export\s+)?(?:const|let|var)?\s*[\w$]+\s*=\s*[\"'`]", head):
+    """Nothing but data: an assignment or a few whose right sides are literals, at least 400 characters of them."""
+    if len(text) < 600 or ext in ("css", "html", "prisma") or not _ASSIGNED.match(text):
         return False
     bare = _COMMENTS.get(ext, _C_LIKE).sub(lambda m: "" if m.group(1) else m.group(), text)
     literals = _LITERALS.sub("", bare)
@@ -193,6 +192,7 @@ def serial(text: str) -> bool:
 
 
 def evidence(text: str, ext: str, scope: str) -> tuple[str, list[str]]:
+    text = text.removeprefix("\ufeff")
     kind, names = notices(text, ext, scope)
     if not kind:
         kind = MINIFIED if dense(text) else DATA if bulk(text, ext) else GENERATED if serial(text) else ""
@@ -221,17 +221,19 @@ def read_evidence(chunks: DataFrame) -> DataFrame:
 
 
 def path_features(source) -> tuple:
-    """The patterns of a path: folder names (those of the first two levels marked as such), nested pairs, infixes."""
+    """The patterns of a path: folder names (those of the first two levels marked as such), nested pairs, infixes, ends of stems."""
     parts = F.split(source, "/")
     dirs = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     named = F.transform(dirs, lambda x, i: F.concat(F.when(i < 2, "top:").otherwise("dir:"), x))
     pairs = F.transform(F.slice(dirs, 2, 99), lambda x, i: F.concat(F.lit("pair:"), F.element_at(dirs, i + 1), F.lit("/"), x))
     infix = F.split(F.element_at(parts, -1), r"\.")
     infixes = F.transform(F.slice(infix, 2, F.greatest(F.size(infix) - 2, F.lit(0))), lambda x: F.concat(F.lit("infix:"), x))
-    return F.array_distinct(F.concat(named, pairs, infixes))
+    end = F.regexp_extract(infix[0], r"([-_][A-Za-z0-9]+)$", 1)
+    ends = F.when(end != "", F.array(F.concat(F.lit("end:"), end))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(named, pairs, infixes, ends))
 
 
-def mined_patterns(seen: DataFrame, support: int = 3, precision: float = 0.5, refuted_at: int = 20, refuted_below: float = 0.25) -> DataFrame:
+def mined_patterns(seen: DataFrame, support: int = 3, precision: float = 0.8, refuted_at: int = 20, refuted_below: float = 0.25) -> DataFrame:
     """``feature, files, marked, kind``: the path patterns that stand for a kind of file, from evidence and convention.
 
     ``seen`` is the evidence table. Per pattern the counts are combined before the shuffle, so a folder name that a
@@ -240,13 +242,13 @@ def mined_patterns(seen: DataFrame, support: int = 3, precision: float = 0.5, re
     names = seen.select(F.explode("packages").alias("word")).where(F.length("word") > 2).distinct()
     words = F.array_distinct(F.concat(F.slice(F.split("source", "/"), 4, 99), F.split(F.element_at(F.split("source", "/"), -1), "[-_.]")))
     carrying = seen.where("kind = ''").select("source", F.explode(words).alias("word")).join(names, "word", "left_semi").select("source").distinct().withColumn("carries", F.lit(VENDORED))
-    marked = seen.join(carrying, "source", "left").select(F.explode(path_features(F.col("source"))).alias("feature"), F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("carries")).alias("k"))
+    marked = seen.join(carrying, "source", "left").select(F.explode(path_features(F.col("source"))).alias("feature"), F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("carries")).alias("k"), F.substring_index("source", "/", 1).alias("scope"))
     count = lambda c: F.sum(c.cast("int"))
     kinds = [GENERATED, MINIFIED, VENDORED, DATA]
-    scored = marked.groupBy("feature").agg(F.count(F.lit(1)).alias("files"), F.count("k").alias("marked"), *(count(F.coalesce(F.col("k") == k, F.lit(False))).alias(k) for k in kinds))
+    scored = marked.groupBy("feature").agg(F.count(F.lit(1)).alias("files"), F.count("k").alias("marked"), (F.min("scope") != F.max("scope")).alias("several"), *(count(F.coalesce(F.col("k") == k, F.lit(False))).alias(k) for k in kinds))
     share = F.col("marked") / F.col("files")
     most = F.greatest(*kinds)
-    mined = (F.col("files") >= support) & (share >= precision)
+    mined = (F.col("files") >= support) & (share >= precision) & F.col("several")  # one repository's folder is no rule for others
     known = F.lit(None).cast("string")
     for feature, kind in CONVENTIONAL.items():
         known = F.when(F.col("feature") == feature, kind).otherwise(known)

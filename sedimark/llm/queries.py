@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from sedimark.llm.bpe import encode_table
 from sedimark.llm.mixing import mix
 from sedimark.llm.neighbours import most_similar, similar_pairs
+from sedimark.llm.origin import judge_origin
 from sedimark.llm.splitting import oversized, split_oversized
 from sedimark.llm.syntax import judge_files, rates
 from sedimark.plans.registry import Registry, table
@@ -32,6 +33,19 @@ def p2_failures(spark, d):
     return judge_files(table(spark, d, "code_chunks")).where("not valid").select("source", "language", "line", "col", "cause")
 
 
+@registry.query()
+def p3_found(spark, d):
+    """Files written by a program, minified, copied from another project or nothing but data."""
+    return judge_origin(table(spark, d, "code_chunks")).where("kind is not null").select("source")
+
+
+@registry.query()
+def p3_kinds(spark, d):
+    """Files per scope and kind; hand-written ones have the kind "hand"."""
+    judged = judge_origin(table(spark, d, "code_chunks"))
+    return judged.groupBy("scope", F.coalesce("kind", F.lit("hand")).alias("kind")).agg(F.count(F.lit(1)).alias("files"))
+
+
 _OVER = "length(text) > 4000 or length(text) - length(replace(text, chr(10), '')) + case when text = '' or right(text, 1) = chr(10) then 0 else 1 end > 50"
 
 
