@@ -8,6 +8,7 @@ from sedimark.llm.bpe import encode_table
 from sedimark.llm.mixing import mix
 from sedimark.llm.neighbours import most_similar, similar_pairs
 from sedimark.llm.origin import judge_origin
+from sedimark.llm.residue import find_residue
 from sedimark.llm.splitting import oversized, split_oversized
 from sedimark.llm.syntax import judge_files, rates
 from sedimark.plans.registry import Registry, table
@@ -104,3 +105,18 @@ def p7_degree(spark, d):
     """How often vectors are among others' ten nearest, by number of times."""
     near = most_similar(table(spark, d, "chunk_vectors"))
     return near.groupBy("neighbour").agg(F.count(F.lit(1)).alias("times")).groupBy("times").agg(F.count(F.lit(1)).alias("vectors"))
+
+
+@registry.query()
+def p10_found(spark, d):
+    """Documents with unfilled places, and those that are filler, an error message or a notice."""
+    return find_residue(table(spark, d, "documents")).select("doc_id")
+
+
+@registry.query()
+def p10_kept(spark, d):
+    """Documents that remain per source, and those left out per kind."""
+    documents = table(spark, d, "documents")
+    out = find_residue(documents).select("doc_id", "kind")
+    judged = documents.select("doc_id", "source").join(out, "doc_id", "left")
+    return judged.groupBy("source", F.coalesce("kind", F.lit("kept")).alias("kind")).agg(F.count(F.lit(1)).alias("documents"))
