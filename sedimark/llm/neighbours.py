@@ -132,17 +132,21 @@ def _lists(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pa.RecordBa
 
 
 def _merge_lists(lists: DataFrame, k: int) -> DataFrame:
-    """Several partial lists per node as one list of its k best, without repeats: ``v, n, s``."""
+    """Several partial lists per node as one list of its k best, without repeats: ``v, n, s, f``.
+
+    Rows with ``old`` true are the graph so far; ``f`` says of each entry whether it is new against it.
+    """
     pairs = F.arrays_zip(F.col("s").alias("s"), F.col("n").alias("n"))
-    joined = lists.select("v", pairs.alias("p")).groupBy("v").agg(F.flatten(F.collect_list("p")).alias("p"))
+    joined = lists.select("v", pairs.alias("p"), F.when(F.col("old"), F.col("n")).alias("o")).groupBy("v").agg(F.flatten(F.collect_list("p")).alias("p"), F.first("o", ignorenulls=True).alias("o"))
     best = F.slice(F.reverse(F.array_sort(F.array_distinct("p"))), 1, k)
-    return joined.select("v", best.alias("p")).select("v", F.col("p.n").alias("n"), F.col("p.s").alias("s"))
+    kept = joined.select("v", best.alias("p"), F.coalesce("o", F.array().cast("array<bigint>")).alias("o"))
+    return kept.select("v", F.col("p.n").alias("n"), F.col("p.s").alias("s"), F.transform("p.n", lambda x: ~F.array_contains("o", x)).alias("f"))
 
 
 def knn_graph(
-    nodes: DataFrame, dim: int, k: int, trees: int = 4, leaf_rows: int = 600, leaf_cap: int = 1500, sample_rows: int = 20_000, rounds: int = 6, delta: float = 0.01, part: int = 48, seed: int = 5
+    nodes: DataFrame, dim: int, k: int, trees: int = 8, leaf_rows: int = 600, leaf_cap: int = 1500, sample_rows: int = 20_000, rounds: int = 5, delta: float = 0.02, join_k: int = 10, part: int = 48, seed: int = 5
 ) -> DataFrame:
-    """The graph ``v, n, s`` of distinct directions: each node's k nearest found (fewer where there are fewer nodes).
+    """The graph ``v, n, s, f`` of distinct directions: each node's k nearest found (fewer where there are fewer nodes).
 
     ``nodes``: ``id, v``, materialised by the caller.
     """
@@ -179,9 +183,9 @@ def knn_graph(
 
     planted = nodes.select("id", "v").mapInArrow(plant, "tree int, leaf long, id long, v array<float>")
     leaves = planted.repartition(width * 2, "tree", "leaf").sortWithinPartitions("tree", "leaf")
-    graph = cut_lineage(_merge_lists(leaves.mapInArrow(compare, _LIST), k))
+    graph = cut_lineage(_merge_lists(leaves.mapInArrow(compare, _LIST).withColumn("old", F.lit(False)), k))
     for _ in range(rounds):
-        graph, changed = _descend(graph, nodes, dim, k, part, width)
+        graph, changed = _descend(graph, nodes, dim, k, join_k, part, width)
         if changed <= delta * k * max(n, 1):
             break
     return graph
@@ -210,20 +214,26 @@ def _groups(batches: Iterator[pa.RecordBatch], dim: int, keys: tuple[str, ...])
         yield current, np.concatenate([x for x, _ in held]), np.concatenate([x for _, x in held])
 
 
-def _descend(graph: DataFrame, nodes: DataFrame, dim: int, k: int, part: int, width: int) -> tuple[DataFrame, int]:
-    """One round: local joins around every node. Returns the new graph and how many neighbours are new."""
+def _descend(graph: DataFrame, nodes: DataFrame, dim: int, k: int, join_k: int, part: int, width: int) -> tuple[DataFrame, int]:
+    """One round: local joins around every node whose list has new entries. Returns the graph and its number of new entries.
+
+    Pairs of which neither entry is new were compared in an earlier round and are left out, and so are lists without
+    a new entry. The ``join_k`` nearest of each list take part; a node that is among another's nearest takes part in
+    its list in any case.
+    """
     worst = F.when(F.size("s") >= k, F.element_at("s", -1)).otherwise(F.lit(-2.0))
-    known = graph.select(F.col("v").alias("id"), worst.alias("w"), "n")
+    known = graph.select(F.col("v").alias("id"), worst.alias("w"))
+    edges = graph.select("v", F.explode(F.slice(F.arrays_zip("n", "f"), 1, join_k)).alias("e")).select("v", F.col("e.n").alias("n"), F.col("e.f").alias("new"))
     # u's list: its neighbours (forward), and the nodes that have u as a neighbour (reverse), in parts
-    forward = graph.select(F.col("v").alias("u"), F.explode("n").alias("id"), F.lit(True).alias("f"))
-    reverse = graph.select(F.explode("n").alias("u"), F.col("v").alias("id"), F.lit(False).alias("f"))
-    admirers = reverse.groupBy("u").agg(F.count(F.lit(1)).alias("c")).withColumn("parts", F.ceil(F.col("c") / part).cast("int"))
-    parted = admirers.where("parts > 1").select("u", "parts")
-    own = forward.join(parted, "u", "left").withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1)))
-    theirs = reverse.join(parted, "u", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))).cast("int"))
-    members = own.select("u", "part", "id", "f").unionByName(theirs.select("u", "part", "id", "f")).groupBy("u", "part", "id").agg(F.max("f").alias("f"))
-    rows = members.join(nodes.select("id", "v"), "id").join(known.select("id", "w"), "id")
-    rows = rows.select("u", "part", "id", "f", "w", "v").repartition(width * 2, "u", "part").sortWithinPartitions("u", "part")
+    forward = edges.select(F.col("v").alias("u"), F.col("n").alias("id"), F.lit(True).alias("f"), "new")
+    reverse = edges.select(F.col("n").alias("u"), F.col("v").alias("id"), F.lit(False).alias("f"), "new")
+    lists = forward.unionByName(reverse).groupBy("u", "id").agg(F.max("f").alias("f"), F.max("new").alias("new"))
+    about = lists.groupBy("u").agg(F.count_if(~F.col("f")).alias("c"), F.max("new").alias("any")).where("any").select("u", F.greatest(F.ceil(F.col("c") / part).cast("int"), F.lit(1)).alias("parts"))
+    listed = lists.join(about, "u")
+    one = F.array(F.pmod(F.xxhash64("id"), F.col("parts")).cast("int"))
+    members = listed.withColumn("part", F.explode(F.when(F.col("f"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(one)))
+    rows = members.select("u", "part", "id", "f", "new").join(nodes.select("id", "v").join(known, "id"), "id")
+    rows = rows.select("u", "part", "id", "f", "w", "new", "v").repartition(width * 2, "u", "part").sortWithinPartitions("u", "part")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vs: list[np.ndarray] = []
@@ -245,9 +255,9 @@ def _descend(graph: DataFrame, nodes: DataFrame, dim: int, k: int, part: int, wi
             return pa.RecordBatch.from_arrays([pa.array(v[cuts]), pa.ListArray.from_arrays(offsets, pa.array(n)), pa.ListArray.from_arrays(offsets, pa.array(s))], ["v", "n", "s"])
 
         held = 0
-        for _, ids, unit, fwd, worst in _local_lists(batches, dim):
+        for _, ids, unit, fwd, worst, new in _local_lists(batches, dim):
             sims = np.round(unit @ unit.T, EXACT)
-            better = (sims > worst[:, None] + 1e-12) & (fwd[:, None] | fwd[None, :])
+            better = (sims > worst[:, None] + 1e-12) & (fwd[:, None] | fwd[None, :]) & (new[:, None] | new[None, :])
             np.fill_diagonal(better, False)
             a, b = np.nonzero(better)
             if len(a):
@@ -261,11 +271,9 @@ def _descend(graph: DataFrame, nodes: DataFrame, dim: int, k: int, part: int, wi
         if vs:
             yield emit()
 
-    proposed = cut_lineage(rows.mapInArrow(join, _LIST))
-    news = proposed.join(graph.select("v", F.col("n").alias("old")), "v").select(F.size(F.array_except("n", "old")).alias("c")).agg(F.sum("c")).first()[0] or 0
-    if not news:
-        return graph, 0
-    return cut_lineage(_merge_lists(graph.unionByName(proposed), k)), news
+    proposed = rows.mapInArrow(join, _LIST).withColumn("old", F.lit(False))
+    merged = cut_lineage(_merge_lists(graph.select("v", "n", "s", F.lit(True).alias("old")).unionByName(proposed), k))
+    return merged, merged.agg(F.sum(F.size(F.filter("f", lambda x: x)))).first()[0] or 0
 
 
 def _local_lists(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple]:
@@ -274,8 +282,8 @@ def _local_lists(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple]
     for batch in batches:
         if not batch.num_rows:
             continue
-        u, part, ids, fwd, worst = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(5))
-        unit = _matrix(batch.column(5), dim)
+        u, part, ids, fwd, worst, new = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(6))
+        unit = _matrix(batch.column(6), dim)
         cuts = np.flatnonzero((u[1:] != u[:-1]) | (part[1:] != part[:-1])) + 1
         for a, b in zip([0, *cuts], [*cuts, len(u)]):
             key = (u[a], part[a])
@@ -283,7 +291,7 @@ def _local_lists(batches: Iterator[pa.RecordBatch], dim: int) -> Iterator[tuple]
                 yield (current, *held[0]) if len(held) == 1 else (current, *(np.concatenate(x) for x in zip(*held)))
                 held = []
             current = key
-            held.append((ids[a:b], unit[a:b], fwd[a:b].astype(bool), worst[a:b]))
+            held.append((ids[a:b], unit[a:b], fwd[a:b].astype(bool), worst[a:b], new[a:b].astype(bool)))
     if held:
         yield (current, *(np.concatenate(x) for x in zip(*held)))
 
