@@ -500,9 +500,10 @@ _PY_KEYWORDS = "False None True and as assert async await break class continue d
 _PY_SOFT = "match case type _".split()
 _PY_PUNCT = "** **= // //= << <<= >> >>= == != <= >= -> += -= *= /= %= @= &= |= ^= := ... + - * / % @ & | ^ ~ < > = ( ) [ ] { } , : ; .".split()
 _PY_PREFIX = r"(?:[rR][bB]?|[bB][rR]?|[uU])?"
+_PY_HEAD = r"(?:[rR]?[fFtT]|[fFtT][rR])(?=[\"'])|"
 _PY_TOKEN = re.compile(
     r"(?:[ \t\f]|\\\r?\n|#[^\n]*)*+"
-    rf"(\r?\n[ \t\f]*|(?:[rR]?[fFtT]|[fFtT][rR])(?=[\"'])|{_PY_PREFIX}(?:\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*')"
+    rf"(\r?\n[ \t\f]*|{_PY_HEAD}{_PY_PREFIX}(?:\"\"\"(?:[^\\\"]|\\[\s\S]|\"(?!\"\"))*\"\"\"|'''(?:[^\\']|\\[\s\S]|'(?!''))*'''|\"(?:[^\"\\\n]|\\(?:\r\n|[\s\S]))*\"|'(?:[^'\\\n]|\\(?:\r\n|[\s\S]))*')"
     r"|[A-Za-z_\u0080-\U0010ffff]\w*|0[xX](?:_?[\da-fA-F])+(?!\w)|0[bB](?:_?[01])+(?!\w)|0[oO](?:_?[0-7])+(?!\w)|(?:\d(?:_?\d)*\.?(?:\d(?:_?\d)*)?|\.\d(?:_?\d)*)(?:[eE][+-]?\d(?:_?\d)*)?[jJ]?(?![A-Za-z_0-9])"
     r"|\*\*=|//=|<<=|>>=|\.\.\.|\*\*|//|<<|>>|==|!=|<=|>=|->|:=|[-+*/%@&|^]=|[-+*/%@&|^~<>=()\[\]{},:;.]|[\s\S]|\Z)"
 )
@@ -628,7 +629,8 @@ class _QuickKinds(dict):
 
 _PY_FORMAT = re.compile(r"(?:[rR]?[fFtT]|[fFtT][rR])(?=[\"'])")
 #: the same tokens with format strings whole, where no quote of their own kind is nested in them
-_PY_QUICK = re.compile(_PY_TOKEN.pattern.replace("(?:[rR]?[fFtT]|[fFtT][rR])(?=[\"'])|" + _PY_PREFIX, r"(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?"))
+_PY_QUICK = re.compile(_PY_TOKEN.pattern.replace(_PY_HEAD + _PY_PREFIX, r"(?:[rR][bBfFtT]?|[bBfFtT][rR]?|[uU])?"))
+assert _PY_QUICK.pattern != _PY_TOKEN.pattern
 
 
 class Python(Language):

@@ -72,7 +72,7 @@ def parse_attributes(text: str) -> list[tuple[re.Pattern, str, bool | None]]:
     out = []
     for line in (text or "").splitlines():
         parts = line.split()
-        if not parts or parts[0].startswith(("#", "[", "!")):
+        if not parts or parts[0].startswith(("#", "[attr]", "!")):
             continue
         for attribute in parts[1:]:
             name = attribute.lstrip("-!").split("=", 1)[0]
@@ -128,8 +128,10 @@ _PACKAGE = re.compile(
 )
 _LITERALS = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|-?\b\d[\d._eExXa-fA-F+]*n?\b|\b(?:true|false|null|None|True|False|undefined)\b")
 #: a cheap look before all literals are taken out: comments, then an assignment whose value begins with a literal or bracket
-_ASSIGNED = re.compile(r"(?:\s|//[^\n]*|#[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"\"\"[\s\S]*?\"\"\")*+(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+)?(?:module\.exports|[A-Za-z_$][\w$]*)?(?:\s*:\s*[\w$<>\[\], |]+)?\s*=?\s*[\[({\"'`\d-]")
-_FRAME = re.compile(r"\A(?:\s*(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+)?(?:module\.exports|[A-Za-z_$][\w$]*)?(?:\s*:\s*[\w$<>\[\], |]+)?\s*=?\s*[\[\](){},:;.\s+*-]*(?:\bas\s+const\b)?[\s;,]*){1,6}\Z")
+_ASSIGNED = re.compile(r"(?:\s|//[^\n]*|#[^\n]*|/\*(?:[^*]|\*(?!/))*\*/|\"\"\"[\s\S]*?\"\"\")*+(?:export\s+)?(?:default\s+)?(?:(?:const|let|var)\s+)?(?:module\.exports|[A-Za-z_$][\w$]*)?(?:\s*+:\s*+[\w$<>\[\], |]++)?+\s*+=?\s*+[\[({\"'`\d-]")
+#: what data files hold none of: calls, functions, types, control flow
+_CODE = re.compile(r"=>|[\w$\])]\s*\(|\b(?:function|class|def|return|if|for|while|import|from|new|await|async|lambda|interface|type|enum)\b")
+_FRAME_CHARS = re.compile(r"[\w$\s\[\](){},:;.=+*<>|-]*\Z")
 _SERIAL = re.compile(r"[A-Za-z_]*?(\d+)[A-Za-z]*\b")
 _SERIAL_NAME = re.compile(r"^[^\S\n]*(?:export\s+)?(?:(?:interface|class|function|def|const|enum|type|model)\s+)?\.?([A-Za-z_$][\w$-]*?)(\d+)([A-Za-z_]*)\b", re.M)
 
@@ -177,7 +179,7 @@ def bulk(text: str, ext: str) -> bool:
         return False
     bare = _COMMENTS.get(ext, _C_LIKE).sub(lambda m: "" if m.group(1) else m.group(), text)
     literals = _LITERALS.sub("", bare)
-    return len(bare) - len(literals) > 400 and len(re.findall(r"[A-Za-z_$][\w$]*", literals)) <= 12 and bool(_FRAME.match(literals))
+    return len(bare) - len(literals) > 400 and len(re.findall(r"[A-Za-z_$][\w$]*", literals)) <= 12 and not _CODE.search(literals) and bool(_FRAME_CHARS.match(literals))
 
 
 def serial(text: str) -> bool:
