@@ -194,13 +194,12 @@ def _inside(folder, target):
     return F.array_join(F.aggregate(F.split(F.concat_ws("/", folder, target), "/"), F.array().cast("array<string>"), step), "/")
 
 
-SUFFIXES = ("", ".ts", ".tsx", ".js", ".jsx", "/index.ts", "/index.tsx", "/index.js", "/index.jsx")
-
-
 def code_references(relationships: DataFrame) -> DataFrame:
     """``ref, keys, at`` of an edge table, one row per ``id`` at its earliest ``recorded_at``; ``ref`` is ``(id, kind)``.
 
-    Keys are ``file:<path>``, ``class:<scope>/<name>`` and ``package:<name>``. Targets that are no references (style
+    Each has one key: ``file:<path as written>``, ``module:<path without its end>``, ``class:<scope>/<name>`` or
+    ``package:<name>``; that a path may stand for several files is left to the parents' keys, of which there are far
+    fewer (:func:`code_parents`). Targets that are no references (style
     properties) and rows with a null in any needed column are left out.
     """
     row = F.struct("recorded_at", "source_file", "target_symbol", "relationship_type")
@@ -218,14 +217,13 @@ def code_references(relationships: DataFrame) -> DataFrame:
     path = _inside(folder, F.col("t"))
     segments = F.split("t", "/")
     package = F.when(F.col("t").startswith("@"), F.array_join(F.slice(segments, 1, 2), "/")).otherwise(segments[0])
-    files = lambda base, ends: F.array(*(F.concat(F.lit("file:"), base, F.lit(e)) for e in ends))
     keys = (
         F.when(F.col("relationship_type") == "depends_on", F.array(F.concat(F.lit("class:"), "scope", F.lit("/"), "t")))
         .when((dots - 1 > F.size(F.split(folder, "/"))), F.array().cast("array<string>"))
-        .when(python & (dots > 0), files(relative, (".py", "/__init__.py")))
+        .when(python & (dots > 0), F.array(F.concat(F.lit("module:"), relative)))
         .when(python, F.array(F.concat(F.lit("package:"), F.split(name, r"\.")[0])))
         .when(F.col("t").startswith(".") & path.isNull(), F.array().cast("array<string>"))
-        .when(F.col("t").startswith("."), files(path, SUFFIXES))
+        .when(F.col("t").startswith("."), F.array(F.concat(F.lit("file:"), path)))
         .otherwise(F.array(F.concat(F.lit("package:"), package)))
     )
     wanted = F.col("relationship_type").isin("import", "depends_on") & ~((F.col("relationship_type") == "depends_on") & F.col("t").startswith("--")) & (F.col("t") != "")
@@ -233,10 +231,24 @@ def code_references(relationships: DataFrame) -> DataFrame:
 
 
 def code_parents(chunks: DataFrame, packages: DataFrame) -> DataFrame:
-    """``key, since, until`` of files, of the classes in them and of listed packages."""
+    """``key, since, until`` of files, of the classes in them and of listed packages.
+
+    A file has a key for every way in which an import may name it: its path, the path without a script's ending, and
+    without ``/index`` and the ending; a Python file also that of its module.
+    """
     rows = chunks.where("source is not null")
     span = [F.col("indexed_at").alias("since"), F.col("deleted_at").alias("until")]
-    files = rows.select(F.concat(F.lit("file:"), "source").alias("key"), *span)
+    script, module = r"\.(tsx?|jsx?)$", r"(/__init__)?\.py$"
+    bare = F.regexp_replace("source", script, "")
+    named = F.array(
+        F.concat(F.lit("file:"), "source"),
+        F.when(F.col("source").rlike(script), F.concat(F.lit("file:"), bare)),
+        F.when(F.col("source").rlike("/index" + script), F.concat(F.lit("file:"), F.regexp_replace(bare, "/index$", ""))),
+        F.when(F.col("source").endswith(".py"), F.concat(F.lit("module:"), F.regexp_replace("source", r"\.py$", ""))),
+        F.when(F.col("source").endswith("/__init__.py"), F.concat(F.lit("module:"), F.regexp_replace("source", module, ""))),
+    )
+    whole = rows.groupBy("source", F.col("deleted_at").alias("until")).agg(F.min("indexed_at").alias("since"))
+    files = whole.select(F.explode(F.array_compact(named)).alias("key"), "since", "until")
     name = F.explode(F.filter(F.transform(F.split("class_name", ","), lambda x: F.trim(x)), lambda x: x != ""))
     classes = rows.where("class_name is not null and class_name != ''").select(F.substring_index("source", "/", 1).alias("scope"), name.alias("name"), *span)
     classes = classes.select(F.concat(F.lit("class:"), "scope", F.lit("/"), "name").alias("key"), "since", "until")
