@@ -64,9 +64,12 @@ def _mentions(properties: Column, text: str) -> Column:
     return F.size(found) > 0
 
 
-def component_trace(consumed: DataFrame, rules: DataFrame, component: str | None = None, cls: str | None = None, prop: str | None = None) -> DataFrame:
+def component_trace(consumed: DataFrame, rules: DataFrame, component: str | None = None, cls: str | None = None, prop: str | None = None, within_repository: bool = False) -> DataFrame:
     """``component, cls, css_file, selector, start_line, end_line, media_query``: the rules of each component's classes.
 
+    ``within_repository`` matches only sheets whose path begins with the same segment; a table of many repositories
+    needs that. One row per component and rule; :func:`trace_summary` counts instead.
+
     Filters are case-insensitive substrings (D4). A class without a rule stays with nulls, unless a property is asked
     for. A state class matches only rules that name another class of the component, where it has one (D10).
     """
@@ -80,7 +83,9 @@ def component_trace(consumed: DataFrame, rules: DataFrame, component: str | None
     if prop:
         rules = rules.where(_mentions(F.col("properties"), prop))
     by_class = rules.select(F.explode(F.array_distinct("classes")).alias("cls"), "css_file", "selector", "start_line", "end_line", "media_query", F.col("classes").alias("_c"))
-    joined = used.withColumn("_state", state).join(base, "source").join(by_class, "cls", "left")
+    repository = lambda c: F.substring_index(c, "/", 1) if within_repository else F.lit("")
+    by_class = by_class.withColumn("_repo", repository("css_file"))
+    joined = used.withColumn("_state", state).withColumn("_repo", repository("source")).join(base, "source").join(by_class, ["_repo", "cls"], "left")
     fits = ~F.col("_state") | (F.size("_base") == 0) | F.arrays_overlap("_base", F.coalesce("_c", F.array().cast("array<string>")))
     rows = joined.select(F.col("source").alias("component"), "cls", *(F.when(fits, F.col(c)).alias(c) for c in ("css_file", "selector", "start_line", "end_line", "media_query"))).distinct()
     matched = rows.where("css_file is not null")
@@ -90,6 +95,28 @@ def component_trace(consumed: DataFrame, rules: DataFrame, component: str | None
     return matched.unionByName(bare)
 
 
+def trace_summary(consumed: DataFrame, rules: DataFrame) -> DataFrame:
+    """``component, cls, rules, css_file``: per component and class the number of rules within its repository, and the first sheet.
+
+    Rules are counted per class before they meet components, so a class that all of them share costs one row per
+    component instead of one per pair. State classes, which need another class in common (D10), are counted per pair
+    of classes: a rule counts once for the first class it shares.
+    """
+    repository = lambda c: F.substring_index(c, "/", 1).alias("repo")
+    used = consumed.where("not dynamic").where(~is_vendor_icon(F.col("cls"))).select(repository("source"), "source", "cls").distinct()
+    state = F.lower("cls").isin(*STATE_CLASSES)
+    each = rules.select(repository("css_file"), F.explode(F.array_distinct("classes")).alias("cls"), "css_file", F.col("classes").alias("_c"))
+    plain = each.where(~state).groupBy("repo", "cls").agg(F.count(F.lit(1)).alias("rules"), F.min("css_file").alias("css_file"))
+    one = used.where(~state).join(plain, ["repo", "cls"], "left")
+    beside = each.where(state).select("repo", "cls", "css_file", F.explode(F.array_except("_c", F.array("cls"))).alias("base"))
+    beside = beside.groupBy("repo", "cls", "base").agg(F.count(F.lit(1)).alias("n"), F.min("css_file").alias("css_file"))
+    bases = used.where(~state).select("repo", "source", F.col("cls").alias("base"))
+    met = used.where(state).join(bases, ["repo", "source"]).join(beside, ["repo", "cls", "base"]).groupBy("source", "cls").agg(F.max("n").alias("rules"), F.min("css_file").alias("css_file"))
+    two = used.where(state).select("source", "cls").join(met, ["source", "cls"], "left")
+    columns = [F.col("source").alias("component"), "cls", F.coalesce("rules", F.lit(0)).alias("rules"), "css_file"]
+    return one.select(*columns).unionByName(two.select(*columns))
+
+
 def property_matches(rules: DataFrame, text: str) -> DataFrame:
     """Rules whose properties or values mention ``text``, with those that do."""
     hit = F.map_filter("properties", lambda k, v: F.contains(F.lower(k), F.lit(text.lower())) | F.contains(F.lower(v), F.lit(text.lower())))

@@ -433,9 +433,16 @@ def css_properties(spark, d):
 
 @registry.query()
 def component_css_trace(spark, d):
-    """Which rules style which component, by class."""
+    """How many rules style each component, by class."""
     chunks = table(spark, d, "code_chunks")
-    return styles.component_trace(styles.consumed(chunks), styles.rules_of(chunks))
+    return styles.trace_summary(styles.consumed(chunks), styles.rules_of(chunks))
+
+
+@registry.query()
+def component_css_rules(spark, d):
+    """The rules of the components of one module, one row each."""
+    chunks = table(spark, d, "code_chunks")
+    return styles.component_trace(styles.consumed(chunks), styles.rules_of(chunks), component="/billing/", prop="gap", within_repository=True)
 
 
 @registry.query()

@@ -1,3 +1,5 @@
+from pyspark.sql import functions as F
+
 from sedimark.operators import audit, edges, styles
 from sedimark.operators.chunkers import chunk_text
 from sedimark.sources import files as sources
@@ -62,6 +64,9 @@ def test_styles(spark):
     got = {(r.component, r.cls, r.selector) for r in styles.component_trace(used, table).collect()}
     assert got == {("p.tsx", "a", ".a"), ("p.tsx", "a", ".a.active"), ("p.tsx", "active", ".a.active"), ("q.tsx", "lone", None)}
     assert {r.selector for r in styles.component_trace(used, table, prop="WIDTH").collect()} == {".a.active"}
+    repo = lambda df, c: df.withColumn(c, F.concat(F.lit("r/"), c))
+    short = {(r.component, r.cls, r.rules) for r in styles.trace_summary(repo(used, "source"), repo(table, "css_file")).collect()}
+    assert short == {("r/p.tsx", "a", 2), ("r/p.tsx", "active", 1), ("r/q.tsx", "lone", 0)}
     assert [r.matching for r in styles.property_matches(table, "blue").collect()] == ['{"color":"blue"}']
 
 
