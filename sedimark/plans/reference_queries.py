@@ -467,16 +467,67 @@ def audit_counts(spark, d):
     return issues.groupBy("category", "severity").agg(F.count(F.lit(1)).alias("issues"))
 
 
-_R = f"{_RULES}, r as (select distinct css_file, selector, start_line, end_line, lower(coalesce(properties['width'], '')) as width, lower(coalesce(properties['max-width'], '')) as max_width, lower(coalesce(properties['z-index'], '')) as z, lower(coalesce(properties['isolation'], '')) as isolation, lower(coalesce(properties['position'], '')) as position from rules), live as (select * from r where not (lower(trim(selector)) in ('*', '*::before', '*::after', '*:before', '*:after', 'html', 'body', ':root', ':before', ':after') or lower(trim(selector)) like '*%') and not regexp_matches(lower(selector), ':(hover|active|focus|disabled|visited|first-child|last-child|nth-child|placeholder)'))"
+_PROPS = ", ".join(f"lower(coalesce(properties['{p}'], '')) as {p.replace('-', '_')}" for p in layout.PROPERTIES)
+_RESETS = ", ".join(f"'{x}'" for x in layout.RESETS)
+_R = f"""{_RULES}, r as (select distinct css_file, trim(selector) as selector, lower(trim(selector)) as low, start_line, end_line, coalesce(media_query, '') as media, {_PROPS} from rules),
+  every as (select * from r where low not in ({_RESETS}) and low not like '*%'), live as (select * from every where not regexp_matches(low, '{layout.PSEUDO}'))"""
 
 
-@registry.query(f"with {_R} select css_file as file, start_line, end_line, trim(selector) as selector from live where suffix(width, 'px') and max_width = '' and try_cast(regexp_replace(width, '[^0-9]', '', 'g') as bigint) > 400")
+def _words(column: str, words: tuple[str, ...]) -> str:
+    return "(" + " or ".join(f"contains({column}, '{w}')" for w in words) + ")"
+
+
+_SCROLLS = "(" + " or ".join(_words(c, ("hidden", "auto", "scroll")) for c in ("overflow", "overflow_x", "overflow_y")) + ")"
+_FIXED = "(suffix(width, 'px') and suffix(height, 'px'))"
+_ROW = "css_file as file, start_line, end_line, selector"
+
+
+@registry.query(
+    f"""with {_R} select {_ROW} from every where (contains(display, 'flex') or contains(display, 'grid') or flex <> '' or flex_grow in ('1', '2', '3') or contains(low, 'flex'))
+    and not (flex_shrink = '0' or contains(flex, '0 0 ') or flex = 'none') and not {_FIXED} and not (min_width in ('0', '0px', '0%', 'none') or min_height in ('0', '0px', '0%', 'none') or {_SCROLLS}) and {_words('low', layout.SHRINKING)}"""
+)
+def audit_flex(spark, d):
+    """Boxes that cannot shrink below their content, however severe."""
+    rows = layout.with_mitigation(layout.prepared(styles.rules_of(table(spark, d, "code_chunks"))), spark.createDataFrame([], "child string, parent string"))
+    return layout.flex_overflow(rows).select("file", "start_line", "end_line", "selector")
+
+
+@registry.query(f"with {_R} select {_ROW} from live where contains(display, 'flex') and not contains(flex_direction, 'column') and {_words('low', layout.COLLECTIONS)} and flex_wrap not in ('wrap', 'wrap-reverse') and not {_SCROLLS} and not {_FIXED}")
+def audit_wrap(spark, d):
+    """Horizontal boxes of many items that do not wrap."""
+    rows = layout.with_mitigation(layout.prepared(styles.rules_of(table(spark, d, "code_chunks"))), spark.createDataFrame([], "child string, parent string"))
+    return layout.flex_wrap(rows).select("file", "start_line", "end_line", "selector")
+
+
+def _px_sql(column: str) -> str:
+    return f"coalesce(try_cast(regexp_extract(trim({column}), '(?i)^([0-9.]+)\\s*(?:px|rem|em)$', 1) as double) * case when regexp_matches(trim({column}), '(?i)px$') then 1 else 16 end, 0)"
+
+
+_LIMIT = "try_cast(regexp_extract(media, '(?i)max-width\\s*:\\s*([0-9.]+)\\s*(?:px|rem|em)', 1) as double) * case when lower(regexp_extract(media, '(?i)max-width\\s*:\\s*[0-9.]+\\s*(px|rem|em)', 1)) = 'px' then 1 else 16 end"
+
+
+@registry.query(
+    f"""with {_R}, w as (select *, {_LIMIT} as lim, greatest({_px_sql('min_width')}, {_px_sql('width')}, coalesce(list_sum(list_transform(regexp_extract_all(grid_template_columns, '([0-9.]+)\\s*px', 1), lambda x: try_cast(x as double))), 0)) as wide from live)
+    select {_ROW} from w where lim is not null and wide > 0 and wide >= lim"""
+)
+def audit_breakpoint(spark, d):
+    """Widths that reach the limit of their media query."""
+    return layout.breakpoint_width(layout.prepared(styles.rules_of(table(spark, d, "code_chunks")))).select("file", "start_line", "end_line", "selector")
+
+
+@registry.query(f"with {_R} select {_ROW} from live where {_words('low', layout.DYNAMIC_TEXT)} and not {_words('low', layout.COMPACT)} and word_break not in ('break-word', 'break-all') and overflow_wrap not in ('break-word', 'anywhere') and not contains(text_overflow, 'ellipsis')")
+def audit_text_break(spark, d):
+    """Boxes of running text without a rule for long words."""
+    return layout.text_break(layout.prepared(styles.rules_of(table(spark, d, "code_chunks")))).select("file", "start_line", "end_line", "selector")
+
+
+@registry.query(f"with {_R} select css_file as file, start_line, end_line, selector from live where suffix(width, 'px') and max_width = '' and try_cast(regexp_replace(width, '[^0-9]', '', 'g') as bigint) > 400")
 def audit_fixed_width(spark, d):
     """Rules of a fixed width over 400 px without a maximum (P5)."""
     return layout.fixed_width(layout.prepared(styles.rules_of(table(spark, d, "code_chunks")))).select("file", "start_line", "end_line", "selector")
 
 
-@registry.query(f"with {_R} select css_file as file, start_line, end_line, trim(selector) as selector from live where z <> '' and try_cast(regexp_replace(z, '[^0-9-]', '', 'g') as bigint) >= 100 and isolation <> 'isolate' and position not in ('relative', 'absolute', 'fixed', 'sticky')")
+@registry.query(f"with {_R} select css_file as file, start_line, end_line, selector from live where z_index <> '' and try_cast(regexp_replace(z_index, '[^0-9-]', '', 'g') as bigint) >= 100 and isolation <> 'isolate' and position not in ('relative', 'absolute', 'fixed', 'sticky')")
 def audit_zindex(spark, d):
     """Rules of a high z-index without a stacking context."""
     return layout.z_index(layout.prepared(styles.rules_of(table(spark, d, "code_chunks")))).select("file", "start_line", "end_line", "selector")
