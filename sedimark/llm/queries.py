@@ -94,7 +94,15 @@ def p9_shares(spark, d):
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
-@registry.query()
+#: all pairs, which only small tables allow
+_BRUTE = """with u as (select vec_id, min(vector)::double[] as v from chunk_vectors where vec_id is not null and len(vector) = 64
+    and len(list_filter(vector, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by vec_id),
+  s as (select a.vec_id as a, b.vec_id as b, round(list_cosine_similarity(a.v, b.v), 6) as c from u a join u b on a.vec_id <> b.vec_id),
+  r as (select a, b, c, row_number() over (partition by a order by c desc, b) as n from s)
+  select distinct least(a, b) as vec_id_a, greatest(a, b) as vec_id_b from r where n <= 10 and c >= 0.85"""
+
+
+@registry.query(_BRUTE)
 def p7_found(spark, d):
     """Pairs of similarity 0.85 or more of which one is among the other's ten nearest."""
     return similar_pairs(table(spark, d, "chunk_vectors"))
