@@ -81,7 +81,6 @@ ExprStmt <- !'function' !'class' !'{' Expr Semi
 FunctionDecl <- ('async' !~)? 'function' '*'? Ident TypeParams? '(' Params ')' RetType? (Block / Overload)
 Params <- (Param (',' Param)* ','?)?
 Param <- Decorator* ParamMod* '...'? (Pattern / 'this') '?'? TypeAnn? ('=' Assign)?
-Decorator <- '@' (Ident / '(' Expr ')') ('.' PropName / Args)*
 ClassDecl <- Decorator* Abstract? 'class' ClassTail
 ClassTail <- (!'implements' Ident)? TypeParams? ('extends' LeftHand TypeArgs?)? Implements? '{' Member* '}'
 Member <== ';' / 'static' Block / Decorator* Mod* MemberBody
@@ -122,6 +121,7 @@ FunctionAny <- ('async' !~)? 'function' '*'? Ident? TypeParams? '(' Params ')' R
 """
 
 _JS_ONLY = r"""
+Decorator <- NEVER
 TypeAnn <- NEVER
 TypeParams <- NEVER
 TypeArgs <- NEVER
@@ -146,6 +146,7 @@ ExportEquals <- NEVER
 """
 
 _TS_ONLY = r"""
+Decorator <- '@' (Ident / '(' Expr ')') ('.' PropName / Args)*
 TypeAnn <- ':' Type
 TypeParams <- '<' TypeParam (',' TypeParam)* ','? '>'
 TypeParam <- ('const' / 'in' / 'out')* Ident ('extends' Type)? ('=' Type)?

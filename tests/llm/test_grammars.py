@@ -30,7 +30,7 @@ GOOD = {
 }
 BAD = {
     "ts": ["class A { foo( }", "let x = ;", "const x;", "import { a } from", "}", "if (a { }", "a b", "let x = 'abc\n';", "<<<<<<< HEAD\nlet a = 1;\n=======\n>>>>>>> x", "class A:\n    def f(self): pass"],
-    "js": ["let a: number = 1;", "interface A {}", "class A { private x = 1; }", "const f = (a: string) => a;"],
+    "js": ["let a: number = 1;", "interface A {}", "class A { private x = 1; }", "const f = (a: string) => a;", "@Dec() class A {}"],
     "jsx": ["const a = <p>x</q>;", "const a = <p>"],
     "tsx": ["const x = <any>y;", ":root {\n  --a: 1px;\n}"],
     "css": [".a{b:c", ".a{b}", "a{b:c}}", "import x from 'y';"],
