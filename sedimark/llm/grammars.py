@@ -96,9 +96,9 @@ Operator <- BINOP / '>' ('>' '>'?)?
 Unary <- UNOP Unary / 'await' &EXPRSTART Unary / Assertion / Postfix
 Postfix <- LeftHand (!~ ('++' / '--'))?
 LeftHand <= Head Suffix*
-Head <- 'new' '.' 'target' / 'new' NewHead Args? / 'super' &('(' / '.' / '[') / 'import' ('(' Assign (',' Assign)? ','? ')' / '.' 'meta') / Primary
+Head <- 'new' ('.' 'target' / NewHead Args?) / 'super' &('(' / '.' / '[') / 'import' ('(' Assign (',' Assign)? ','? ')' / '.' 'meta') / Primary
 NewHead <- 'new' NewHead Args? / Primary ('.' (PropName / PRIVATE) / '[' Expr ']')* TypeArgs?
-Suffix <- '.' (IdentName / PRIVATE) / '?.' (IdentName / PRIVATE / '[' Expr ']' / TypeArgs? Args) / '[' Expr ']' / Args / TEMPLATE / NonNull / TypeArgs &('(' / TEMPLATE) / Instance
+Suffix <- '.' (IdentName / PRIVATE) / '?.' (IdentName / PRIVATE / '[' Expr ']' / TypeArgs? Args) / '[' Expr ']' / Args / TEMPLATE / NonNull / &'<' (TypeArgs &('(' / TEMPLATE) / Instance)
 Args <- '(' (Item (',' Item)* ','?)? ')'
 Item <- '...'? Assign
 Primary <- NUMBER / STRING / TEMPLATE / REGEX / 'this' / 'null' / 'true' / 'false' / ('async' !~)? 'function' '*'? Ident? TypeParams? '(' Params ')' RetType? Block / Decorator* 'class' ClassTail / '[' Item? (',' Item?)* ']' / Object / '(' Expr ')' / Jsx / Ident
@@ -619,7 +619,7 @@ class _QuickKinds(dict):
         elif token[-1] in "\"'" and (m := _PY_FORMAT.match(token)):
             kind = self.owner.c["STRING"] if self.owner._fstring(token, m.end(), "r" in m.group().lower()) == len(token) else self.owner.c["ERROR"]
         else:
-            return self.owner.kind[token]
+            kind = self.owner.kind[token]
         if len(self) > 300_000:
             self.clear()
             self.update(self.owner.kind)
