@@ -33,14 +33,23 @@ def lines(text: Column) -> Column:
     return F.when(text == "", F.array().cast("array<string>")).when(text.endswith("\n"), F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
+#: what ``\\s`` matches; trimming by a set of characters is far cheaper per line than a pattern
+BLANKS = " \t\n\r\f\x0b"
+
+
+def _counted(text: Column, marks: tuple[str, ...]) -> Column:
+    begins = lambda t: F.exists(F.array(*(F.lit(m) for m in marks)), lambda m: t.startswith(m))
+    return F.size(F.filter(F.transform(F.split(text, "\n"), lambda x: F.ltrim(x, F.lit(BLANKS))), lambda t: (t != "") & ~begins(t)))
+
+
 def code_lines(text: Column) -> Column:
     """Lines that are neither blank nor begin as a comment (``//``, ``#``, ``/*``, ``*``)."""
-    return F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*(//|#|/\*|\*)")))
+    return _counted(text, ("//", "#", "/*", "*"))
 
 
 def css_code_lines(text: Column) -> Column:
     """The same for style sheets, where ``#`` begins a selector."""
-    return F.size(F.filter(F.split(text, "\n"), lambda x: x.rlike(r"\S") & ~x.rlike(r"^\s*(/\*|\*|//)")))
+    return _counted(text, ("/*", "*", "//"))
 
 
 def extension(source: Column) -> Column:
@@ -97,17 +106,19 @@ def xml_escape(text: Column) -> Column:
 
 def compress_code(text: Column, suffix: Column) -> Column:
     """Without whole-line comments (tool directives stay), trailing blanks and repeated blank lines."""
-    begins = lambda x, p: x.rlike(r"^\s*" + p)
     script = suffix.isin(".ts", ".js", ".tsx", ".prisma")
-    gone = lambda x: (
-        F.when(script, (begins(x, "//") & ~x.rlike(r"^\s*//\s*@(ts-|eslint-|ng)")) | x.rlike(r"^\s*/\*.*\*/\s*$"))
-        .when(suffix == ".py", begins(x, "#") & ~x.rlike(r"^\s*#\s*(type:|pylint:|coding:)"))
-        .when(suffix.isin(".html", ".htm"), x.rlike(r"^\s*<!--.*-->\s*$"))
+    around = lambda t, a, b: t.startswith(a) & t.endswith(b)
+    gone = lambda t: (
+        F.when(script, (t.startswith("//") & ~t.rlike(r"^//\s*@(ts-|eslint-|ng)")) | (around(t, "/*", "*/") & (F.length(t) > 3)))
+        .when(suffix == ".py", t.startswith("#") & ~t.rlike(r"^#\s*(type:|pylint:|coding:)"))
+        .when(suffix.isin(".html", ".htm"), around(t, "<!--", "-->") & (F.length(t) > 6))
         .otherwise(F.lit(False))
     )
-    kept = F.transform(F.filter(lines(text), lambda x: ~gone(x)), lambda x: F.regexp_replace(x, r"\s+$", ""))
-    single = F.filter(kept, lambda x, i: (x != "") | (i == 0) | (F.get(kept, i - 1) != ""))
-    return F.when(text == "", "").otherwise(F.array_join(single, "\n"))
+    kept = F.transform(F.filter(lines(text), lambda x: ~gone(F.trim(x, F.lit(BLANKS)))), lambda x: F.rtrim(x, F.lit(BLANKS)))
+    # runs of blank lines by patterns on the joined text: a lambda that looks at its neighbours would be quadratic
+    joined = F.array_join(kept, "\n")
+    single = F.regexp_replace(F.regexp_replace(F.regexp_replace(joined, "\n{3,}", "\n\n"), "^\n{2,}", "\n"), "\n{2,}\\z", "\n")
+    return F.when(joined.rlike("^\n*\\z"), "").otherwise(single)
 
 
 def truncate_safe(text: Column, limit: int) -> Column:
