@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 from collections.abc import Callable
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -77,22 +78,23 @@ def vector_topk(rows: DataFrame, query: list[float], k: int, id: str = "id", vec
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("distance", "id")))
 
 
-def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", block: int = 256) -> DataFrame:
+def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", block: int = 1024) -> DataFrame:
     """The ``k`` nearest rows of each query: ``query_id, id, distance, rank``.
 
-    ``queries``: ``query_id, vector``, collected on the driver in blocks of ``block`` (their vectors are a matrix of a
-    fixed size in each task); every task gives each query's k best of its rows, and one shuffle merges those.
+    ``queries``: ``query_id, vector``, a stated set that passes through the driver in blocks of ``block`` (their vectors
+    are a matrix of a fixed size in each task); every task gives each query's k best of its rows, and one shuffle
+    merges those.
     """
     check_k(k)
     import numpy as np
     import pyarrow as pa
 
     spark = rows.sparkSession
-    asked = queries.select("query_id", "vector").orderBy("query_id").collect()
+    asked = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
     parts = []
-    for at in range(0, len(asked), block):
-        names = [r[0] for r in asked[at : at + block]]
-        matrix = spark.sparkContext.broadcast(np.array([r[1] for r in asked[at : at + block]], dtype=np.float64))
+    while some := list(islice(asked, block)):
+        names = [r[0] for r in some]
+        matrix = spark.sparkContext.broadcast(np.array([r[1] for r in some], dtype=np.float64))
 
         def nearest(batches, names=names, matrix=matrix):
             q = matrix.value
@@ -110,7 +112,7 @@ def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "id"
                 yield pa.RecordBatch.from_pydict({"query_id": [x[0] for x in out], "id": [x[1] for x in out], "distance": [x[2] for x in out]})
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema[id].dataType.simpleString()}, distance double"
-        dim = len(asked[at][1])
+        dim = len(some[0][1])
         parts.append(rows.where(F.size(vector) == dim).select(id, vector).mapInArrow(nearest, kinds))
     if not parts:
         return spark.createDataFrame([], "query_id long, id long, distance double, rank int")
@@ -129,8 +131,8 @@ def terms(text: Column) -> Column:
 def bm25(rows: DataFrame, query: str, id: str = "id", text: str = "text", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """``id, score`` of the rows that hold a term of the query.
 
-    Term counts are taken row by row with array functions; the only aggregate is one row of corpus statistics
-    (rows, mean length, and the document frequency of each query term), cross-joined as a single row.
+    Term counts are taken row by row with array functions; the only aggregate is one row of corpus statistics (rows,
+    mean length, and the document frequency of each query term), taken first and put into the plan as numbers.
     """
     asked = sorted(set(x for x in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()))
     if not asked:
@@ -140,13 +142,15 @@ def bm25(rows: DataFrame, query: str, id: str = "id", text: str = "text", k1: fl
     tf = [F.size(F.filter("t", is_term(q))).alias(f"f{i}") for i, q in enumerate(asked)]
     counted = cut.select("id", F.size("t").alias("dl"), *tf)
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
-    joined = counted.where(" or ".join(f"f{i} > 0" for i in range(len(asked)))).crossJoin(F.broadcast(stats))  # one row
+    known = stats.first()
+    held = counted.where(" or ".join(f"f{i} > 0" for i in range(len(asked))))
+    number = lambda name: F.lit(float(known[name] or 0))
     score = F.lit(0.0)
     for i in range(len(asked)):
-        f, df = F.col(f"f{i}"), F.col(f"df{i}")
-        idf = F.log(1 + (F.col("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
-    return joined.select("id", F.round(score, 6).alias("score"))
+        f, df = F.col(f"f{i}"), number(f"df{i}")
+        idf = F.log(1 + (number("n") - df + 0.5) / (df + 0.5))
+        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / number("avgdl")))
+    return held.select("id", F.round(score, 6).alias("score"))
 
 
 def text_topk(rows: DataFrame, query: str, k: int, id: str = "id", text: str = "text") -> DataFrame:

@@ -550,7 +550,7 @@ def edges_extract(spark, d):
 
 
 @registry.query(
-    """with h as (select source as source_file, row_number() over (order by source) as rank from (select distinct source from code_chunks where source like '%-beacon.service.ts')),
+    """with h as (select source as source_file, source as rank from (select distinct source from code_chunks where source like '%-beacon.service.ts')),
     e as (select distinct h.rank, r.source_file, trim(r.target_symbol, ' "''`') as target from code_relationships r join h using (source_file) where relationship_type = 'depends_on'),
     k as (select distinct trim(class_name) as target, min(source) as file from code_chunks where trim(coalesce(class_name, '')) <> '' and class_name not like '%,%' group by 1),
     j as (select e.rank, e.target, k.file from e join k using (target) where regexp_matches(e.target, '^[A-Z]') and k.file not in (select source_file from h)),
@@ -561,7 +561,7 @@ def edges_enrich_top15(spark, d):
     """Files that hits depend on, each once in order of the hits, fifteen at most."""
     chunks, edges = table(spark, d, "code_chunks"), table(spark, d, "code_relationships")
     hits = chunks.where("source like '%-beacon.service.ts'").select("source").distinct()
-    hits = hits.withColumn("rank", F.row_number().over(Window.orderBy("source")))
+    hits = hits.withColumn("rank", F.col("source"))
     return relations.dependency_files(hits, edges, chunks, 15)
 
 
