@@ -22,9 +22,9 @@ class Settings:
     rrf_constant: int = 60
     dimensions: int = 768
     embedding_model: str = "mock"
-    # fixed values: folders that a scan leaves out, and the extensions it takes (case-sensitive)
+    # fixed values: folders that a scan leaves out (with our own index), and the extensions it takes (case-sensitive)
     ignored_dirs: tuple[str, ...] = (
-        "node_modules", "dist", ".git", ".angular", ".next", "build", ".lancedb", "rag-local",
+        "node_modules", "dist", ".git", ".angular", ".next", "build", ".sedimark",
         ".agents", "scripts-test", "specs", "generated", ".vercel", ".turbo", "out", "coverage",
     )
     extensions: tuple[str, ...] = (".ts", ".js", ".tsx", ".jsx", ".html", ".prisma", ".py", ".css")

@@ -131,6 +131,7 @@ def truncate_safe(text: Column, limit: int) -> Column:
 
 # -- HTML (C9) ---------------------------------------------------------------------------------------------------------
 
+# fixed values: what counts as an element name, a class attribute and a bound class
 _TOKEN = r"^[a-zA-Z_][A-Za-z0-9_-]*$"
 
 
@@ -168,6 +169,7 @@ def html_metadata(html: Column) -> Column:
 # -- CSS (C10) ---------------------------------------------------------------------------------------------------------
 
 
+# fixed values below: what counts as a class, a custom property and a directive of a style sheet
 def _bare_css(css: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(css, r"(?s)/\*.*?\*/", ""), r"url\([^)]+\)", "")
 

@@ -111,6 +111,7 @@ def _close(bare: str, at: int) -> int:
     return len(bare) - 1
 
 
+# fixed values: where a component may name classes, in the patterns of jsx_classes below
 _TOKEN = re.compile(r"^[A-Za-z_][\w-]*$")
 _LITERAL = re.compile(r"\"([^\"]*)\"|'([^']*)'")
 

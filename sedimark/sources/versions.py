@@ -15,6 +15,7 @@ system classes and may be on any store that Spark can reach.
 from __future__ import annotations
 
 import json
+import os
 import uuid
 from collections.abc import Callable
 from functools import reduce
@@ -62,15 +63,34 @@ class VersionedTable:
         target = self._path(self._manifest_path(manifest["version"]))
         if self._fs.exists(target):
             raise CommitConflict(f"version {manifest['version']} of {self.root} exists")
+        body = json.dumps(manifest).encode()
+        if self._fs.getUri().getScheme() == "file":
+            self._link(target.toUri().getPath(), body)
+            return manifest["version"]
         temporary = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}")
         stream = self._fs.create(temporary, False)
-        stream.write(bytearray(json.dumps(manifest).encode()))
+        stream.write(bytearray(body))
         stream.close()
-        if not self._fs.rename(temporary, target):
+        if not self._fs.rename(temporary, target):  # on a distributed store this fails where the target is there
             self._fs.delete(temporary, False)
             raise CommitConflict(f"version {manifest['version']} of {self.root} exists")
         return manifest["version"]
 
+    def _link(self, target: str, body: bytes) -> None:
+        """On a POSIX file system a rename would replace the target, so the manifest is linked into place instead."""
+        os.makedirs(os.path.dirname(target), exist_ok=True)
+        temporary = os.path.join(os.path.dirname(target), f".{uuid.uuid4().hex}")
+        with open(temporary, "wb") as file:
+            file.write(body)
+            file.flush()
+            os.fsync(file.fileno())
+        try:
+            os.link(temporary, target)
+        except FileExistsError:
+            raise CommitConflict(target) from None
+        finally:
+            os.unlink(temporary)
+
     # -- reading ---------------------------------------------------------------------------------------------------
     def read(self, version: int | None = None) -> DataFrame | None:
         """The rows of a version, or None where it has no data. Masked keys go by one anti join per data generation."""

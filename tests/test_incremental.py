@@ -87,3 +87,15 @@ def test_versions_survive_failures_without_skipping_or_repeating(spark, tmp_path
     assert read(target) == [(1, "againagain"), (2, "cc"), (3, "dd")] == sorted((r[0], r[1] * 2) for r in read(source))
     with pytest.raises(CommitConflict):
         source._commit({**source.manifest(), "version": source.version()})
+
+
+def test_of_two_writers_one_wins(spark, tmp_path):
+    a, b = VersionedTable(spark, f"{tmp_path}/w", "id"), VersionedTable(spark, f"{tmp_path}/w", "id")
+    rows = spark.createDataFrame([(1, "a")], "id long, v string")
+    a.commit(rows)
+    manifest = {**b.manifest(), "version": 2}
+    a.commit(rows)
+    for commit in (b._commit, lambda m: b._link(b._path(b._manifest_path(2)).toUri().getPath(), b"{}")):
+        with pytest.raises(CommitConflict):
+            commit(manifest)
+    assert a.version() == 2 and a.read().count() == 1
