@@ -22,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.session import cut_lineage, shuffle_width
@@ -250,6 +250,12 @@ def _descend(graph: DataFrame, nodes: DataFrame, dim: int, k: int, join_k: int,
             keep = np.ones(len(v), dtype=bool)
             keep[1:] = (v[1:] != v[:-1]) | (n[1:] != n[:-1])
             v, n, s = v[keep], n[keep], s[keep]
+            # and no more than a node's k best are of use
+            order = np.lexsort((-s, v))
+            v, n, s = v[order], n[order], s[order]
+            begin = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+            keep = np.arange(len(v)) - np.repeat(begin, np.diff(np.r_[begin, len(v)])) < k
+            v, n, s = v[keep], n[keep], s[keep]
             cuts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, dtype=int)
             offsets = pa.array(np.r_[cuts, len(v)].astype(np.int32))
             return pa.RecordBatch.from_arrays([pa.array(v[cuts]), pa.ListArray.from_arrays(offsets, pa.array(n)), pa.ListArray.from_arrays(offsets, pa.array(s))], ["v", "n", "s"])
@@ -304,10 +310,10 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", vector: str = "vector"
     fewer than k + 1 usable vectors every vector has the others.
     """
     rows = cut_lineage(directions(usable(vectors, key, vector, dim), dim))
-    # two steps, so that a class that holds a third of all rows is reduced before it is one group
-    smallest = lambda c: F.slice(F.array_sort(F.flatten(F.collect_list(c))), 1, k + 1)
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(64))).groupBy("d", "salt").agg(F.slice(F.array_sort(F.collect_list("id")), 1, k + 1).alias("m"), F.min(F.struct("id", "v")).alias("r"))
-    classes = cut_lineage(salted.groupBy("d").agg(smallest("m").alias("members"), F.min("r").alias("r")).select("d", "members", F.col("r.id").alias("id"), F.col("r.v").alias("v")))
+    # the limit applies before the shuffle, so a class that holds a third of all rows sends k + 1 of them per task
+    first = Window.partitionBy("d").orderBy("id")
+    kept = rows.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= k + 1)
+    classes = cut_lineage(kept.groupBy("d").agg(F.array_sort(F.collect_list("id")).alias("members"), F.min(F.struct("id", "v")).alias("r")).select("d", "members", F.col("r.id").alias("id"), F.col("r.v").alias("v")))
     graph = knn_graph(classes.select("id", "v"), dim, k + slack, **settings)
     # the neighbours of a class as vectors: the members of near classes by similarity, then id
     near = graph.select("v", F.explode(F.arrays_zip("n", "s")).alias("p")).select("v", F.col("p.n").alias("n"), F.round("p.s", PLACES).alias("s"))
