@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import hashlib
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import islice
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sedimark.config import DEFAULTS
 
+#: vectors that a worker holds at once, whatever the size of an Arrow batch
+EMBED_ROWS = 512
+
 
 class InvalidQuery(ValueError):
     pass
@@ -41,12 +45,14 @@ def mock_embedding(text: str, dim: int = DEFAULTS.dimensions) -> list[float]:
 
 
 def embed(df: DataFrame, text: str = "text", out: str = "vector", model: Callable[[list[str]], list[list[float]]] | None = None, dim: int = DEFAULTS.dimensions) -> DataFrame:
-    """``out`` of every text by ``model`` (called per Arrow batch; the worker keeps it warm) or the stand-in."""
+    """``out`` of every text by ``model`` (called on ``EMBED_ROWS`` texts at most; the worker keeps it warm) or the stand-in."""
 
     @F.pandas_udf("array<float>")
-    def vectors(texts: pd.Series) -> pd.Series:
-        values = [t or "" for t in texts]
-        return pd.Series(model(values) if model else [mock_embedding(t, dim) for t in values])
+    def vectors(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for texts in batches:
+            values = [t or "" for t in texts]
+            for some in (values[at : at + EMBED_ROWS] for at in range(0, len(values), EMBED_ROWS)):
+                yield pd.Series(model(some) if model else [np.array(mock_embedding(t, dim), dtype=np.float32) for t in some])
 
     return df.withColumn(out, vectors(F.col(text)))
 
@@ -86,7 +92,6 @@ def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "id"
     merges those.
     """
     check_k(k)
-    import numpy as np
     import pyarrow as pa
 
     spark = rows.sparkSession

@@ -294,9 +294,10 @@ def no_context(spark, d):
 @registry.query()
 def hybrid_retrieval(spark, d):
     """The whole read path: windows of the documents, hybrid search, reranking, fusion of neighbouring lines."""
-    parts = windows.line_windows(table(spark, d, "documents").where("source is not null"), "doc_id", size=12, overlap=3)
+    parts = windows.line_windows(table(spark, d, "documents"), "doc_id", size=12, overlap=3)
     rows = parts.select(F.concat_ws("#", "doc_id", "start_line").alias("id"), F.col("doc_id").cast("string").alias("source"), "start_line", "text")
-    found = search.text_topk(rows, QUERY, 30).join(rows, "id")
+    hits = search.hybrid(search.embed(rows), QUERY, search.mock_embedding(QUERY), 30).select("id")
+    found = rows.join(F.broadcast(hits), "id")  # at most 30 rows
     best = search.rerank(found, QUERY, 8)
     blocks = windows.fuse(best.select("source", "start_line", "text", "rank"))
     return blocks.orderBy("file_rank", "source", "start_line")
