@@ -23,6 +23,8 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sedimark.operators.incremental import REMOVED, record_delta
+
 
 class CommitConflict(RuntimeError):
     """Another writer committed the version first."""
@@ -105,16 +107,17 @@ class VersionedTable:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
     def changes(self, old: int, new: int | None = None) -> DataFrame | None:
-        """Record deltas between two versions from their manifests alone: rows with ``_change`` ``upsert`` or ``delete``.
+        """Record deltas between two versions: rows with ``_change`` ``upsert`` or ``delete``.
 
-        Only folders that one manifest names and the other does not are read; what both have is not touched. A key
-        that was deleted and written again comes out once, as an upsert.
+        From the manifests alone, only folders that one manifest names and the other does not are read; what both have
+        is not touched. A key that was deleted and written again comes out once, as an upsert. Where the table was
+        compacted or rebuilt in between, the folders say nothing, and the rows of the two versions are compared.
         """
         a, b = self.manifest(old), self.manifest(new)
+        if a["version"] and b.get("rebuilt_since", 0) > a["version"]:
+            return self._compared(a["version"], b["version"])
         known = {e["folder"] for e in a["data"]}
         masks = {e["folder"] for e in a["deletes"]}
-        if b.get("rebuilt_since", 0) > a["version"]:
-            known, masks = set(), set()
         parts = []
         for entry in b["data"]:
             if entry["folder"] not in known:
@@ -133,6 +136,20 @@ class VersionedTable:
         deletes = deletes.join(upserts.select(self.key).distinct(), self.key, "left_anti")
         return upserts.unionByName(deletes, allowMissingColumns=True)
 
+    def _compared(self, old: int, new: int) -> DataFrame | None:
+        """:meth:`changes` from the rows of both versions, whose folders are never rewritten."""
+        before, after = self.read(old), self.read(new)
+        if before is None:
+            return after.withColumn("_change", F.lit("upsert")) if after is not None else None
+        if after is None:
+            return before.select(self.key).distinct().withColumn("_change", F.lit("delete"))
+        if lost := [c for c in before.schema if c.name not in after.columns]:  # a column that is gone changes the rows that had it
+            after = after.select("*", *(F.lit(None).cast(c.dataType).alias(c.name) for c in lost))
+        if more := [c for c in after.schema if c.name not in before.columns]:
+            before = before.select("*", *(F.lit(None).cast(c.dataType).alias(c.name) for c in more))
+        delta = record_delta(before, after, self.key).drop(*(c.name for c in lost))
+        return delta.withColumn("_change", F.when(F.col("_change") == REMOVED, "delete").otherwise("upsert"))
+
     # -- writing ---------------------------------------------------------------------------------------------------
     def commit(
         self,
