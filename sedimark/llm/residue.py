@@ -2,9 +2,10 @@
 
 * *Models.* Interpolated character n-gram models (orders 1 to 5, hashed contexts): natural prose, filler, error and
   access messages with notices that scripts or another browser are needed, unfilled template places, and prose about
-  such texts, which is content. All but the first start from the seed phrases below; prose is fitted on a bounded sample of the documents (``sample_rows``, by the hash
-  of the key). Then the models sort the sample's own texts, and each is fitted again on what it won (``rounds`` times):
-  so the residue models learn the collection's phrasing, and prose forgets the residue that the sample held.
+  such texts, which is content. All but the first start from the seed phrases below; prose is fitted on all documents.
+  Then the models sort the windows of all documents, and each is fitted again on what it won (``rounds`` times): so the
+  residue models learn the collection's phrasing, and prose forgets the residue that the documents held. Counts are
+  whole numbers, added up per task and then as a tree, so the models do not depend on how rows are dealt.
 * *Windows.* A text's running part (no fenced code, no inline code) is cut into windows (sentences, lines). A window's
   score for a class is its mean log likelihood ratio against prose. Windows that the models cannot tell apart (short
   headings, navigation) are neutral.
@@ -22,6 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,7 +31,8 @@ BUCKETS = 1 << 17
 ORDERS = 5
 PROSE, FILLER, NOTICE, TEMPLATE, ABOUT = range(5)
 NAMES = ("prose", "filler", "notice", "template", "about")
-SAMPLE_ROWS = 6000
+#: between windows, so that no context reaches into the window before
+GAP = ORDERS - 1
 #: a window of at most so many characters that ends in no sentence mark (a heading, a menu) is no prose
 SHORT = 32
 #: an unbroken run of more characters is data, not filler
@@ -117,7 +120,7 @@ def fold(text: str) -> str:
 
 def _hashes(texts: list[str]) -> list[np.ndarray]:
     """For each order, the bucket of every character with its context, over all texts laid end to end."""
-    joined = "\x02".join(["", *texts, ""])
+    joined = ("\x02" * GAP).join(["", *texts, ""])
     codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
     out, h = [], np.zeros(len(codes), dtype=np.uint64)
     for k in range(ORDERS):
@@ -128,6 +131,20 @@ def _hashes(texts: list[str]) -> list[np.ndarray]:
     return out
 
 
+def count(texts: list[str]) -> np.ndarray:
+    """How often each bucket of each order occurs in the texts; the end of a text counts as a character."""
+    total = np.zeros((ORDERS, BUCKETS), dtype=np.int64)
+    for part in _parts(texts):
+        folded = [fold(t) for t in part]
+        lengths = np.array([len(t) for t in folded])
+        counted = np.zeros(GAP + int((lengths + GAP).sum()), dtype=bool)
+        for start, n in zip(GAP + np.concatenate([[0], np.cumsum(lengths + GAP)[:-1]]), lengths):
+            counted[start : start + n + 1] = True
+        for order, buckets in enumerate(_hashes(folded)):
+            total[order] += np.bincount(buckets[counted], minlength=BUCKETS)
+    return total
+
+
 def _parts(texts: list[str], chars: int = 200_000) -> Iterator[list[str]]:
     """Runs of texts of about ``chars`` characters, so that memory does not grow with a batch; a longer text is its own."""
     part: list[str] = []
@@ -150,9 +167,10 @@ class Models:
         self.logs: np.ndarray | None = None
 
     def fit(self, kind: int, texts: list[str], weight: float = 1.0) -> None:
-        for part in _parts(texts):
-            for order, buckets in enumerate(_hashes([fold(t) for t in part])):
-                self.counts[kind, order] += np.bincount(buckets, minlength=BUCKETS).astype(np.float32) * weight
+        self.add(kind, count(texts), weight)
+
+    def add(self, kind: int, counts: np.ndarray, weight: float = 1.0) -> None:
+        self.counts[kind] += (counts * weight).astype(np.float32)
 
     def finish(self) -> Models:
         """Per order the log of count relative to the class's size, smoothed; the orders are averaged with rising weight.
@@ -180,31 +198,95 @@ class Models:
         score = sum(self.logs[:, order, buckets].astype(np.float32) for order, buckets in enumerate(hashes))
         sums = np.concatenate([np.zeros((len(NAMES), 1)), np.cumsum(score, axis=1)], axis=1)
         lengths = np.array([len(t) for t in folded])
-        starts = 1 + np.concatenate([[0], np.cumsum(lengths + 1)[:-1]])
+        starts = GAP + np.concatenate([[0], np.cumsum(lengths + GAP)[:-1]])
         return ((sums[:, starts + lengths] - sums[:, starts]) / np.maximum(lengths, 1)).T
 
 
-def train(sample: list[str], rounds: int = 2, margin: float = 0.35) -> Models:
-    """Models from the seeds and a sample of whole texts."""
-    cut = [windows(running(t)) for t in sample if t and not t.isspace()]
-    flat = [w for ws in cut for w in ws]
+def deal(flat: list[str], models: Models | None, margin: float) -> dict[int, list[str]]:
+    """The windows that each class wins; all are prose without models."""
+    won: dict[int, list[str]] = {k: [] for k in range(len(NAMES))}
+    if models is None:
+        return won | {PROSE: flat}
+    for w, r in zip(flat, models.ratios(flat)):
+        best = int(np.argmax(r))
+        won[best if r[best] > margin else PROSE].append(w)
+    return won
+
+
+def fitted(prose: np.ndarray, phrases: np.ndarray | None) -> Models:
+    """Models of the seeds, the counts of prose and, after the first round, those of each class's phrases."""
     models = Models()
-    models.fit(PROSE, flat)
+    models.add(PROSE, prose)
     for kind, seeds in SEEDS.items():
-        models.fit(kind, seeds)
-    models.finish()
+        models.fit(kind, seeds, 1.0 if phrases is None else 3.0)
+        if phrases is not None:
+            models.add(kind, phrases[kind])
+    return models.finish()
+
+
+def train(sample: list[str], rounds: int = 2, margin: float = 0.35) -> Models:
+    """Models from the seeds and some whole texts (:func:`train_table` on one machine)."""
+    flat = [w for t in sample if t and not t.isspace() for w in windows(running(t))]
+    models = fitted(count(flat), None)
     for _ in range(rounds):
-        ratios = models.ratios(flat)
-        won: dict[int, list[str]] = {k: [] for k in range(len(NAMES))}
-        for w, r in zip(flat, ratios):
-            best = int(np.argmax(r))
-            won[best if r[best] > margin else PROSE].append(w)
-        models = Models()
-        models.fit(PROSE, won[PROSE])
-        for kind, seeds in SEEDS.items():
-            models.fit(kind, seeds, 3.0)
-            models.fit(kind, list(dict.fromkeys(won[kind])))  # each phrase once: frequency is no evidence
-        models.finish()
+        won = deal(flat, models, margin)
+        # each phrase once: frequency is no evidence
+        models = fitted(count(won[PROSE]), np.stack([count(list(dict.fromkeys(won[kind]))) for kind in range(len(NAMES))]))
+    return models
+
+
+def _added(rows: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
+    """The sum of the arrays in ``counts``, task by task and then as a tree, so that few arrive at the driver."""
+    plus = lambda a, b: b if a is None else a if b is None else a + b
+    total = rows.select("counts").rdd.treeAggregate(None, lambda a, r: plus(a, np.frombuffer(r[0], dtype=np.int64)), plus, depth=4)
+    return np.zeros(shape, dtype=np.int64) if total is None else total.reshape(shape)
+
+
+def train_table(rows: DataFrame, text: str = "_text", rounds: int = 2, margin: float = 0.35) -> Models:
+    """Models from the seeds and all texts of a table; the same as :func:`train` on all its texts."""
+    context = rows.sparkSession.sparkContext
+    out = pa.schema([("kind", pa.int32()), ("phrase", pa.string()), ("counts", pa.binary())])
+
+    def batch_of(kinds: list, phrases: list, counts: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((kinds, phrases, counts), out)], schema=out)
+
+    models: Models | None = None
+    for _ in range(rounds + 1):
+        shared = context.broadcast(models.logs if models else None)
+
+        def dealt(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            own = None
+            if shared.value is not None:
+                own = Models.__new__(Models)
+                own.logs = shared.value
+            prose = np.zeros((ORDERS, BUCKETS), dtype=np.int64)
+            for batch in batches:
+                for at in range(0, batch.num_rows, 400):
+                    won = deal([w for t in batch.column(0).slice(at, 400).to_pylist() if not t.isspace() for w in windows(running(t))], own, margin)
+                    prose += count(won.pop(PROSE))
+                    found = [(kind, w) for kind, ws in won.items() for w in dict.fromkeys(ws)]
+                    if found:
+                        yield batch_of([k for k, _ in found], [w for _, w in found], [None] * len(found))
+            yield batch_of([PROSE], [None], [prose.tobytes()])
+
+        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(NAMES), ORDERS, BUCKETS), dtype=np.int64)
+            for batch in batches:
+                kinds, phrases = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+                for kind in np.unique(kinds):
+                    total[kind] += count([phrases[i] for i in np.flatnonzero(kinds == kind)])
+            yield batch_of([PROSE], [None], [total.tobytes()])
+
+        schema = "kind int, phrase string, counts binary"
+        parts = rows.select(text).mapInArrow(dealt, schema).persist(StorageLevel.DISK_ONLY)
+        prose = _added(parts.where("counts is not null"), (ORDERS, BUCKETS))
+        phrases = None
+        if models is not None:  # each phrase once: frequency is no evidence
+            each = parts.where("phrase is not null").select("kind", "phrase").distinct()
+            phrases = _added(each.mapInArrow(counted, schema), (len(NAMES), ORDERS, BUCKETS))
+        models = fitted(prose, phrases)
+        parts.unpersist()
+        shared.unpersist()
     return models
 
 
@@ -261,7 +343,7 @@ def judge(texts: list[str | None], models: Models, coverage: float = 0.6, margin
     return out
 
 
-def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", sample_rows: int = SAMPLE_ROWS, coverage: float = 0.6, seed: int = 11) -> DataFrame:
+def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = 0.6) -> DataFrame:
     """``key, kind, share, n_places`` of the documents that hold residue: kind template, filler or notice.
 
     Null, empty and blank texts are no case; whole texts are read; repeated rows come out as often as they are there.
@@ -269,9 +351,7 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     spark = documents.sparkSession
     t = F.col(f"`{text}`")
     rows = documents.select(F.col(f"`{key}`").alias("_key"), t.alias("_text")).where(t.isNotNull() & (F.length(F.trim(t)) > 0))
-    # a fixed number of rows: those of the smallest hashes, whatever the size of the table
-    sample = [r[0] for r in rows.orderBy(F.xxhash64("_key", F.lit(seed)), "_key").limit(sample_rows).select("_text").collect()]
-    shared = spark.sparkContext.broadcast(train(sample).logs)
+    shared = spark.sparkContext.broadcast(train_table(rows).logs)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
