@@ -104,7 +104,7 @@ class Engine:
             return {
                 "status": OK,
                 "summary": loc.loc_totals(files, min_lines).first().asDict(),
-                "exceeding_files": plain(loc.exceeding(files, min_lines).orderBy(F.col("lines_total").desc(), "source").limit(1000)),
+                "exceeding_files": plain(loc.exceeding(files, min_lines).orderBy(F.col("lines_total").desc(), "source")),
                 "top_10_largest_files": plain(loc.largest(files)),
                 "by_extension": {r["ext"]: {"file_count": r["file_count"], "total_lines": r["total_lines"]} for r in loc.loc_by_extension(files).orderBy(F.col("total_lines").desc(), "ext").collect()},
             }
