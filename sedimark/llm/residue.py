@@ -308,6 +308,10 @@ def places(text: str) -> list[str]:
     return out
 
 
+#: of less residue than 8 characters the models cannot be sure; it must be seed phrases then
+KNOWN = frozenset(fold(s).strip(" .!") for kind in (FILLER, NOTICE) for s in SEEDS[kind])
+
+
 def judge(texts: list[str | None], models: Models, coverage: float = 0.6, margin: float = 0.08, template_margin: float = -0.6) -> list[tuple[str | None, float, list[str]]]:
     """(kind or None, coverage by residue, places) of each text. Null, empty and blank texts are no case."""
     cut = [windows(running(t)) if t and not t.isspace() else [] for t in texts]
@@ -335,7 +339,7 @@ def judge(texts: list[str | None], models: Models, coverage: float = 0.6, margin
         found = places("\n".join(hit)) if hit else []
         if found:
             kind = "template"
-        elif share >= coverage and residue >= 8:
+        elif share >= coverage and (residue >= 8 or residue and all(fold(w).strip(" .!") in KNOWN for w, b in zip(ws, bad) if b > margin)):
             kind = "filler" if (own[:, FILLER] * size)[bad > margin].sum() > (own[:, NOTICE] * size)[bad > margin].sum() else "notice"
         else:
             kind = None

@@ -22,3 +22,10 @@ def test_windows_are_judged_apart():
     models = train(PROSE)
     ratios = models.ratios(["404 Not Found", PROSE[0], "404 Not Found"])
     assert np.allclose(ratios[0], ratios[2], atol=1e-4)
+
+
+def test_short_filler_comes_out():
+    models = train(PROSE)
+    for text in ("TBD", "TODO", "TBA", "TBD\n\nTBD"):
+        assert judge([text], models)[0][0] == "filler", text
+    assert [j[0] for j in judge(["Notes", "Ledger", "x", "42", "1.", "-"], models)] == [None] * 6
