@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import functions as F
 
-from sedimark.operators.incremental import diff_manifests, manifest_of_chunks, manifest_of_runs, to_process
+from sedimark.operators.incremental import diff_manifests, manifest_of_chunks, manifest_of_runs
 from sedimark.operators.orphans import code_orphans, code_references
 from sedimark.operators.packed import split_fields
 from sedimark.plans.registry import Registry, table
+from sedimark.session import shared_folder
+from sedimark.sources.versions import VersionedTable, pending_files, process_new
 
 registry = Registry()
 
@@ -33,7 +38,7 @@ files as (
 @registry.query(f"with {_CONTENT} select f.source from files f left join state s on s.path = f.source where not f.gone and (s.digest is null or s.digest <> f.digest)")
 def p1_found(spark, d):
     """Files that exist and are new or changed since the last successful run of their scope."""
-    return to_process(table(spark, d, "code_chunks"), table(spark, d, "file_state"), table(spark, d, "ingest_runs")).select(F.col("path").alias("source"))
+    return pending_files(table(spark, d, "code_chunks"), table(spark, d, "file_state"), table(spark, d, "ingest_runs")).select(F.col("path").alias("source"))
 
 
 @registry.query(
@@ -50,6 +55,41 @@ def p1_changes(spark, d):
     return delta.groupBy(F.substring_index("path", "/", 1).alias("scope"), "change").agg(F.count(F.lit(1)).alias("files"))
 
 
+@registry.query(
+    """with v2 as (select doc_id, case when doc_id % 5 <> 0 then text when doc_id % 2 = 0 then 'new ' || doc_id end as text, case when doc_id % 5 = 0 then 2 else 1 end as run from documents where doc_id % 5 = 0 or doc_id % 13 <> 4)
+    select doc_id, md5(text) as text_md5, run::int as run from v2 where text is not null and doc_id % 17 <> 3"""
+)
+def p1_records(spark, d):
+    """What a consumer holds of a table that was changed, compacted and rebuilt between its runs, one of which died.
+
+    ``run`` is the run that processed the record: a record fed twice would have a later one, a lost delete would be a
+    row too many, and so would the old output of a record whose new text is null, which the consumer leaves out.
+    """
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    folder = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    source, target = VersionedTable(spark, f"{folder}/source", "doc_id"), VersionedTable(spark, f"{folder}/target", "doc_id")
+
+    def run(number: int, fails: bool = False) -> None:
+        def fn(delta):
+            if fails:
+                raise InterruptedError
+            return delta.where("text is not null").withColumn("run", F.lit(number))
+
+        process_new(source, target, fn)
+
+    source.commit(rows, append=True)
+    run(1)
+    fresh = rows.where("doc_id % 5 = 0").withColumn("text", F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("new "), F.col("doc_id").cast("string"))))
+    source.commit(fresh, rows.where("doc_id % 13 = 4").select("doc_id"))
+    source.compact()
+    with contextlib.suppress(InterruptedError):
+        run(2, fails=True)
+    run(2)
+    source.commit(source.read().where("doc_id % 17 != 3"), append=True, rebuild=True)
+    run(3)
+    return target.read().select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "run")
+
+
 _UP = "x"
 for _ in range(8):
     _UP = f"regexp_replace({_UP}, '(^|/)(?:[^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+)/\\.\\.(/|$)', '\\1')"

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -10,6 +12,8 @@ from sedimark.operators import loc, project_map, search, styles, windows
 from sedimark.operators import audit as layout
 from sedimark.operators import edges as relations
 from sedimark.plans.registry import Registry, table
+from sedimark.session import shared_folder
+from sedimark.sources.versions import VersionedTable
 
 registry = Registry()
 QUERY = "stylesheets wrap rule panels"
@@ -584,12 +588,14 @@ def snapshot_diff(spark, d):
 
 @registry.query("select doc_id, md5(coalesce(case when doc_id % 5 = 0 then 'new ' || doc_id else text end, '')) as text_md5 from documents where doc_id % 13 <> 4")
 def upsert_and_delete(spark, d):
-    """A table after an upsert of every fifth record and a delete of others (L2, L3)."""
+    """A versioned table after an upsert of every fifth record and a delete of others, compacted."""
     rows = table(spark, d, "documents").select("doc_id", "text")
-    fresh = rows.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("new "), F.col("doc_id").cast("string")))
-    gone = rows.where("doc_id % 13 = 4").select("doc_id")
-    merged = rows.join(fresh.select("doc_id"), "doc_id", "left_anti").unionByName(fresh).join(gone, "doc_id", "left_anti")
-    return merged.select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
+    held = VersionedTable(spark, f"{shared_folder(spark)}/upserted-{uuid.uuid4().hex}", "doc_id")
+    held.commit(rows, append=True)
+    held.commit(rows.where("doc_id % 5 = 0").withColumn("text", F.concat(F.lit("new "), F.col("doc_id").cast("string"))))
+    held.commit(deletes=rows.where("doc_id % 13 = 4").select("doc_id"))
+    held.compact()
+    return held.read().select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
 @registry.query()

@@ -1,11 +1,16 @@
-"""Spark session set-up and the shared checkpoint folder."""
+"""Spark session set-up and the shared folder of intermediate tables."""
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_LOCAL: dict[str, str] = {}
+
 
 def local_session(cores: int = 8, app: str = "sedimark", **conf: str) -> SparkSession:
     """A session for one machine; on a cluster pass the cluster's own session to the operators instead."""
@@ -24,18 +29,42 @@ def local_session(cores: int = 8, app: str = "sedimark", **conf: str) -> SparkSe
     return builder.getOrCreate()
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the folder the cluster names in ``spark.checkpoint.dir``.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the cluster names in ``spark.checkpoint.dir``.
 
-    The setting is read from the session. Only where it is unset (tests, a single machine) a temporary folder is
-    used, because a machine-local folder cannot survive the loss of an executor.
+    On one machine (a local master) a temporary folder stands in where it is unset; elsewhere that is an error, since a
+    machine-local folder is not seen by other machines and does not survive the loss of an executor.
     """
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder:
+        return folder.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset: name a folder that all machines share")
+    own = _LOCAL.get(spark.sparkContext.applicationId)
+    if own is None:
+        own = _LOCAL[spark.sparkContext.applicationId] = tempfile.mkdtemp(prefix="sedimark-shared-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+    return own
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """``df`` as a table written to the shared folder: nothing before it is computed again, whatever executor is lost."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="sedimark-checkpoint-"))
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark)}/sedimark-{spark.sparkContext.applicationId}/{uuid.uuid4().hex}"
+    schema = df.schema
+    df.write.parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._sedimark_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table of :func:`cut_lineage` that nothing reads any more."""
+    path = getattr(df, "_sedimark_path", None)
+    if path:
+        spark = df.sparkSession
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def shuffle_width(spark: SparkSession) -> int:

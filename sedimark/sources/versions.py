@@ -4,12 +4,14 @@ Built-in file tables have no row-level delete or upsert, so a version is a manif
 
 * ``data``: folders of Parquet files, never rewritten once a manifest names them,
 * ``deletes``: folders with the keys that are masked from the data folders older than them,
+* ``step``: the folders that this version itself added (none for a compaction), from which deltas are made,
 * ``processed``: for each upstream table, the version of it that led to this one,
 * ``meta``: free entries such as the schema version and the embedding model.
 
-A commit is one rename that fails if the version is there already, so of two writers one wins, and a writer that dies
-leaves only folders that no manifest names. Readers pin a version and need no lock. Paths go through Hadoop's file
-system classes and may be on any store that Spark can reach.
+A commit puts one manifest in place, which fails if the version is there already, so of two writers one wins, and a
+writer that dies leaves only folders that no manifest names. Readers pin a version and need no lock. Paths go through
+Hadoop's file system classes. On a local disk the manifest is linked into place, on a distributed file system renamed;
+both are atomic. Object stores have no atomic rename: there a table takes one writer at a time.
 """
 
 from __future__ import annotations
@@ -20,10 +22,12 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sedimark.operators.incremental import REMOVED, record_delta
+from sedimark.operators.incremental import REMOVED, manifest_of_chunks, manifest_of_runs, record_delta
+from sedimark.session import shared_folder
 
 
 class CommitConflict(RuntimeError):
@@ -53,7 +57,7 @@ class VersionedTable:
     def manifest(self, version: int | None = None) -> dict:
         version = self.version() if version is None else version
         if not version:
-            return {"version": 0, "data": [], "deletes": [], "processed": {}, "meta": {}}
+            return {"version": 0, "data": [], "deletes": [], "step": {}, "processed": {}, "meta": {}}
         stream = self._fs.open(self._path(self._manifest_path(version)))
         try:
             text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
@@ -107,28 +111,32 @@ class VersionedTable:
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
     def changes(self, old: int, new: int | None = None) -> DataFrame | None:
-        """Record deltas between two versions: rows with ``_change`` ``upsert`` or ``delete``.
+        """Record deltas between two versions: rows with ``_change`` ``upsert`` or ``delete``; None where the table was never written to.
 
-        From the manifests alone, only folders that one manifest names and the other does not are read; what both have
-        is not touched. A key that was deleted and written again comes out once, as an upsert. Where the table was
-        compacted or rebuilt in between, the folders say nothing, and the rows of the two versions are compared.
+        Each version's manifest names the folders that it added itself, and those of the versions in between are read;
+        what was there before is not touched, and a compaction, which adds no record, yields nothing. Of several
+        changes of a key the last counts. Where the table was rebuilt in between, or ``old`` is 0, the rows of the two
+        versions are compared.
         """
-        a, b = self.manifest(old), self.manifest(new)
-        if a["version"] and b.get("rebuilt_since", 0) > a["version"]:
-            return self._compared(a["version"], b["version"])
-        known = {e["folder"] for e in a["data"]}
-        masks = {e["folder"] for e in a["deletes"]}
-        parts = []
-        for entry in b["data"]:
-            if entry["folder"] not in known:
-                rows = self.spark.read.parquet(f"{self.root}/{entry['folder']}")
-                later = [f"{self.root}/{d['folder']}" for d in b["deletes"] if d["since"] > entry["since"]]
+        last = self.manifest(new)
+        if not old or last.get("rebuilt_since", 0) > old:
+            return self._compared(old, last["version"])
+        steps = [self.manifest(v)["step"] | {"since": v} for v in range(old + 1, last["version"])] + ([last["step"] | {"since": last["version"]}] if last["version"] > old else [])
+        keys = lambda step: [f"{self.root}/{step[k]}" for k in ("deletes", "mask") if step.get(k)]
+        parts, gone = [], []
+        for i, step in enumerate(steps):
+            if step.get("data"):
+                rows = self.spark.read.parquet(f"{self.root}/{step['data']}")
+                later = [k for x in steps[i + 1 :] for k in keys(x)]
                 if later:
                     rows = rows.join(self.spark.read.parquet(*later).distinct(), self.key, "left_anti")
                 parts.append(rows.withColumn("_change", F.lit("upsert")))
+            if step.get("deletes"):
+                gone.append(f"{self.root}/{step['deletes']}")
         upserts = reduce(lambda x, y: x.unionByName(y, allowMissingColumns=True), parts) if parts else None
-        gone = [f"{self.root}/{d['folder']}" for d in b["deletes"] if d["folder"] not in masks and not d.get("for_upsert")]
         if not gone:
+            if upserts is None and (rows := self.read(new)) is not None:
+                upserts = rows.limit(0).withColumn("_change", F.lit("upsert"))
             return upserts
         deletes = self.spark.read.parquet(*gone).distinct().withColumn("_change", F.lit("delete"))
         if upserts is None:
@@ -175,11 +183,13 @@ class VersionedTable:
             "processed": {**last["processed"], **(processed or {})},
             "meta": {**last["meta"], **(meta or {})},
             "rebuilt_since": now if rebuild else last.get("rebuilt_since", 0),
+            "step": {},
         }
         if deletes is not None and not rebuild:
             folder = f"deletes/{uuid.uuid4().hex}"
             deletes.select(self.key).distinct().write.parquet(f"{self.root}/{folder}")
             out["deletes"].append({"folder": folder, "since": now})
+            out["step"]["deletes"] = folder
         if upserts is not None:
             folder = f"data/{uuid.uuid4().hex}"
             rows = upserts if append else upserts.dropDuplicates([self.key])
@@ -187,21 +197,21 @@ class VersionedTable:
             if not append and not rebuild and out["data"]:
                 mask = f"deletes/{uuid.uuid4().hex}"
                 self.spark.read.parquet(f"{self.root}/{folder}").select(self.key).write.parquet(f"{self.root}/{mask}")
-                out["deletes"].append({"folder": mask, "since": now, "for_upsert": True})
+                out["deletes"].append({"folder": mask, "since": now})
+                out["step"]["mask"] = mask
             out["data"].append({"folder": folder, "since": now})
+            out["step"]["data"] = folder
         return self._commit(out)
 
     def compact(self, files: int | None = None) -> int:
-        """Rewrite the live rows into one data folder without masks; the rows of the version do not change."""
+        """Rewrite the live rows into one data folder without masks; no row changes, so consumers get an empty delta."""
         last = self.manifest()
         rows = self.read()
         if rows is None:
             return last["version"]
         folder = f"data/{uuid.uuid4().hex}"
         (rows.coalesce(files) if files else rows).write.parquet(f"{self.root}/{folder}")
-        return self._commit(
-            {**last, "version": last["version"] + 1, "data": [{"folder": folder, "since": last["version"] + 1}], "deletes": [], "rebuilt_since": last["version"] + 1}
-        )
+        return self._commit({**last, "version": last["version"] + 1, "data": [{"folder": folder, "since": last["version"] + 1}], "deletes": [], "step": {}})
 
 
 def process_new(
@@ -210,7 +220,9 @@ def process_new(
     """Apply ``fn`` to the records of ``source`` that changed since the version named in ``target``'s last commit.
 
     The output and the processed version are one commit, so a failure before it repeats the same delta and a failure
-    after it repeats nothing. Returns the new version of ``target``, or None when there was nothing new.
+    after it repeats nothing. What the target held of a changed record goes in the same commit, so a record that
+    ``fn`` now leaves out leaves no old output behind. ``fn`` keeps the key. Returns the new version of ``target``, or
+    None when there was nothing new.
     """
     name = name or source.root
     done, now = target.manifest()["processed"].get(name, 0), source.version()
@@ -219,5 +231,21 @@ def process_new(
     delta = source.changes(done, now)
     if delta is None:
         return target.commit(processed={name: now})
-    upserts = fn(delta.where("_change = 'upsert'").drop("_change"))
-    return target.commit(upserts, delta.where("_change = 'delete'").select(source.key).withColumnRenamed(source.key, target.key), processed={name: now})
+    delta = delta.persist(StorageLevel.DISK_ONLY)
+    try:
+        upserts = fn(delta.where("_change = 'upsert'").drop("_change"))
+        return target.commit(upserts, delta.select(F.col(source.key).alias(target.key)), processed={name: now})
+    finally:
+        delta.unpersist()
+
+
+def pending_files(chunks: DataFrame, file_state: DataFrame, runs: DataFrame) -> DataFrame:
+    """The paths that the next run must process: those that are new or changed since the last run of their scope that succeeded.
+
+    Both versions are versions of one table in the shared folder, with a record ``path, digest`` per file: the first is
+    what the successful runs left, the second what the chunks hold now, without the deleted files.
+    """
+    table = VersionedTable(chunks.sparkSession, f"{shared_folder(chunks.sparkSession)}/file-versions-{uuid.uuid4().hex}", key="path")
+    table.commit(manifest_of_runs(file_state, runs).select("path", "digest"), append=True)
+    table.commit(manifest_of_chunks(chunks).where("not deleted").select("path", "digest"), append=True, rebuild=True)
+    return table.changes(1, 2).where("_change = 'upsert'").select("path")

@@ -29,3 +29,27 @@ def test_deltas_over_compaction_and_rebuild(spark, tmp_path):
     source.commit(rebuild=True)
     process_new(source, target, note)
     assert read(target) == [] and process_new(source, target, note) is None
+
+
+def test_deletes_and_outputs_over_a_compaction(spark, tmp_path):
+    """A delete before a compaction arrives, what did not change is not fed again, and no old output stays."""
+    source, target = VersionedTable(spark, f"{tmp_path}/s"), VersionedTable(spark, f"{tmp_path}/t")
+    frame = lambda *rows: spark.createDataFrame(list(rows), "id long, v string")
+    fed = []
+
+    def keep(df):
+        fed.append(sorted(r.id for r in df.collect()))
+        return df.where("v != 'drop'")
+
+    source.commit(frame((1, "a"), (2, "b"), (3, "keep"), (4, "d")))
+    process_new(source, target, keep)
+    source.commit(deletes=frame((2, "")))
+    source.compact()
+    source.commit(frame((3, "drop"), (4, "d2")))
+    source.commit(frame((4, "d3")), frame((5, "")))
+    source.compact()
+    assert source.changes(5, 6).isEmpty()
+    process_new(source, target, keep)
+    assert sorted(map(tuple, target.read().collect())) == [(1, "a"), (4, "d3")]
+    assert fed == [[1, 2, 3, 4], [3, 4]]
+    assert {(r.id, r._change) for r in target.changes(1).collect()} == {(2, "delete"), (3, "delete"), (5, "delete"), (4, "upsert")}
