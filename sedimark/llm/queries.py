@@ -62,6 +62,25 @@ def p5_pieces(spark, d):
     return split_oversized(table(spark, d, "code_chunks"))
 
 
+@registry.query(
+    f"""with o as (select distinct on (id) id, start_line, text from code_chunks where id is not null and ({_OVER})), n as (select *, length(text) - length(replace(text, chr(10), '')) + case when right(text, 1) = chr(10) then 0 else 1 end as n from o)
+    select id, md5(text) as text_md5, 0::bigint as over_limit, coalesce(start_line, 1)::int as first_line, (coalesce(start_line, 1) + n - 1)::int as last_line, 0::bigint as gaps from n"""
+)
+def p5_whole(spark, d):
+    """What the pieces of a chunk must be together: its text once, without gaps, each within the limits."""
+    pieces = split_oversized(table(spark, d, "code_chunks"))
+    own = F.struct("piece", F.expr("substring(text, shared_chars + 1)").alias("t"), "start_line", "end_line")
+    rows = pieces.groupBy("id").agg(
+        F.array_sort(F.collect_list(own)).alias("p"),
+        F.count_if((F.length("text") > 4000) | (F.col("end_line") - F.col("start_line") >= 50)).alias("over_limit"),
+        F.min("start_line").alias("first_line"),
+        F.max("end_line").alias("last_line"),
+    )
+    whole = F.array_join(F.transform("p", lambda x: x["t"]), "")
+    gaps = F.size(F.filter(F.sequence(F.lit(1), F.size("p") - 1), lambda i: F.col("p")[i]["start_line"] > F.col("p")[i - 1]["end_line"] + 1))
+    return rows.select("id", F.md5(whole.cast("binary")).alias("text_md5"), "over_limit", "first_line", "last_line", gaps.cast("long").alias("gaps"))
+
+
 @registry.query(f"select scope, count(*) as over_limit, max(length(text)) as longest from (select distinct id, scope, text from code_chunks where {_OVER}) group by scope")
 def p5_by_scope(spark, d):
     """Chunks over the limit per scope."""

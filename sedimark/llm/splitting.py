@@ -2,17 +2,22 @@
 
 The hierarchy, coarse to fine: *section* (before a line at the outermost indentation that follows a blank line, and
 before headings and top-level declarations), *paragraph* (after blank lines), *line*, *sentence* (after ``; } { . ! ?``
-and white space or a bracket), *word* (after white space) and *character*. A span that is too large for one piece is
-split by the coarsest separator in it, and so on down; the atoms are then packed greedily up to the limits. A piece
-begins with the last ``overlap`` lines of the one before wherever those and the next line fit the limits together;
-otherwise with as many whole lines as fit.
+and white space or a bracket), *word* (after white space) and *character*.
+
+A text is split by sections; parts are packed greedily, in order, into the piece under way. A part that does not fit
+ends the piece, if that is at least half full; otherwise the part is split by the next separator that it holds, and so
+on down, and its parts are packed. So a piece ends at the coarsest boundary in its second half. Only a line that no
+piece can hold is cut within, and what is left of it is packed with the lines that follow. A piece begins with the last
+``overlap`` lines of the one before; where those and the next line (its first sentence, if it has to be cut) exceed the
+limits together, with as many of them as fit.
 """
 
 from __future__ import annotations
 
 import re
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -51,73 +56,80 @@ def levels(lines: list[str]) -> list[int]:
     return out
 
 
-def cut_line(line: str, limit: int) -> list[str]:
-    """One line that is longer than ``limit``, in pieces: by sentences, then words, then characters, packed greedily."""
-    out, at, n = [], 0, len(line)
-    while n - at > limit:
-        window = line[at : at + limit]
-        stop = 0
-        for pattern in (_SENTENCE, _WORD):
-            last = None
-            # the last separator in the second half; walking a short tail, not the whole line
-            for m in pattern.finditer(window, limit // 2):
-                last = m
-            if last and last.end() > 0:
-                stop = last.end()
-                break
-        out.append(line[at : at + (stop or limit)])
-        at += stop or limit
-    out.append(line[at:])
-    return out
+def _inside(text: str, a: int, b: int, pattern: re.Pattern) -> list[tuple[int, int]]:
+    """The parts of ``text[a:b]`` that end where the pattern matches."""
+    cuts = [m.end() for m in pattern.finditer(text, a, b) if a < m.end() < b]
+    return list(zip([a, *cuts], [*cuts, b])) if cuts else []
+
 
+SECTION, PARAGRAPH, LINE, SENTENCE, WORD, CHARACTER = range(6)
 
-def split_text(text: str, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int, str]]:
-    """``(first line, last line, text)`` of the pieces, lines from 1. A text within the limits is one piece.
 
-    Without their overlaps the pieces are the text. Nothing comes of an empty text.
+def split_text(text: str, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> list[tuple[int, int, int, str]]:
+    """``(first line, last line, shared characters, text)`` of the pieces, lines from 1. A text within the limits is one piece.
+
+    Without the characters that they share with the piece before, the pieces are the text. Nothing comes of an empty text.
     """
     if not text:
         return []
     lines = split_lines(text)
     if len(lines) <= max_lines and len(text) <= max_chars:
-        return [(1, len(lines), text)]
+        return [(1, len(lines), 0, text)]
+    starts = [0, *accumulate(map(len, lines))]
     grade = levels(lines)
-    total = [0]
-    for line in lines:
-        total.append(total[-1] + len(line))
-    fits = lambda a, b: b - a <= max_lines and total[b] - total[a] <= max_chars
-    at_grade = {g: [i for i, x in enumerate(grade) if x >= g] for g in (2, 3)}
-    out: list[tuple[int, int, str]] = []
-    n, done, start = len(lines), 0, 0
-    while done < n:
-        if len(lines[done]) > max_chars:
-            # a line that no piece can hold is cut within; its last part is not shared
-            for part in cut_line(lines[done], max_chars):
-                out.append((done + 1, done + 1, part))
-            done += 1
-            start = done
+    cuts = {g: [starts[i] for i, x in enumerate(grade) if x >= 3 - g] for g in (SECTION, PARAGRAPH, LINE)}
+    line_of = lambda at: bisect_right(starts, at) - 1
+    fits = lambda a, b: b - a <= max_chars and line_of(b - 1) - line_of(a) < max_lines
+
+    def parts(a: int, b: int, level: int, room: int) -> list[tuple[int, int, int]]:
+        """The span split by the coarsest separator in it, from ``level`` on, each part with the level to go on with."""
+        for g in range(level, LINE + 1):
+            own = cuts[g][bisect_right(cuts[g], a) : bisect_left(cuts[g], b)]
+            if own:
+                return [(x, y, g + 1) for x, y in zip([a, *own], [*own, b])]
+        if level <= SENTENCE and (found := _inside(text, a, b, _SENTENCE)):
+            return [(x, y, WORD) for x, y in found]
+        if level <= WORD and (found := _inside(text, a, b, _WORD)):
+            return [(x, y, CHARACTER) for x, y in found]
+        return [(a, a + room, CHARACTER), (a + room, b, CHARACTER)]
+
+    out: list[tuple[int, int, int, str]] = []
+    todo = [(0, len(text), SECTION)]
+    start = begin = end = 0  # the piece is text[start:end], of which text[begin:end] is new
+
+    def emit() -> None:
+        nonlocal start, begin
+        out.append((line_of(start) + 1, line_of(end - 1) + 1, begin - start, text[start:end]))
+        at = line_of(end)
+        begin = end
+        whole = end == starts[at]
+        start = max(starts[line_of(start) + 1], starts[max(0, at - overlap)]) if whole and overlap else end
+        start = min(start, end)
+
+    def splits(a: int, b: int) -> bool:
+        """Whether a part is cut on: it has several lines, or is a piece of a line that no piece can hold and either
+        exceeds the limit alone or would fill the piece under way."""
+        i = line_of(a)
+        if starts[i + 1] < b:
+            return True
+        return starts[i + 1] - starts[i] > max_chars and b - a > 1 and (b - a > max_chars or end > begin)
+
+    while todo:
+        a, b, level = todo.pop()
+        if fits(start, b):
+            end = b
             continue
-        most = done + 1
-        low, high = done + 1, min(n, start + max_lines)
-        while low <= high:  # the furthest end that fits
-            mid = (low + high) // 2
-            if fits(start, mid):
-                most, low = mid, mid + 1
-            else:
-                high = mid - 1
-        stop = most
-        if most < n:
-            for g in (3, 2):  # the last cut of the coarsest separator that leaves the piece at least half full
-                i = bisect_right(at_grade[g], most) - 1
-                if i >= 0 and at_grade[g][i] > done and at_grade[g][i] - start >= (most - start) // 2:
-                    stop = at_grade[g][i]
-                    break
-        out.append((start + 1, stop, "".join(lines[start:stop])))
-        done = stop
-        if done < n:
-            start = max(start + 1, stop - overlap, 0)
-            while start < done and not fits(start, done + 1):
-                start += 1
+        half = end - start >= max_chars // 2 or line_of(end - 1) - line_of(start) + 1 >= max_lines // 2
+        if end > begin and (half or not splits(a, b)):
+            emit()
+            todo.append((a, b, level))
+        elif splits(a, b):
+            todo += reversed(parts(a, b, level, max(1, max_chars - (a - start))))
+        else:  # share fewer lines
+            start = min(starts[line_of(start) + 1], a)
+            todo.append((a, b, level))
+    if end > begin:
+        emit()
     return out
 
 
@@ -129,24 +141,24 @@ def oversized(chunks: DataFrame, max_lines: int = MAX_LINES, max_chars: int = MA
 
 
 def split_oversized(chunks: DataFrame, max_lines: int = MAX_LINES, max_chars: int = MAX_CHARS, overlap: int = OVERLAP) -> DataFrame:
-    """The pieces of the rows over the limits: ``id, piece, start_line, end_line, text``.
+    """The pieces of the rows over the limits: ``id, piece, start_line, end_line, shared_chars, text``.
 
-    Lines count on from the row's ``start_line`` (from 1 where it is null). Rows delivered more than once count once.
+    ``shared_chars`` of a piece's text are the end of the piece before. Lines count on from the row's ``start_line`` (from 1 where it is null). Rows delivered more than once count once.
     Only rows over a limit leave the JVM; the scan reads four columns.
     """
     rows = oversized(chunks.select("id", "start_line", "text"), max_lines, max_chars).where("id is not null")
     rows = rows.dropDuplicates(["id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["id", "piece", "start_line", "end_line", "text"]
-        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.string())
+        names = ["id", "piece", "start_line", "end_line", "shared_chars", "text"]
+        kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.string())
         for batch in batches:
             for at in range(0, batch.num_rows, 1000):
                 out: list[tuple] = []
                 for key, first, text in zip(*(c.slice(at, 1000).to_pylist() for c in batch.columns)):
                     base = (first if first is not None else 1) - 1
-                    for i, (a, b, piece) in enumerate(split_text(text, max_lines, max_chars, overlap), 1):
-                        out.append((key, i, base + a, base + b, piece))
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 5, kinds)], names)
+                    for i, (a, b, shared, piece) in enumerate(split_text(text, max_lines, max_chars, overlap), 1):
+                        out.append((key, i, base + a, base + b, shared, piece))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 6, kinds)], names)
 
-    return rows.mapInArrow(run, "id string, piece int, start_line int, end_line int, text string")
+    return rows.mapInArrow(run, "id string, piece int, start_line int, end_line int, shared_chars int, text string")

@@ -9,24 +9,23 @@ LINES = st.lists(st.text("ab {};.\n\té", max_size=120), max_size=160).map("\n".
 def check(text, max_lines, max_chars, overlap):
     pieces = split_text(text, max_lines, max_chars, overlap)
     lines = split_lines(text)
-    done, whole = 0, []
-    for i, (a, b, piece) in enumerate(pieces):
-        assert len(piece) <= max_chars and b - a + 1 <= max_lines and 1 <= a <= b <= len(lines)
-        full = "".join(lines[a - 1 : b])
-        if piece == full:
-            fresh = max(done, a - 1)
-            whole.append("".join(lines[fresh:b]))
-            if i and pieces[i - 1][2] == "".join(lines[pieces[i - 1][0] - 1 : pieces[i - 1][1]]) and a - 1 < len(lines):
-                shared = pieces[i - 1][1] - a + 1
-                if shared < overlap and a > pieces[i - 1][0] + 1:  # one more line would not have fitted
-                    more = lines[a - 2 : pieces[i - 1][1] + 1]
-                    assert len(more) > max_lines or sum(map(len, more)) > max_chars
-            done = b
-        else:  # part of a line that no piece can hold
-            assert a == b and len(lines[a - 1]) > max_chars
-            whole.append(piece)
-            done = b
-    assert "".join(whole) == text
+    starts = [0]
+    for line in lines:
+        starts.append(starts[-1] + len(line))
+    assert "".join(piece[shared:] for _, _, shared, piece in pieces) == text
+    done = 0
+    for i, (a, b, shared, piece) in enumerate(pieces):
+        begin = done - shared
+        done = begin + len(piece)
+        assert text[begin:done] == piece and 0 < len(piece) <= max_chars and b - a + 1 <= max_lines
+        assert starts[a - 1] <= begin < starts[a] and starts[b - 1] < done <= starts[b]
+        assert done == starts[b] or len(lines[b - 1]) > max_chars  # only a line that no piece can hold is cut within
+        assert shared == 0 or begin == starts[a - 1]
+        if i and done - len(piece) + shared in starts:  # one more line would not have fitted with the next one
+            last = pieces[i - 1][1]
+            if last - a + 1 < overlap and a > pieces[i - 1][0] + 1 and len(lines[last]) <= max_chars:
+                more = lines[a - 2 : last + 1]
+                assert len(more) > max_lines or sum(map(len, more)) > max_chars
     return pieces
 
 
@@ -40,7 +39,7 @@ def test_cuts_at_sections_and_shares_ten_lines():
     body = "".join(f"def f{i}():\n    return {i}\n\n" for i in range(40))
     pieces = check(body, 50, 4000, 10)
     assert len(pieces) == 3
-    for (a, b, _), (c, _, _) in zip(pieces, pieces[1:]):
+    for (a, b, _, _), (c, _, _, _) in zip(pieces, pieces[1:]):
         assert b - c + 1 == 10
         assert split_lines(body)[b].startswith("def ")
 
@@ -49,7 +48,31 @@ def test_one_endless_line():
     pieces = check("x" * 30_000, 50, 4000, 10)
     assert len(pieces) == 8 and {p[:2] for p in pieces} == {(1, 1)}
     words = check("word " * 3000, 50, 4000, 10)
-    assert all(p[2].endswith(" ") for p in words)
+    assert all(p[3].endswith(" ") for p in words)
+
+
+def test_the_rest_of_a_long_line_is_packed_with_the_lines_that_follow():
+    text = "".join(f"line {i}\n" for i in range(60)) + "x y. " * 820 + "\n" + "".join(f"more {i}\n" for i in range(20))
+    pieces = check(text, 50, 4000, 10)
+    assert [p[:2] for p in pieces] == [(1, 50), (41, 61), (61, 81)]
+    assert pieces[1][3].endswith("x y.") and pieces[2][2] == 0
+
+
+def test_a_part_is_split_by_the_coarsest_separator_it_holds():
+    """A section too large for a piece is split by paragraphs, a paragraph by lines, a line by sentences, then words."""
+    section = "def f():\n" + "\n".join("    a = 1\n    b = 2\n    c = 3\n" for _ in range(30))
+    pieces = check("x = 1\n\n" + section, 50, 4000, 0)
+    assert all(p[3].endswith("c = 3\n\n") or p is pieces[-1] for p in pieces)
+    sentences = check("One two three. " * 20, 50, 100, 0)
+    assert all(p[3].rstrip().endswith(".") for p in sentences)
+    words = check("one two three " * 20, 50, 100, 0)
+    assert all(p[3].endswith(" ") for p in words)
+
+
+def test_a_line_that_fits_is_never_cut():
+    text = "".join("y" * 3900 + "\n" + "short\n" * 12 for _ in range(3))
+    for a, b, _, piece in check(text, 50, 4000, 10):
+        assert piece == "".join(split_lines(text)[a - 1 : b])
 
 
 def test_table(spark):
