@@ -1,17 +1,23 @@
 """Template residue and error-page text: character n-gram models, likelihood-ratio windows, exclusion by coverage.
 
-* *Models.* Interpolated character n-gram models (orders 1 to 5, hashed contexts): natural prose, filler, error and
-  access messages with notices that scripts or another browser are needed, unfilled template places, and prose about
-  such texts, which is content. All but the first start from the seed phrases below; prose is fitted on all documents.
-  Then the models sort the windows of all documents, and each is fitted again on what it won (``rounds`` times): so the
-  residue models learn the collection's phrasing, and prose forgets the residue that the documents held. Counts are
-  whole numbers, added up per task and then as a tree, so the models do not depend on how rows are dealt.
-* *Windows.* A text's running part (no fenced code, no inline code) is cut into windows (sentences, lines). A window's
-  score for a class is its mean log likelihood ratio against prose. Windows that the models cannot tell apart (short
-  headings, navigation) are neutral.
-* *Coverage.* A document is filler, an error page or a notice when windows of these classes cover at least
-  ``coverage`` of its characters that are not neutral; code counts as content. It has unfilled places when a window that scores for the template
-  class holds one: an exact pattern confirms that the span is a place, not code, quoted code or a link.
+* *Models.* Conditional character n-gram models, interpolated over orders 1 to 5: natural prose, filler, error and access
+  messages (with notices that scripts or another browser are needed), and prose about such texts, which is content. The
+  probability of a character after k characters is ``(count + m * P)/(count of the k characters + m)``, where ``P`` is
+  its probability after k - 1 of them; the residue models end in the prose model instead of a uniform one, so where
+  they know nothing the ratio is even. Counts are kept by hash in tables of a fixed size.
+* *Training.* The residue models start from the seed phrases below, prose from all windows of all documents. Then, for
+  ``rounds`` rounds, the models sort all windows: one whose ratio to prose is positive as a whole goes to the class with
+  the best ratio; one that only holds a stretch that is far likelier as residue than as prose belongs to no model; the
+  others are prose. So prose forgets the residue that the documents hold, and the residue models learn the collection's
+  phrasing. Each distinct window of the collection is sorted once; prose counts it as often as it occurs, the residue
+  models once. Counts are whole numbers, added up per task and then as a tree: they do not depend on how rows are dealt.
+* *Windows.* A text's running part (no fenced code, no inline code) is cut into sentences and lines. A window is residue
+  where its log likelihood ratio against prose exceeds ``evidence`` nats, prose where it is below the negative; what
+  lies between (headings, menus) is neutral.
+* *Coverage.* A document is filler, an error page or a notice when windows of these classes cover at least ``coverage``
+  of its characters that are not neutral; code counts as content.
+* *Places.* Unfilled template places are a matter of form, of which n-gram models see little: the collection's own prose
+  is full of them. They are found by exact patterns in the windows of running text, without a model.
 
 The broadcast models have a fixed size (``BUCKETS`` times the orders and classes), whatever the data.
 """
@@ -19,24 +25,33 @@ The broadcast models have a fixed size (``BUCKETS`` times the orders and classes
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sedimark.session import cut_lineage, drop_table
+
 BUCKETS = 1 << 17
 ORDERS = 5
-PROSE, FILLER, NOTICE, TEMPLATE, ABOUT = range(5)
-NAMES = ("prose", "filler", "notice", "template", "about")
+PROSE, FILLER, NOTICE, ABOUT = range(4)
+NAMES = ("prose", "filler", "notice", "about")
 #: between windows, so that no context reaches into the window before
 GAP = ORDERS - 1
-#: a window of at most so many characters that ends in no sentence mark (a heading, a menu) is no prose
-SHORT = 32
-#: an unbroken run of more characters is data, not filler
-ENDLESS = 120
+_BEGIN = "\x02" * (GAP + 1)
+_END = "\x03" + _BEGIN
+#: weight of the lower order in prose, and in the residue models
+PROSE_MASS, CLASS_MASS = 4.0, 2.0
+#: a longer run of characters without white space is no word but data, which counts as content
+LONGEST_WORD = 120
+#: a seed phrase weighs as so many windows
+SEED_WEIGHT = 3
+#: a stretch is suspicious when its log ratio exceeds this and the logarithm of the window's length, by which the best
+#: of as many chance stretches grows
+SUSPICIOUS = 1.5
 
 #: seed phrases per class, in the languages of the collection (fixed values)
 SEEDS: dict[int, list[str]] = {
@@ -51,29 +66,27 @@ SEEDS: dict[int, list[str]] = {
     FILLER: [
         "Lorem ipsum dolor sit amet, consectetur adipiscing elit, sed do eiusmod tempor incididunt ut labore et dolore magna aliqua. Ut enim ad minim veniam, quis nostrud exercitation ullamco laboris nisi ut aliquip ex ea commodo consequat. Duis aute irure dolor in reprehenderit in voluptate velit esse cillum dolore eu fugiat nulla pariatur. Excepteur sint occaecat cupidatat non proident, sunt in culpa qui officia deserunt mollit anim id est laborum.",
         "Praesent vestibulum morbi felis integer aptent taciti sociosqu ad litora torquent per conubia nostra. Curabitur velit magnis ornare tempus blandit aliquam nostra curabitur lorem ipsum magna praesent dolor integer.",
-        "Sample text.", "Sample text. Sample text.", "Placeholder text.", "Placeholder paragraph for the page.", "This is placeholder text.", "Text goes here.", "More text goes here.", "Your text goes here.", "Heading one", "Body copy to be supplied.", "Copy to come.",
+        "Sample text.", "Placeholder text.", "This is placeholder text.", "Text goes here.", "Your text goes here.", "Copy to come.",
         "TBD", "TBA", "TODO", "to be written", "to be supplied", "Content coming soon.", "Coming soon.", "Check back later for this section.", "Under construction.", "This page is under construction.", "Dummy text.", "Insert text here.",
-        "asdf asdf asdf jkl jkl asdf", "test test 1 test test", "test test test", "xxxxx xxxxx xxxxx", "xxx xxx xxx", "foo bar baz foo bar", "qwerty qwerty", "blah blah blah", "aaa bbb ccc",
-        "Texto de relleno.", "Texto de ejemplo.", "Contenido pendiente.", "Aquí va el texto.", "Próximamente.", "Contenido próximamente.", "Página en construcción.",
-        "Texte provisoire.", "Texte de remplissage.", "Contenu à venir.", "Le texte vient ici.", "Page en construction.", "Bientôt disponible.",
+        "asdf jkl asdf jkl", "asdf asdf", "jkl jkl jkl", "hjkl hjkl asdf asdf asdf", "xxxxx xxxxx", "xxxxx xxxxx xxxxx", "test test 1 test test", "test test test", "xxx xxx xxx xxx", "foo bar baz foo bar", "qwerty qwerty", "blah blah blah", "aaa bbb ccc",
+        "Texto de relleno.", "Texto de ejemplo.", "Aquí va el texto.", "Próximamente.", "Contenido próximamente.", "Página en construcción.",
+        "Texte de remplissage.", "Contenu à venir.", "Le texte vient ici.", "Page en construction.", "Bientôt disponible.",
         "Blindtext.", "Platzhaltertext.", "Hier steht später Text.", "Hier kommt der Text hin.", "Inhalt folgt.", "Seite im Aufbau.", "Beispieltext.",
+        "Nullam quis risus eget urna mollis ornare vel eu leo. Cum sociis natoque penatibus et magnis dis parturient montes, nascetur ridiculus mus. Donec ullamcorper nulla non metus auctor fringilla. Vestibulum id ligula porta felis euismod semper. Praesent commodo cursus magna, vel scelerisque nisl consectetur et. Aenean lacinia bibendum nulla sed consectetur. Maecenas faucibus mollis interdum. Integer posuere erat a ante venenatis dapibus posuere velit aliquet. Morbi leo risus, porta ac consectetur ac, vestibulum at eros.", "Cras mattis consectetur purus sit amet fermentum. Etiam porta sem malesuada magna mollis euismod. Sed posuere consectetur est at lobortis. Fusce dapibus, tellus ac cursus commodo, tortor mauris condimentum nibh, ut fermentum massa justo sit amet risus. Curabitur blandit tempus porttitor. Duis mollis, est non commodo luctus, nisi erat porttitor ligula, eget lacinia odio sem nec elit. Class aptent taciti sociosqu ad litora torquent per conubia nostra, per inceptos himenaeos. Quisque viverra ipsum quaerat voluptatem erosque rudis. Aliquam erat volutpat, nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit.", "test test test test", "qwer qwer asdf zxcv", "lkj lkj fdsa fdsa", "This paragraph is only a placeholder.", "Real content will be added later.", "The final text will follow.", "Headline", "Subheading two", "Heading three", "Copy will be provided.", "Dummy copy. Dummy copy.", "Example text. Example text.", "n/a n/a n/a", "El texto definitivo vendrá después.", "Texto provisional.", "Le texte définitif suivra.", "Texte factice.", "Der endgültige Text folgt später.", "Mustertext.",
     ],
     NOTICE: [
-        "404 Not Found", "The requested page was not found on this server.", "We can't find the page you are looking for.", "Go back to the home page or search for it.", "The resource has been moved or deleted (404).", "Page not found", "This page does not exist.", "No results to display", "The link to this document has expired or the document has been removed by its owner.", "This link has expired.", "The content you requested is no longer available.", "This document has been removed or is private.",
-        "500 Internal Server Error", "Internal Server Error", "Something went wrong on our side while loading the page.", "We're sorry, the service is currently experiencing problems.", "An unexpected error occurred.", "Please try again later.", "If the problem persists, contact the site operator.", "Oops! Something went wrong.",
-        "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout", "The upstream service did not answer in time.", "The server is temporarily unable to service your request.", "Service temporarily unavailable.", "Error 503: no healthy backend for the service", "guru code 1a2b3c4d", "The connection has timed out.", "Request timed out.",
+        "404 Not Found", "The requested page was not found on this server.", "Go back to the home page or search for it.", "The resource has been moved or deleted (404).", "Page not found", "This page does not exist.", "The link to this document has expired or the document has been removed by its owner.", "This link has expired.", "The content you requested is no longer available.", "This document has been removed or is private.",
+        "500 Internal Server Error", "Internal Server Error", "Something went wrong on our side while loading the page.", "We're sorry, the service is currently experiencing problems.", "An unexpected error occurred.", "Please try again later.", "Oops! Something went wrong.",
+        "502 Bad Gateway", "503 Service Unavailable", "504 Gateway Timeout", "The upstream service did not answer in time.", "The server is temporarily unable to service your request.", "Service temporarily unavailable.", "Error 503: no healthy backend for the service", "The connection has timed out.", "Request timed out.",
         "403 Forbidden", "Access denied", "You do not have permission to open this page.", "You are not authorized to view this page.", "401 Unauthorized", "Sign in to continue.", "Your session has expired, please sign in again.", "Log in to view this content.",
         "429 Too Many Requests", "Too many requests.", "You have been rate limited; retry in a few seconds.", "Request blocked. Reference number 123.",
-        "Traceback (most recent call last):", 'File "app.py", line 10, in render', "TypeError: undefined is not a function", "TemplateMissing: page", "java.lang.NullPointerException at com.example.Main.run(Main.java:10)", "Fatal error: Uncaught exception in index.php on line 3", "Warning: mysql_connect() failed in db.php on line 9",
+        "Traceback (most recent call last):", 'File "app.py", line 10, in render', "TypeError: undefined is not a function", "java.lang.NullPointerException at com.example.Main.run(Main.java:10)", "Fatal error: Uncaught exception in index.php on line 3", "Warning: mysql_connect() failed in db.php on line 9",
         '{"status": 500, "error": "upstream_failure", "path": "/page", "message": "no body"}', '{"error": "not_found", "code": 404, "message": "no such page"}', "<html><head><title>503 Service Unavailable</title></head><body><h1>the page is down</h1><hr></body></html>", "<html><head><title>404 Not Found</title></head><body><center><h1>404 Not Found</h1></center><hr></body></html>",
-        "Please enable JavaScript to view this page.", "You need to enable JavaScript to run this app.", "JavaScript is disabled.", "The viewer does not work without it.", "This site requires JavaScript.", "Your browser is not supported.", "Activate scripting or switch browsers to open the page.", "Please upgrade your browser.", "Checking your browser before opening the page...", "This may take a few seconds.", "Scripts and cookies must be on.", "Cookies must be enabled.", "Loading...", "Loading the page...", "(noscript: this content can only be shown with scripts)", "Please turn on scripts and reload.", "Verify you are human.",
-        "Esta aplicación necesita scripts para funcionar; habilítelos y recargue.", "Active JavaScript para ver la página.", "Su navegador no es compatible.", "La página solicitada no existe o se ha movido.", "Se ha producido un error interno al cargar la página.", "Inténtelo más tarde.", "Su sesión ha caducado, vuelva a identificarse para abrir la página.", "Acceso denegado.", "No tiene permiso para ver esta página.", "No tiene permisos para ver este documento.", "El enlace ha caducado o el documento ha sido eliminado.", "Error 404: página no encontrada", "Demasiadas solicitudes.",
+        "Please enable JavaScript to view this page.", "You need to enable JavaScript to run this app.", "JavaScript is disabled.", "The viewer does not work without it.", "This site requires JavaScript.", "Your browser is not supported.", "Activate scripting or switch browsers to open the page.", "Please upgrade your browser.", "Checking your browser before opening the page...", "Cookies must be enabled.", "Loading...", "Loading the page...", "Please turn on scripts and reload.", "Verify you are human.",
+        "Esta aplicación necesita scripts para funcionar; habilítelos y recargue.", "Active JavaScript para ver la página.", "Su navegador no es compatible.", "La página solicitada no existe o se ha movido.", "Se ha producido un error interno al cargar la página.", "Su sesión ha caducado, vuelva a identificarse para abrir la página.", "Acceso denegado.", "No tiene permiso para ver esta página.", "No tiene permisos para ver este documento.", "El enlace ha caducado o el documento ha sido eliminado.", "Error 404: página no encontrada", "Demasiadas solicitudes.",
         "Activez JavaScript pour afficher la page.", "Cette application a besoin de scripts pour fonctionner.", "Votre navigateur n'est pas pris en charge.", "La page demandée est introuvable.", "La page demandée n'existe pas ou a été déplacée.", "Une erreur interne s'est produite lors du chargement de la page.", "Veuillez réessayer plus tard.", "Votre session a expiré, veuillez vous reconnecter.", "Accès refusé.", "Le lien a expiré ou le document a été supprimé.", "Vous n'avez pas la permission de voir cette page.", "Service indisponible.", "Trop de requêtes.", "Vous n'avez pas les droits pour ouvrir cette page.",
-        "Bitte aktivieren Sie JavaScript, um die Seite anzuzeigen.", "Diese Anwendung benötigt Skripte, um zu funktionieren.", "Ihr Browser wird nicht unterstützt.", "Die angeforderte Seite wurde nicht gefunden.", "Die Seite existiert nicht oder wurde verschoben.", "Beim Laden der Seite ist ein interner Fehler aufgetreten.", "Bitte versuchen Sie es später erneut.", "Ihre Sitzung ist abgelaufen, bitte melden Sie sich erneut an.", "Zugriff verweigert.", "Der Link ist abgelaufen oder das Dokument wurde entfernt.", "Der Dienst ist vorübergehend nicht verfügbar.", "Zu viele Anfragen.", "Sie haben keine Berechtigung für diese Seite.",
-    ],
-    TEMPLATE: [
-        "Owner: [your name here]", "[Insert description here]", "[Insert diagram of the flow here]", "# [Title of the document]", "## [Section title]", "Status: [TODO: fill in]", "[[ADD LINK TO page]]", "Reviewed by <REVIEWER NAME> on <DATE>.", "Summary: <describe the change in one sentence>", "<your name>", "# {{ project_title }}", "Released on {{release_date}} by {{ release_manager }}.", "Hello {{name}},", "Hello {user_first_name}, your report is attached.", "Ticket: {ticket_id}", "Dear $FIRST_NAME, your order is ready.", "Version: ${project.version}", "Contact: %TEAM_ALIAS%", "Author: @@AUTHOR@@", "__MODULE_DESCRIPTION__", "<%= release_notes %>", "Due: YYYY-MM-DD", "Date: DD/MM/YYYY", "Expected impact: XXXX requests per day.", "Replace this paragraph with a short description of the module.", "Describe the change here.",
-        "Estimado {{nombre}}, adjunto el informe.", "Responsable: [nombre del responsable]", "Fecha: DD/MM/AAAA", "[Insertar aquí la descripción]", "Sustituya este texto por un resumen.", "Bonjour {{prenom}}, voici le rapport.", "Responsable : [votre nom ici]", "Date : JJ/MM/AAAA", "[Insérer ici le schéma]", "Remplacez ce texte par un résumé.", "Guten Tag {{vorname}}, anbei der Bericht.", "Verantwortlich: [Name eintragen]", "Datum: TT.MM.JJJJ", "[Hier die Beschreibung einfügen]", "Ersetzen Sie diesen Text durch eine Zusammenfassung.",
+        "Bitte aktivieren Sie JavaScript, um die Seite anzuzeigen.", "Ihr Browser wird nicht unterstützt.", "Die angeforderte Seite wurde nicht gefunden.", "Die Seite existiert nicht oder wurde verschoben.", "Beim Laden der Seite ist ein interner Fehler aufgetreten.", "Bitte versuchen Sie es später erneut.", "Ihre Sitzung ist abgelaufen, bitte melden Sie sich erneut an.", "Zugriff verweigert.", "Der Link ist abgelaufen oder das Dokument wurde entfernt.", "Der Dienst ist vorübergehend nicht verfügbar.", "Zu viele Anfragen.", "Sie haben keine Berechtigung für diese Seite.",
+        "Sorry, this page could not be found.", "Oops! That page can't be found.", "We could not find the page that you were looking for.", "Search for what you need or return to the home page.", "The server encountered an internal error and was unable to complete your request.", "HTTP Error 404. The requested resource is not found.", "Your access to this site has been limited.", "Forbidden: you don't have permission to access this resource.", "This service is down for scheduled maintenance. We will be back shortly.", "The site is temporarily unavailable.", "Error reference: 1234abcd", "Incident id: 99ff00aa", "JavaScript must be enabled in order for you to use this application.", "This application requires JavaScript. Turn it on in the settings of your browser and reload.", "We use scripts to show this page; please switch to a supported browser.", "Just a moment...", "Verifying your browser. This can take some seconds.", "Slow down: you made too many requests, wait before trying again.", "The request could not be satisfied. Contact the administrator if this continues.", "You must be logged in to see this page.", "The file has been deleted by its owner or the link is no longer valid.", "Your link is invalid or has expired.", "No se ha encontrado la página.", "El servicio no está disponible en este momento; vuelva a intentarlo más tarde.", "Se requiere JavaScript para usar esta aplicación.", "Acceso prohibido: no está autorizado.", "Page introuvable.", "Le serveur a rencontré une erreur, réessayez dans quelques minutes.", "Le service est momentanément indisponible.", "JavaScript est requis pour utiliser cette application.", "Accès interdit: vous n'êtes pas autorisé.", "Seite nicht gefunden.", "Auf dem Server ist ein Fehler aufgetreten, versuchen Sie es in einigen Minuten noch einmal.", "JavaScript ist erforderlich, um diese Anwendung zu nutzen.", "Zugriff nicht erlaubt: Sie sind nicht berechtigt.",
     ],
 }
 
@@ -81,8 +94,6 @@ _FENCE = re.compile(r"^[ \t]*(```+|~~~+)[^\n]*\n.*?(?:^[ \t]*\1[ \t]*\r?$|\Z)",
 _INLINE = re.compile(r"``[^`]+``|`[^`\n]*`")
 _QUOTED = re.compile(r"\"[^\"\n]{1,160}\"|“[^”\n]{1,160}”|«[^»\n]{1,160}»|„[^“”\n]{1,160}[“”]")
 _CODE_LINE = re.compile(r"^(?: {4}|\t)\S|[;{]\s*$|^\s*(?:const|let|var|import|export|return|def|class|if|for|while|function|await|print|echo|curl|\$ |> ?\$)\b.*[=({;:]|=>|\)\s*:\s*$|^\s*[\w.\[\]]+\s*[-+*/]?=\s*\S|^\s*</?[a-z][^>]*>")
-_WINDOW = re.compile(r"[^\n.!?…]*(?:[.!?…](?!\s|$)[^\n.!?…]*)*[.!?…]*(?:\s|$)|[^\n]+")
-
 _PLACE = re.compile(
     r"\{\{[-\s]*[\w.\- |]{1,60}[-\s]*\}\}|<%[=-]?\s*[\w.\- ]{1,60}\s*%>|\$\{[A-Za-z_][\w.\-]{0,60}\}|(?<![\w$\])}])\{[A-Za-z][a-z0-9]*(?:[_.\- ][A-Za-z0-9]+)*\}(?![\w(\[{])|%[A-Z][A-Z0-9_]{2,}%|%\([a-z_]+\)s"
     r"|@@[A-Za-z][\w-]*@@|(?<!\w)__[A-Z][A-Z0-9_]{2,}__(?!\w)|(?<![\w$])\$[A-Z][A-Z0-9]*_[A-Z0-9_]+\b|(?<![\w$])\$(?:NAME|DATE|TITLE|AUTHOR|EMAIL|VERSION|USER|COMPANY)\b"
@@ -93,203 +104,231 @@ _PLACE = re.compile(
 )
 _TO_WRITE = re.compile(r"^\W*(?:replace|substitute) this (?:paragraph|text|section|line|sentence)\b|^\W*(?:sustituya|reemplace|sustituir) est[ea] (?:texto|p[áa]rrafo|secci[óo]n)\b|^\W*remplace[zr] (?:ce|cette) (?:texte|paragraphe|section)\b|^\W*ersetzen sie (?:diesen|diese) (?:text|absatz|abschnitt)\b", re.I)
 _FIELD = re.compile(r"^\W*[A-ZÀ-Ý][\w ]{1,30} ?:\s*(?:TBD|TBC|TBA|TODO|\?\?\?+)\W*$", re.M)
-_FOREIGN = re.compile(r"[\u0370-\u1cff\u2e80-\ud7ff\uf900-\ufdff]")
 _MIXED_CASE_TAG = frozenset("EOF EOT EOL NULL NUL DOCTYPE CDATA".split())
 
 
+_CUT = re.compile(r"\n|(?<=[.!?…])[^\S\n]+(?=[^\sa-z])")
+_DIGIT = re.compile(r"\d")
+
+
 def running(text: str) -> str:
     """The text without fenced and inline code. An unclosed fence holds the rest."""
-    return _INLINE.sub(" ␟ ", _FENCE.sub("\n", text))
+    if "```" in text or "~~~" in text:
+        text = _FENCE.sub("\n", text)
+    return _INLINE.sub(" ␟ ", text) if "`" in text else text
 
 
 def windows(text: str) -> list[str]:
-    """Sentences and lines of running text, without blanks around them. A sentence ends at a mark before white space."""
-    out = []
-    for line in text.split("\n"):
-        line = line.strip()
-        if not line:
-            continue
-        out += [x for x in (p.strip() for p in re.split(r"(?<=[.!?…])\s+(?=[^\sa-z])", line)) if x]
-    return out
+    """Sentences and lines of running text, with one digit and one blank. A sentence ends at a mark before white space."""
+    return [" ".join(_DIGIT.sub("0", w).split()) for w in map(str.strip, _CUT.split(text)) if w]
+
+
+# -- models ------------------------------------------------------------------------------------------------------------
+
+
+def _parts(texts: list[str], chars: int = 60_000) -> Iterator[tuple[int, int]]:
+    """Runs of texts of about ``chars`` characters, which a processor's cache can hold; a longer text is its own."""
+    at = size = 0
+    for i, t in enumerate(texts, 1):
+        size += len(t)
+        if size >= chars:
+            yield at, i
+            at, size = i, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
-def fold(text: str) -> str:
-    """Lower case, one digit, one blank: what the models see."""
-    return re.sub(r"\s+", " ", re.sub(r"\d", "0", text.lower()))
+def _lay(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The texts in lower case end to end as code points, with the start and length of each."""
+    low = [t.lower() for t in texts]
+    codes = np.frombuffer((_BEGIN + "".join(t + _END for t in low)).encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
+    n = np.array([len(t) for t in low], dtype=np.int64)
+    return codes, len(_BEGIN) + np.concatenate([[0], np.cumsum(n + len(_END))[:-1]]).astype(np.int64), n
 
 
-def _hashes(texts: list[str]) -> list[np.ndarray]:
-    """For each order, the bucket of every character with its context, over all texts laid end to end."""
-    joined = ("\x02" * GAP).join(["", *texts, ""])
-    codes = np.frombuffer(joined.encode("utf-32-le", "replace"), dtype=np.uint32).astype(np.uint64)
-    out, h = [], np.zeros(len(codes), dtype=np.uint64)
+def _hashes(codes: np.ndarray) -> Iterator[np.ndarray]:
+    """For each order, the bucket of every character with its context."""
+    h = np.zeros(len(codes), dtype=np.uint64)
     for k in range(ORDERS):
         shifted = np.concatenate([np.full(k, 2, dtype=np.uint64), codes[: len(codes) - k]])
         h = h * np.uint64(0x9E3779B97F4A7C15) + shifted + np.uint64(1)
         mixed = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-        out.append(((mixed >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64))
-    return out
+        yield ((mixed >> np.uint64(40)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def count(texts: list[str]) -> np.ndarray:
-    """How often each bucket of each order occurs in the texts; the end of a text counts as a character."""
+def count(texts: list[str], weights: np.ndarray | None = None) -> np.ndarray:
+    """How often each bucket of each order occurs in the texts; begin and end of a text count as characters."""
     total = np.zeros((ORDERS, BUCKETS), dtype=np.int64)
-    for part in _parts(texts):
-        folded = [fold(t) for t in part]
-        lengths = np.array([len(t) for t in folded])
-        counted = np.zeros(GAP + int((lengths + GAP).sum()), dtype=bool)
-        for start, n in zip(GAP + np.concatenate([[0], np.cumsum(lengths + GAP)[:-1]]), lengths):
-            counted[start : start + n + 1] = True
-        for order, buckets in enumerate(_hashes(folded)):
-            total[order] += np.bincount(buckets[counted], minlength=BUCKETS)
+    for a, b in _parts(texts):
+        codes, starts, n = _lay(texts[a:b])
+        own = np.ones(b - a) if weights is None else weights[a:b].astype(np.float64)
+        steps = np.zeros(len(codes) + 1)
+        np.add.at(steps, starts - 1, own)
+        np.add.at(steps, starts + n + 1, -own)
+        weight = np.rint(np.cumsum(steps)[:-1])
+        for order, buckets in enumerate(_hashes(codes)):
+            total[order] += np.bincount(buckets, weights=weight, minlength=BUCKETS).astype(np.int64)
     return total
 
 
-def _parts(texts: list[str], chars: int = 200_000) -> Iterator[list[str]]:
-    """Runs of texts of about ``chars`` characters, so that memory does not grow with a batch; a longer text is its own."""
-    part: list[str] = []
-    size = 0
-    for t in texts:
-        part.append(t)
-        size += len(t)
-        if size >= chars:
-            yield part
-            part, size = [], 0
-    if part:
-        yield part
-
-
 class Models:
-    """Mean log probabilities of windows under each class."""
-
-    def __init__(self) -> None:
-        self.counts = np.zeros((len(NAMES), ORDERS, BUCKETS), dtype=np.float32)
-        self.logs: np.ndarray | None = None
+    """Log likelihood ratios of windows under the residue models against prose."""
+
+    def __init__(self, counts: np.ndarray) -> None:
+        """``counts``: whole numbers by class, order and bucket."""
+        self.counts = counts
+        self.logs = np.ascontiguousarray(np.moveaxis(counts, 0, 2), dtype=np.float32)  # order, bucket, class
+        self.total = counts[:, 0].sum(axis=1).astype(np.float32)
+
+    def _chars(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Per part the ratios of every character under filler, notice and about, and the start and length of each text."""
+        lower, upper = np.float32(CLASS_MASS), np.float32(PROSE_MASS)
+        for a, b in _parts(texts):
+            codes, starts, n = _lay(texts[a:b])
+            prose = np.full(len(codes), 1 / 65536, dtype=np.float32)
+            steps = []
+            before = None
+            for order, buckets in enumerate(_hashes(codes)):
+                own = self.logs[order].take(buckets, axis=0)
+                context = np.broadcast_to(self.total, own.shape) if before is None else np.concatenate([np.zeros((1, len(NAMES)), np.float32), before[:-1]])
+                prose = (own[:, PROSE] + upper * prose) / (context[:, PROSE] + upper)
+                steps.append((own[:, 1:], context[:, 1:]))
+                before = own
+            p = np.repeat(prose[:, None], len(NAMES) - 1, axis=1)
+            for own, context in steps:
+                p *= lower
+                p += own
+                p /= context + lower
+            p /= prose[:, None]
+            yield np.log(p, out=p), starts, n
 
-    def fit(self, kind: int, texts: list[str], weight: float = 1.0) -> None:
-        self.add(kind, count(texts), weight)
+    def ratios(self, texts: list[str]) -> np.ndarray:
+        """For each text the mean log likelihood ratio per character under filler, notice and about."""
+        return self.measure(texts, False)[0]
+
+    def measure(self, texts: list[str], stretches: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """:meth:`ratios`, and the ratio of the best stretch of each text."""
+        means, best = [], []
+        for chars, starts, n in self._chars(texts):
+            sums = np.zeros((len(chars) + 1, chars.shape[1]))
+            np.cumsum(chars, axis=0, out=sums[1:], dtype=np.float64)
+            means.append((sums[starts + n + 1] - sums[starts]) / (n + 1)[:, None])
+            if not stretches:
+                continue
+            # the least sum so far, text by text: every text lies far below the one before
+            steps = np.zeros(len(chars) + 1)
+            np.add.at(steps, starts, 1)
+            inside = np.zeros(len(chars) + 1)
+            np.add.at(inside, starts, 1)
+            np.add.at(inside, starts + n, -1)
+            drop = np.cumsum(steps)[:-1, None] * 1e5
+            least = np.minimum.accumulate(sums[:-1] - drop, axis=0) + drop
+            rise = np.where((np.cumsum(inside)[:-1] > 0)[:, None], sums[1:] - least, -np.inf)
+            best.append(np.maximum.reduceat(rise, starts, axis=0))
+        none = np.zeros((0, len(NAMES) - 1))
+        return (np.concatenate(means) if means else none), (np.concatenate(best) if best else none)
+
+
+_SEEDS = {kind: windows("\n".join(phrases)) for kind, phrases in SEEDS.items()}
+_LABELLED = {w.lower(): kind for kind, ws in _SEEDS.items() for w in ws}
+
+
+def deal(flat: list[str], models: Models | None) -> np.ndarray:
+    """The class of each window: prose, one of the others, or -1 for none. All are prose without models, but the seeds."""
+    kinds = np.full(len(flat), PROSE)
+    if models is not None and flat:
+        means, best = models.measure(flat)
+        suspicious = best[:, :2].max(axis=1)
+        length = np.log(np.array([len(w) for w in flat]) + 1.0)
+        kinds[(suspicious > SUSPICIOUS + length) & (suspicious > best[:, 2])] = -1
+        kinds = np.where(means.max(axis=1) > 0, means.argmax(axis=1) + 1, kinds)
+    for i, w in enumerate(flat):
+        if len(w) < 400 and (own := _LABELLED.get(w.lower())) is not None:
+            kinds[i] = own if models is not None else -1
+    return kinds
+
+
+def counted(flat: list[str], times: np.ndarray, models: Models | None) -> np.ndarray:
+    """The counts that some distinct windows add to each class; ``times``: how often each occurs."""
+    kinds = deal(flat, models)
+    out = np.zeros((len(NAMES), ORDERS, BUCKETS), dtype=np.int64)
+    for kind in range(len(NAMES)):
+        own = np.flatnonzero(kinds == kind)
+        if len(own):
+            out[kind] = count([flat[i] for i in own], times[own] if kind == PROSE else None)
+    return out
 
-    def add(self, kind: int, counts: np.ndarray, weight: float = 1.0) -> None:
-        self.counts[kind] += (counts * weight).astype(np.float32)
 
-    def finish(self) -> Models:
-        """Per order the log of count relative to the class's size, smoothed; the orders are averaged with rising weight.
+def fitted(counts: np.ndarray) -> Models:
+    """Models of the counts of the windows and the seeds."""
+    counts = counts.copy()
+    for kind, ws in _SEEDS.items():
+        counts[kind] += SEED_WEIGHT * count(ws)
+    return Models(counts)
 
-        A bucket that a class has seen weighs with its relative frequency, one that it has not with the floor; the
-        ratio against prose then rewards strings that are usual in the class and unusual in prose.
-        """
-        totals = self.counts.sum(axis=2, keepdims=True)
-        share = (self.counts + 0.02) / (totals + 0.02 * BUCKETS)
-        weights = np.array([0.05, 0.1, 0.2, 0.3, 0.35], dtype=np.float32)[None, :, None]
-        logs = np.log(share) * weights
-        ratios = logs - logs[PROSE : PROSE + 1]
-        # what a class has never seen cannot speak for it, however rare it is in prose
-        self.logs = np.where(self.counts > 0, ratios, np.minimum(ratios, 0)).astype(np.float16)
-        return self
 
-    def ratios(self, texts: list[str]) -> np.ndarray:
-        """For each window and class the mean log likelihood ratio against prose, per character."""
-        parts = [self._ratios(part) for part in _parts(texts)]
-        return np.concatenate(parts) if parts else np.zeros((0, len(NAMES)))
-
-    def _ratios(self, texts: list[str]) -> np.ndarray:
-        folded = [fold(t) for t in texts]
-        hashes = _hashes(folded)
-        score = sum(self.logs[:, order, buckets].astype(np.float32) for order, buckets in enumerate(hashes))
-        sums = np.concatenate([np.zeros((len(NAMES), 1)), np.cumsum(score, axis=1)], axis=1)
-        lengths = np.array([len(t) for t in folded])
-        starts = GAP + np.concatenate([[0], np.cumsum(lengths + GAP)[:-1]])
-        return ((sums[:, starts + lengths] - sums[:, starts]) / np.maximum(lengths, 1)).T
-
-
-def deal(flat: list[str], models: Models | None, margin: float) -> dict[int, list[str]]:
-    """The windows that each class wins; all are prose without models."""
-    won: dict[int, list[str]] = {k: [] for k in range(len(NAMES))}
-    if models is None:
-        return won | {PROSE: flat}
-    for w, r in zip(flat, models.ratios(flat)):
-        best = int(np.argmax(r))
-        won[best if r[best] > margin else PROSE].append(w)
-    return won
-
-
-def fitted(prose: np.ndarray, phrases: np.ndarray | None) -> Models:
-    """Models of the seeds, the counts of prose and, after the first round, those of each class's phrases."""
-    models = Models()
-    models.add(PROSE, prose)
-    for kind, seeds in SEEDS.items():
-        models.fit(kind, seeds, 1.0 if phrases is None else 3.0)
-        if phrases is not None:
-            models.add(kind, phrases[kind])
-    return models.finish()
-
-
-def train(sample: list[str], rounds: int = 2, margin: float = 0.35) -> Models:
+def train(texts: list[str | None], rounds: int = 3) -> Models:
     """Models from the seeds and some whole texts (:func:`train_table` on one machine)."""
-    flat = [w for t in sample if t and not t.isspace() for w in windows(running(t))]
-    models = fitted(count(flat), None)
-    for _ in range(rounds):
-        won = deal(flat, models, margin)
-        # each phrase once: frequency is no evidence
-        models = fitted(count(won[PROSE]), np.stack([count(list(dict.fromkeys(won[kind]))) for kind in range(len(NAMES))]))
+    found = Counter(w for t in texts if t for w in windows(running(t)))
+    flat, times = list(found), np.array(list(found.values()), dtype=np.int64)
+    models = None
+    for _ in range(rounds + 1):
+        models = fitted(counted(flat, times, models))
     return models
 
 
-def _added(rows: DataFrame, shape: tuple[int, ...]) -> np.ndarray:
-    """The sum of the arrays in ``counts``, task by task and then as a tree, so that few arrive at the driver."""
-    plus = lambda a, b: b if a is None else a if b is None else a + b
-    total = rows.select("counts").rdd.treeAggregate(None, lambda a, r: plus(a, np.frombuffer(r[0], dtype=np.int64)), plus, depth=4)
-    return np.zeros(shape, dtype=np.int64) if total is None else total.reshape(shape)
-
+def train_table(rows: DataFrame, text: str = "_text", rounds: int = 3) -> Models:
+    """Models from the seeds and all texts of a table; the same as :func:`train` on all its texts.
 
-def train_table(rows: DataFrame, text: str = "_text", rounds: int = 2, margin: float = 0.35) -> Models:
-    """Models from the seeds and all texts of a table; the same as :func:`train` on all its texts."""
+    One pass over the texts gives their windows, each with its number; the rounds read that table alone.
+    """
     context = rows.sparkSession.sparkContext
-    out = pa.schema([("kind", pa.int32()), ("phrase", pa.string()), ("counts", pa.binary())])
 
-    def batch_of(kinds: list, phrases: list, counts: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip((kinds, phrases, counts), out)], schema=out)
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for texts in _slices(batch.column(0)):
+                found = Counter(w for t in texts if t for w in windows(running(t)))
+                yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["w", "n"])
 
+    each = cut_lineage(rows.select(text).mapInArrow(cut, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
     models: Models | None = None
+    shape = (len(NAMES), ORDERS, BUCKETS)
+    plus = lambda a, b: b if a is None else a if b is None else a + b
     for _ in range(rounds + 1):
-        shared = context.broadcast(models.logs if models else None)
+        shared = context.broadcast(models.counts if models else None)
 
         def dealt(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = None
-            if shared.value is not None:
-                own = Models.__new__(Models)
-                own.logs = shared.value
-            prose = np.zeros((ORDERS, BUCKETS), dtype=np.int64)
+            own = None if shared.value is None else Models(shared.value)
+            total = np.zeros(shape, dtype=np.int64)
             for batch in batches:
-                for at in range(0, batch.num_rows, 400):
-                    won = deal([w for t in batch.column(0).slice(at, 400).to_pylist() if not t.isspace() for w in windows(running(t))], own, margin)
-                    prose += count(won.pop(PROSE))
-                    found = [(kind, w) for kind, ws in won.items() for w in dict.fromkeys(ws)]
-                    if found:
-                        yield batch_of([k for k, _ in found], [w for _, w in found], [None] * len(found))
-            yield batch_of([PROSE], [None], [prose.tobytes()])
-
-        def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros((len(NAMES), ORDERS, BUCKETS), dtype=np.int64)
-            for batch in batches:
-                kinds, phrases = batch.column(0).to_numpy(), batch.column(1).to_pylist()
-                for kind in np.unique(kinds):
-                    total[kind] += count([phrases[i] for i in np.flatnonzero(kinds == kind)])
-            yield batch_of([PROSE], [None], [total.tobytes()])
-
-        schema = "kind int, phrase string, counts binary"
-        parts = rows.select(text).mapInArrow(dealt, schema).persist(StorageLevel.DISK_ONLY)
-        prose = _added(parts.where("counts is not null"), (ORDERS, BUCKETS))
-        phrases = None
-        if models is not None:  # each phrase once: frequency is no evidence
-            each = parts.where("phrase is not null").select("kind", "phrase").distinct()
-            phrases = _added(each.mapInArrow(counted, schema), (len(NAMES), ORDERS, BUCKETS))
-        models = fitted(prose, phrases)
-        parts.unpersist()
+                total += counted(batch.column(0).to_pylist(), batch.column(1).to_numpy(), own)
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+
+        # task by task and then as a tree, so that few arrive at the driver
+        total = each.mapInArrow(dealt, "counts binary").rdd.treeAggregate(None, lambda a, r: plus(a, np.frombuffer(r[0], dtype=np.int64)), plus, depth=4)
+        models = fitted(np.zeros(shape, dtype=np.int64) if total is None else total.reshape(shape))
         shared.unpersist()
+    drop_table(each)
     return models
 
 
+def _slices(column: pa.Array, chars: int = 8_000_000) -> Iterator[list[str | None]]:
+    """The texts of a batch in runs of about ``chars`` characters."""
+    part: list[str | None] = []
+    size = 0
+    for t in column:
+        part.append(t.as_py())
+        size += len(part[-1] or "")
+        if size >= chars:
+            yield part
+            part, size = [], 0
+    if part:
+        yield part
+
+
+# -- places ------------------------------------------------------------------------------------------------------------
+
+
 def places(text: str) -> list[str]:
     """The unfilled places of running text: spans for a person or program to complete. Quoted text and code lines hold none."""
     out = []
@@ -308,46 +347,39 @@ def places(text: str) -> list[str]:
     return out
 
 
-#: of less residue than 8 characters the models cannot be sure; it must be seed phrases then
-KNOWN = frozenset(fold(s).strip(" .!") for kind in (FILLER, NOTICE) for s in SEEDS[kind])
+# -- the operator ------------------------------------------------------------------------------------------------------
 
 
-def judge(texts: list[str | None], models: Models, coverage: float = 0.6, margin: float = 0.08, template_margin: float = -0.6) -> list[tuple[str | None, float, list[str]]]:
-    """(kind or None, coverage by residue, places) of each text. Null, empty and blank texts are no case."""
-    cut = [windows(running(t)) if t and not t.isspace() else [] for t in texts]
-    flat = [w for ws in cut for w in ws]
-    ratios = models.ratios(flat)
+def judge(texts: list[str | None], models: Models, coverage: float = 0.5, evidence: float = 24.0) -> list[tuple[str | None, float, int]]:
+    """(kind or None, coverage by residue, number of places) of each text. Null, empty and blank texts are no case.
+
+    Equal windows of the texts are judged once.
+    """
+    bare = [running(t) if t else "" for t in texts]
+    cut = [windows(t) for t in bare]
+    index: dict[str, int] = {}
+    at = np.array([index.setdefault(w, len(index)) for ws in cut for w in ws], dtype=np.int64)
+    distinct = list(index)
+    own = models.ratios(distinct)
+    size = np.array([len(w) + 1 for w in distinct], dtype=np.float64)
+    worst = own[:, [FILLER - 1, NOTICE - 1]].max(axis=1) if len(own) else np.zeros(0)
+    about = own[:, ABOUT - 1] if len(own) else np.zeros(0)
+    data = np.array([len(w) > LONGEST_WORD and " " not in w for w in distinct], dtype=bool)
+    bad = (worst > about) & (worst * size > evidence) & ~data
+    prose = data | (np.minimum(worst, np.where(about > worst, -about, worst)) * size < -evidence)
+    n_places = np.array([len(places(w)) for w in distinct], dtype=np.int64)
+    filler = np.where(own[:, FILLER - 1] > own[:, NOTICE - 1], size, -size) * bad if len(own) else np.zeros(0)
+    ends = np.cumsum([len(ws) for ws in cut])
+    add = lambda x: np.diff(np.concatenate([[0], np.concatenate([[0], np.cumsum(x[at])])[ends]])) if len(cut) else []
     out = []
-    at = 0
-    for text, ws in zip(texts, cut):
-        own = ratios[at : at + len(ws)]
-        at += len(ws)
-        if not ws:
-            out.append((None, 0.0, []))
-            continue
-        size = np.array([len(w) for w in ws], dtype=float)
-        bad = own[:, [FILLER, NOTICE]].max(axis=1).astype(float)
-        bad = np.where(own[:, ABOUT] >= bad, np.minimum(bad, -own[:, ABOUT]), bad)
-        # endless runs and scripts that no seed is written in cannot be judged; they count as content
-        bad = np.where([len(w) > ENDLESS and not re.search(r"\s", w) or len(_FOREIGN.findall(w)) * 2 > len(w) for w in ws], -1.0, bad)
-        residue = size[bad > margin].sum()
-        short = np.array([len(w) <= SHORT and w[-1] not in ".!?" for w in ws])
-        prose = size[(bad < -0.1) & ~short].sum()
-        code = max(0, len(text) - len(running(text)))  # code is content
-        share = float(residue / (residue + prose + code)) if residue else 0.0
-        hit = [w for w, r in zip(ws, own[:, TEMPLATE]) if r > template_margin]
-        found = places("\n".join(hit)) if hit else []
-        if found:
-            kind = "template"
-        elif share >= coverage and (residue >= 8 or residue and all(fold(w).strip(" .!") in KNOWN for w, b in zip(ws, bad) if b > margin)):
-            kind = "filler" if (own[:, FILLER] * size)[bad > margin].sum() > (own[:, NOTICE] * size)[bad > margin].sum() else "notice"
-        else:
-            kind = None
-        out.append((kind, share, found))
+    for text, rest, residue, content, found, lean in zip(texts, bare, add(size * bad), add(size * prose), add(n_places), add(filler)):
+        share = float(residue / (residue + content + len(text or "") - len(rest))) if residue else 0.0  # code is content
+        kind = "template" if found else None if not residue or share < coverage else "filler" if lean > 0 else "notice"
+        out.append((kind, share, int(found)))
     return out
 
 
-def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = 0.6) -> DataFrame:
+def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text", coverage: float = 0.5) -> DataFrame:
     """``key, kind, share, n_places`` of the documents that hold residue: kind template, filler or notice.
 
     Null, empty and blank texts are no case; whole texts are read; repeated rows come out as often as they are there.
@@ -355,19 +387,21 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     spark = documents.sparkSession
     t = F.col(f"`{text}`")
     rows = documents.select(F.col(f"`{key}`").alias("_key"), t.alias("_text")).where(t.isNotNull() & (F.length(F.trim(t)) > 0))
-    shared = spark.sparkContext.broadcast(train_table(rows).logs)
+    shared = spark.sparkContext.broadcast(train_table(rows).counts)
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        models = Models.__new__(Models)
-        models.logs = shared.value
+        models = None
         for batch in batches:
-            for at in range(0, batch.num_rows, 400):
-                keys = batch.column(0).slice(at, 400)
-                judged = judge(batch.column(1).slice(at, 400).to_pylist(), models, coverage)
+            models = models or Models(shared.value)
+            at = 0
+            for texts in _slices(batch.column(1)):
+                keys = batch.column(0).slice(at, len(texts))
+                at += len(texts)
+                judged = judge(texts, models, coverage)
                 keep = [i for i, j in enumerate(judged) if j[0]]
                 yield pa.RecordBatch.from_arrays(
-                    [keys.take(pa.array(keep, pa.int64())), pa.array([judged[i][0] for i in keep], pa.string()), pa.array([judged[i][1] for i in keep], pa.float64()), pa.array([len(judged[i][2]) for i in keep], pa.int32())],
+                    [keys.take(pa.array(keep, pa.int64())), pa.array([judged[i][0] for i in keep], pa.string()), pa.array([judged[i][1] for i in keep], pa.float64()), pa.array([judged[i][2] for i in keep], pa.int32())],
                     [key, "kind", "share", "n_places"],
                 )
 
