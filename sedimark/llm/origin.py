@@ -10,7 +10,8 @@
    notices name somewhere. Patterns with enough support and precision become rules; conventional names are rules
    unless the files refute them, and at a repository's top level (where ``vendor`` may be a module of that name) only
    if the files confirm them.
-4. The mined rules are applied to the repositories that declare nothing.
+4. The mined rules are applied to the repositories that declare nothing of the kind; what they do not reach is judged
+   by its own evidence.
 
 The evidence table holds no text and is materialised once; all later steps are equi joins on short strings. Nothing is
 collected to the driver.
@@ -227,7 +228,7 @@ def path_features(source) -> tuple:
     parts = F.split(source, "/")
     dirs = F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0)))
     named = F.transform(dirs, lambda x, i: F.concat(F.when(i < 2, "top:").otherwise("dir:"), x))
-    pairs = F.transform(F.slice(dirs, 2, 99), lambda x, i: F.concat(F.lit("pair:"), F.element_at(dirs, i + 1), F.lit("/"), x))
+    pairs = F.transform(F.slice(dirs, F.lit(2), F.greatest(F.size(dirs), F.lit(0))), lambda x, i: F.concat(F.lit("pair:"), F.element_at(dirs, i + 1), F.lit("/"), x))
     infix = F.split(F.element_at(parts, -1), r"\.")
     infixes = F.transform(F.slice(infix, 2, F.greatest(F.size(infix) - 2, F.lit(0))), lambda x: F.concat(F.lit("infix:"), x))
     end = F.regexp_extract(infix[0], r"([-_][A-Za-z0-9]+)$", 1)
@@ -242,7 +243,7 @@ def mined_patterns(seen: DataFrame, support: int = 3, precision: float = 0.8, re
     third of all files share is no hot group.
     """
     names = seen.select(F.explode("packages").alias("word")).where(F.length("word") > 2).distinct()
-    words = F.array_distinct(F.concat(F.slice(F.split("source", "/"), 4, 99), F.split(F.element_at(F.split("source", "/"), -1), "[-_.]")))
+    words = F.array_distinct(F.concat(F.slice(F.split("source", "/"), F.lit(4), F.size(F.split("source", "/"))), F.split(F.element_at(F.split("source", "/"), -1), "[-_.]")))
     carrying = seen.where("kind = ''").select("source", F.explode(words).alias("word")).join(names, "word", "left_semi").select("source").distinct().withColumn("carries", F.lit(VENDORED))
     marked = seen.join(carrying, "source", "left").select(F.explode(path_features(F.col("source"))).alias("feature"), F.when(F.col("kind") != "", F.col("kind")).otherwise(F.col("carries")).alias("k"), F.substring_index("source", "/", 1).alias("scope"))
     count = lambda c: F.sum(c.cast("int"))
@@ -259,47 +260,65 @@ def mined_patterns(seen: DataFrame, support: int = 3, precision: float = 0.8, re
     return scored.where(mined | held).select("feature", "files", "marked", kind.alias("kind"))
 
 
+def declarations(seen: DataFrame) -> DataFrame | None:
+    """``source, generated, vendored``: what attribute files say of the files that they speak of; None where none speaks.
+
+    A file meets the attribute files by its folder and those above it, so no repository's rules travel as a whole, and
+    a folder's rules are parsed once per batch. The nearest folder that says something about a kind decides it.
+    """
+    folder = F.when(F.col("source").contains("/"), F.regexp_replace("source", "/[^/]*$", "")).otherwise("")
+    lines = F.array_join(F.filter(F.split("attributes", r"\r?\n"), lambda x: x.rlike("linguist-(?:generated|vendored)")), "\n")
+    rules = seen.where("attributes is not null").select(folder.alias("folder"), lines.alias("rules")).where("rules != ''")
+    if rules.isEmpty():
+        return None
+    parts = F.split("source", "/")
+    above = F.transform(F.sequence(F.lit(0), F.size(parts) - 1), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
+    near = seen.where("attributes is null").select("source", F.explode(above).alias("folder")).join(rules, "folder")
+
+    def match(batches):
+        parsed: dict[str, list] = {}
+        for batch in batches:
+            folders, sources, texts = (c.to_pylist() for c in batch.columns)
+            out: list[tuple] = []
+            for place, source, text in zip(folders, sources, texts):
+                if text not in parsed:
+                    if len(parsed) > 1000:
+                        parsed.clear()
+                    parsed[text] = parse_attributes(text)
+                inner = source[len(place) + 1 :] if place else source
+                last: dict[str, bool | None] = {}
+                for pattern, kind, value in parsed[text]:
+                    if pattern.match(inner):
+                        last[kind] = value
+                out += [(source, len(place), kind, value) for kind, value in last.items()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [[]] * 4, (pa.string(), pa.int32(), pa.string(), pa.bool_()))], ["source", "depth", "kind", "value"])
+
+    said = near.select("folder", "source", "rules").mapInArrow(match, "source string, depth int, kind string, value boolean")
+    nearest = lambda kind: F.max(F.when(F.col("kind") == kind, F.struct("depth", "value")))["value"]
+    return said.groupBy("source").agg(nearest(GENERATED).alias(GENERATED), nearest(VENDORED).alias(VENDORED)).where(F.col(GENERATED).isNotNull() | F.col(VENDORED).isNotNull())
+
+
 def judge_origin(chunks: DataFrame) -> DataFrame:
     """``source, scope, kind, why`` of every file but attribute files; ``kind`` is null for hand-written ones.
 
-    ``why`` is ``declared``, ``content`` or the path pattern. An empty file is hand-written; rows with a null source
+    ``why`` is ``declared``, the path pattern or ``content``. An empty file is hand-written; rows with a null source
     belong to no file; repeated rows count once.
     """
     seen = cut_lineage(read_evidence(chunks))
     scope = F.substring_index("source", "/", 1)
     patterns = mined_patterns(seen.where("attributes is null"))
     files = seen.where("attributes is null").select("source", scope.alias("scope"), F.when(F.col("kind") != "", F.col("kind")).alias("content"))
-    hits = files.select("source", F.explode(path_features(F.col("source"))).alias("feature")).join(patterns.select("feature", "kind"), "feature")
-    by_path = hits.groupBy("source").agg(F.min(F.struct("kind", "feature")).alias("path"))
-    folder = F.when(F.col("source").contains("/"), F.regexp_replace("source", "/[^/]*$", "")).otherwise("")
-    rules = seen.where("attributes is not null").groupBy(scope.alias("scope")).agg(F.collect_list(F.struct(folder.alias("folder"), F.col("attributes").alias("text"))).alias("rules"))
-    joined = files.join(by_path, "source", "left").join(rules, "scope", "left")
-
-    def settle(batches):
-        parsed: dict[str, list] = {}
-        for batch in batches:
-            sources, scopes, content, path, rule_sets = (c.to_pylist() for c in batch.columns)
-            kinds, whys = [], []
-            for source, own, found, marked, attributes in zip(sources, content, content, path, rule_sets):
-                said: dict[str, bool] = {}
-                if attributes:
-                    for a in attributes:
-                        if a["text"] not in parsed:
-                            parsed[a["text"]] = parse_attributes(a["text"])
-                    said = declared(source, [(a["folder"], parsed[a["text"]]) for a in attributes])
-                positive = [k for k, v in said.items() if v]
-                if positive:
-                    kind, why = positive[0], "declared"
-                elif said:
-                    kind, why = None, "declared"
-                elif own:
-                    kind, why = own, "content"
-                elif marked and not attributes:
-                    kind, why = marked["kind"], marked["feature"]
-                else:
-                    kind, why = None, None
-                kinds.append(kind)
-                whys.append(why)
-            yield pa.RecordBatch.from_arrays([pa.array(sources, pa.string()), pa.array(scopes, pa.string()), pa.array(kinds, pa.string()), pa.array(whys, pa.string())], ["source", "scope", "kind", "why"])
-
-    return joined.select("source", "scope", "content", "path", "rules").mapInArrow(settle, "source string, scope string, kind string, why string")
+    hits = files.select("source", F.explode(path_features(F.col("source"))).alias("feature")).join(patterns.select("feature", F.col("kind").alias("k")), "feature")
+    by_path = hits.groupBy("source").agg(F.min(F.struct("k", "feature")).alias("path"))
+    rows = files.join(by_path, "source", "left")
+    said = declarations(seen)
+    if said is None:
+        rows = rows.select("*", F.lit(None).cast("boolean").alias(GENERATED), F.lit(None).cast("boolean").alias(VENDORED), F.lit(False).alias("declares"))
+    else:
+        speaking = said.select(scope.alias("scope")).distinct().withColumn("declares", F.lit(True))
+        rows = rows.join(said, "source", "left").join(speaking, "scope", "left").withColumn("declares", F.coalesce("declares", F.lit(False)))
+    yes, no = F.col(GENERATED) | F.col(VENDORED), F.col(GENERATED).isNotNull() | F.col(VENDORED).isNotNull()
+    by_pattern = F.col("path").isNotNull() & ~F.col("declares")
+    kind = F.when(F.col(GENERATED), GENERATED).when(F.col(VENDORED), VENDORED).when(no, None).when(by_pattern, F.col("path.k")).otherwise(F.col("content"))
+    why = F.when(F.coalesce(yes, F.lit(False)) | no, "declared").when(by_pattern, F.col("path.feature")).when(F.col("content").isNotNull(), "content")
+    return rows.select("source", "scope", kind.alias("kind"), why.alias("why"))

@@ -65,3 +65,15 @@ def test_mined_patterns_reach_undeclared_repositories(spark):
     assert got["one/src/vendor/mod/1.ts"] == (None, None) and got["two/src/y/null.ts"] == (None, None)
     assert got["two/src/y/z.min.js"][0] == "minified" and "decl/.gitattributes" not in got
     assert judge_origin(df.limit(0)).count() == 0
+
+
+def test_attribute_files_by_folder(spark):
+    rows = [("one/.gitattributes", "* text=auto\n"), ("one/src/y/node_modules/q/plain.ts", "export class Q {}\n")]
+    rows += [("two/.gitattributes", "gen/** linguist-generated\n*.lock linguist-generated=true\n"), ("two/gen/.gitattributes", "keep.ts -linguist-generated\nown.ts !linguist-generated\n")]
+    rows += [("two/gen/a.ts", "let a;\n"), ("two/gen/keep.ts", "let k;\n"), ("two/gen/own.ts", "let o;\n"), ("two/deep/x/y.lock", "z"), ("two/src/node_modules/q/p.ts", "let p;\n"), ("gen/top.ts", "let t;\n")]
+    df = spark.createDataFrame([(s, 1, 1, t) for s, t in rows], "source string, start_line int, end_line int, text string")
+    got = {r.source: (r.kind, r.why) for r in judge_origin(df).collect()}
+    assert got["one/src/y/node_modules/q/plain.ts"] == ("vendored", "dir:node_modules")  # text=auto declares nothing of the kind
+    assert got["two/gen/a.ts"] == ("generated", "declared") and got["two/deep/x/y.lock"] == ("generated", "declared")
+    assert got["two/gen/keep.ts"] == (None, "declared") and got["two/gen/own.ts"] == (None, None)
+    assert got["two/src/node_modules/q/p.ts"] == (None, None) and got["gen/top.ts"] == (None, None)
