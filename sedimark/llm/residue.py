@@ -25,6 +25,7 @@ The broadcast models have a fixed size (``BUCKETS`` times the orders and classes
 from __future__ import annotations
 
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -102,6 +103,8 @@ _PLACE = re.compile(
     r"|<(?:[A-Z][A-Z0-9]*(?:[ _-][A-Z0-9]+)*|(?i:describe|insert|enter|your|add|name of|title of|list|fill|replace|short|one|beschreib\w*|descri\w+|nom|nombre|votre|su|ihr)\b[^<>\n/]{2,70})>"
     r"|\b(?:YYYY|AAAA|JJJJ)[-/.](?:MM)[-/.](?:DD|JJ|TT)\b|\b(?:DD|JJ|TT|MM)[-/.](?:MM|DD|JJ|TT)[-/.](?:YYYY|AAAA|JJJJ|YY|AA)\b|(?<![\w-])X{3,}(?![\w-])|(?<=: )_{3,}|(?<=: )\.{4,}"
 )
+#: what every place of these holds; looked for first, since it is cheap
+_MARK = re.compile(r"[\[{<$%@]|__|XXX|[-/.](?:MM|DD|JJ|TT|YY|AA)|: \.{4}")
 _TO_WRITE = re.compile(r"^\W*(?:replace|substitute) this (?:paragraph|text|section|line|sentence)\b|^\W*(?:sustituya|reemplace|sustituir) est[ea] (?:texto|p[áa]rrafo|secci[óo]n)\b|^\W*remplace[zr] (?:ce|cette) (?:texte|paragraphe|section)\b|^\W*ersetzen sie (?:diesen|diese) (?:text|absatz|abschnitt)\b", re.I)
 _FIELD = re.compile(r"^\W*[A-ZÀ-Ý][\w ]{1,30} ?:\s*(?:TBD|TBC|TBA|TODO|\?\?\?+)\W*$", re.M)
 _MIXED_CASE_TAG = frozenset("EOF EOT EOL NULL NUL DOCTYPE CDATA".split())
@@ -118,9 +121,27 @@ def running(text: str) -> str:
     return _INLINE.sub(" ␟ ", text) if "`" in text else text
 
 
+def _cut(text: str) -> list[str]:
+    """Sentences and lines of running text. A sentence ends at a mark before white space."""
+    return [w for w in map(str.strip, _CUT.split(text)) if w]
+
+
+def _plain(window: str) -> str:
+    """With one digit and one blank."""
+    return " ".join(_DIGIT.sub("0", window).split())
+
+
 def windows(text: str) -> list[str]:
-    """Sentences and lines of running text, with one digit and one blank. A sentence ends at a mark before white space."""
-    return [" ".join(_DIGIT.sub("0", w).split()) for w in map(str.strip, _CUT.split(text)) if w]
+    return [_plain(w) for w in _cut(text)]
+
+
+def _tally(texts: list[str | None]) -> Counter:
+    """How often each window occurs in the texts."""
+    raw = Counter(w for t in texts if t for w in _cut(running(t)))
+    out: Counter = Counter()
+    for w, n in raw.items():
+        out[_plain(w)] += n
+    return out
 
 
 # -- models ------------------------------------------------------------------------------------------------------------
@@ -269,7 +290,7 @@ def fitted(counts: np.ndarray) -> Models:
 
 def train(texts: list[str | None], rounds: int = 3) -> Models:
     """Models from the seeds and some whole texts (:func:`train_table` on one machine)."""
-    found = Counter(w for t in texts if t for w in windows(running(t)))
+    found = _tally(texts)
     flat, times = list(found), np.array(list(found.values()), dtype=np.int64)
     models = None
     for _ in range(rounds + 1):
@@ -287,31 +308,49 @@ def train_table(rows: DataFrame, text: str = "_text", rounds: int = 3) -> Models
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for texts in _slices(batch.column(0)):
-                found = Counter(w for t in texts if t for w in windows(running(t)))
+                found = _tally(texts)
                 yield pa.RecordBatch.from_arrays([pa.array(list(found), pa.string()), pa.array(list(found.values()), pa.int64())], ["w", "n"])
 
     each = cut_lineage(rows.select(text).mapInArrow(cut, "w string, n long").groupBy("w").agg(F.sum("n").alias("n")))
     models: Models | None = None
-    shape = (len(NAMES), ORDERS, BUCKETS)
-    plus = lambda a, b: b if a is None else a if b is None else a + b
     for _ in range(rounds + 1):
-        shared = context.broadcast(models.counts if models else None)
+        shared = context.broadcast(_packed(models.counts) if models else None)
 
         def dealt(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            own = None if shared.value is None else Models(shared.value)
-            total = np.zeros(shape, dtype=np.int64)
+            own = None if shared.value is None else Models(_unpacked(shared.value))
+            total = np.zeros(_SHAPE, dtype=np.int64)
             for batch in batches:
                 total += counted(batch.column(0).to_pylist(), batch.column(1).to_numpy(), own)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["counts"])
+            yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["counts"])
 
-        # task by task and then as a tree, so that few arrive at the driver
-        total = each.mapInArrow(dealt, "counts binary").rdd.treeAggregate(None, lambda a, r: plus(a, np.frombuffer(r[0], dtype=np.int64)), plus, depth=4)
-        models = fitted(np.zeros(shape, dtype=np.int64) if total is None else total.reshape(shape))
-        shared.unpersist()
+        parts = each.mapInArrow(dealt, "counts binary")
+        for width in (16, 1):  # as a tree, so that one sum arrives at the driver
+            parts = parts.repartition(width).mapInArrow(_sum, "counts binary")
+        models = fitted(_unpacked(parts.first()[0]))
+        shared.destroy()
     drop_table(each)
     return models
 
 
+_SHAPE = (len(NAMES), ORDERS, BUCKETS)
+
+
+def _packed(counts: np.ndarray) -> bytes:
+    return zlib.compress(counts.tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data), dtype=np.int64).reshape(_SHAPE)
+
+
+def _sum(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(_SHAPE, dtype=np.int64)
+    for batch in batches:
+        for data in batch.column(0):
+            total += _unpacked(data.as_py())
+    yield pa.RecordBatch.from_arrays([pa.array([_packed(total)], pa.binary())], ["counts"])
+
+
 def _slices(column: pa.Array, chars: int = 8_000_000) -> Iterator[list[str | None]]:
     """The texts of a batch in runs of about ``chars`` characters."""
     part: list[str | None] = []
@@ -333,6 +372,8 @@ def places(text: str) -> list[str]:
     """The unfilled places of running text: spans for a person or program to complete. Quoted text and code lines hold none."""
     out = []
     for line in text.split("\n"):
+        if not _MARK.search(line) and not _TO_WRITE.match(line) and not _FIELD.match(line):
+            continue
         if not line.strip() or _CODE_LINE.search(line) and not re.match(r"\s*(?:<%|\{\{|\[|#)", line):
             continue
         bare = _QUOTED.sub(" ", line)
@@ -356,9 +397,11 @@ def judge(texts: list[str | None], models: Models, coverage: float = 0.5, eviden
     Equal windows of the texts are judged once.
     """
     bare = [running(t) if t else "" for t in texts]
-    cut = [windows(t) for t in bare]
+    cut = [_cut(t) for t in bare]
+    raw: dict[str, int] = {}
     index: dict[str, int] = {}
-    at = np.array([index.setdefault(w, len(index)) for ws in cut for w in ws], dtype=np.int64)
+    at = np.array([raw.setdefault(w, len(raw)) for ws in cut for w in ws], dtype=np.int64)
+    at = np.array([index.setdefault(_plain(w), len(index)) for w in raw], dtype=np.int64)[at]
     distinct = list(index)
     own = models.ratios(distinct)
     size = np.array([len(w) + 1 for w in distinct], dtype=np.float64)
@@ -387,13 +430,13 @@ def find_residue(documents: DataFrame, key: str = "doc_id", text: str = "text",
     spark = documents.sparkSession
     t = F.col(f"`{text}`")
     rows = documents.select(F.col(f"`{key}`").alias("_key"), t.alias("_text")).where(t.isNotNull() & (F.length(F.trim(t)) > 0))
-    shared = spark.sparkContext.broadcast(train_table(rows).counts)
+    shared = spark.sparkContext.broadcast(_packed(train_table(rows).counts))
     kind = documents.schema[key].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = None
         for batch in batches:
-            models = models or Models(shared.value)
+            models = models or Models(_unpacked(shared.value))
             at = 0
             for texts in _slices(batch.column(1)):
                 keys = batch.column(0).slice(at, len(texts))
