@@ -73,7 +73,7 @@ SEEDS: dict[int, list[str]] = {
         "Texto de relleno.", "Texto de ejemplo.", "Aquí va el texto.", "Próximamente.", "Contenido próximamente.", "Página en construcción.",
         "Texte de remplissage.", "Contenu à venir.", "Le texte vient ici.", "Page en construction.", "Bientôt disponible.",
         "Blindtext.", "Platzhaltertext.", "Hier steht später Text.", "Hier kommt der Text hin.", "Inhalt folgt.", "Seite im Aufbau.", "Beispieltext.",
-        "Nullam quis risus eget urna mollis ornare vel eu leo. Cum sociis natoque penatibus et magnis dis parturient montes, nascetur ridiculus mus. Donec ullamcorper nulla non metus auctor fringilla. Vestibulum id ligula porta felis euismod semper. Praesent commodo cursus magna, vel scelerisque nisl consectetur et. Aenean lacinia bibendum nulla sed consectetur. Maecenas faucibus mollis interdum. Integer posuere erat a ante venenatis dapibus posuere velit aliquet. Morbi leo risus, porta ac consectetur ac, vestibulum at eros.", "Cras mattis consectetur purus sit amet fermentum. Etiam porta sem malesuada magna mollis euismod. Sed posuere consectetur est at lobortis. Fusce dapibus, tellus ac cursus commodo, tortor mauris condimentum nibh, ut fermentum massa justo sit amet risus. Curabitur blandit tempus porttitor. Duis mollis, est non commodo luctus, nisi erat porttitor ligula, eget lacinia odio sem nec elit. Class aptent taciti sociosqu ad litora torquent per conubia nostra, per inceptos himenaeos. Quisque viverra ipsum quaerat voluptatem erosque rudis. Aliquam erat volutpat, nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit.", "test test test test", "qwer qwer asdf zxcv", "lkj lkj fdsa fdsa", "This paragraph is only a placeholder.", "Real content will be added later.", "The final text will follow.", "Headline", "Subheading two", "Heading three", "Copy will be provided.", "Dummy copy. Dummy copy.", "Example text. Example text.", "n/a n/a n/a", "El texto definitivo vendrá después.", "Texto provisional.", "Le texte définitif suivra.", "Texte factice.", "Der endgültige Text folgt später.", "Mustertext.",
+        "Nullam quis risus eget urna mollis ornare vel eu leo. Cum sociis natoque penatibus et magnis dis parturient montes, nascetur ridiculus mus. Donec ullamcorper nulla non metus auctor fringilla. Vestibulum id ligula porta felis euismod semper. Praesent commodo cursus magna, vel scelerisque nisl consectetur et. Aenean lacinia bibendum nulla sed consectetur. Maecenas faucibus mollis interdum. Integer posuere erat a ante venenatis dapibus posuere velit aliquet. Morbi leo risus, porta ac consectetur ac, vestibulum at eros.", "Cras mattis consectetur purus sit amet fermentum. Etiam porta sem malesuada magna mollis euismod. Sed posuere consectetur est at lobortis. Fusce dapibus, tellus ac cursus commodo, tortor mauris condimentum nibh, ut fermentum massa justo sit amet risus. Curabitur blandit tempus porttitor. Duis mollis, est non commodo luctus, nisi erat porttitor ligula, eget lacinia odio sem nec elit. Class aptent taciti sociosqu ad litora torquent per conubia nostra, per inceptos himenaeos. Quisque viverra ipsum quaerat voluptatem erosque rudis. Aliquam erat volutpat, nemo enim ipsam voluptatem quia voluptas sit aspernatur aut odit aut fugit.", "test test test test", "qwer qwer asdf zxcv", "lkj lkj fdsa fdsa", "This paragraph is only a placeholder.", "Placeholder paragraph.", "Placeholder heading for the section.", "Real content will be added later.", "The final text will follow.", "Headline", "Subheading two", "Heading three", "Copy will be provided.", "Dummy copy. Dummy copy.", "Example text. Example text.", "n/a n/a n/a", "El texto definitivo vendrá después.", "Texto provisional.", "Le texte définitif suivra.", "Texte factice.", "Der endgültige Text folgt später.", "Mustertext.",
     ],
     NOTICE: [
         "404 Not Found", "The requested page was not found on this server.", "Go back to the home page or search for it.", "The resource has been moved or deleted (404).", "Page not found", "This page does not exist.", "The link to this document has expired or the document has been removed by its owner.", "This link has expired.", "The content you requested is no longer available.", "This document has been removed or is private.",
