@@ -148,3 +148,19 @@ def encode_table(
                 yield pa.RecordBatch.from_arrays(arrays, [*names, "n_tokens"])
 
     return rows.mapInArrow(run, schema)
+
+
+def decode_table(encoded: DataFrame, ids: str = "ids", vocabulary: str = DEFAULT_VOCABULARY, keep: tuple[str, ...] = (), out: str = "text") -> DataFrame:
+    """The columns of ``keep`` and the text of each list of ids: the vocabulary's strings laid end to end."""
+    data, _ = Vocabulary.read(vocabulary)
+    shared = encoded.sparkSession.sparkContext.broadcast(data)
+    rows = encoded.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{ids}`").alias("_ids"))
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[:-1]), f"`{out}` string"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = _vocabulary(shared)
+        for batch in batches:
+            texts = [vocab.decode(x.as_py() or []) for x in batch.column(batch.num_columns - 1)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(texts, pa.string())], [*keep, out])
+
+    return rows.mapInArrow(run, schema)

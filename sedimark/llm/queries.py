@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from sedimark.llm.bpe import encode_table
+from sedimark.llm.bpe import decode_table, encode_table
 from sedimark.llm.mixing import mix
-from sedimark.llm.neighbours import most_similar, similar_pairs
+from sedimark.llm.neighbours import most_similar, search_similar, similar_pairs, usable
 from sedimark.llm.origin import judge_origin
 from sedimark.llm.residue import find_residue
 from sedimark.llm.splitting import oversized, split_oversized
 from sedimark.llm.syntax import judge_files, rates
+from sedimark.operators.search import vector_topk_many
 from sedimark.plans.registry import Registry, table
 
 registry = Registry()
@@ -101,6 +103,12 @@ def p8_counts(spark, d):
     return counted.groupBy("source").agg(F.count(F.lit(1)).alias("documents"), F.sum("n_tokens").alias("tokens"), F.sum("n_chars").alias("chars"), F.max("n_tokens").alias("longest"))
 
 
+@registry.query("select doc_id, md5(coalesce(text, '')) as text_md5 from documents")
+def p8_decoded(spark, d):
+    """The texts that the ids decode to, which are those that were encoded."""
+    return decode_table(encode_table(table(spark, d, "documents")), keep=("doc_id",)).select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"))
+
+
 @registry.query()
 def p9_mix(spark, d):
     """The mix: blocks of tokens, each source with its target share."""
@@ -113,6 +121,22 @@ def p9_shares(spark, d):
     return mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))[1]
 
 
+@registry.query(
+    """with own as (select source, max((target_share, max_repeats)) as t from mix_targets where source is not null group by source),
+    held as (select source, t[1] as share, source in (select source from documents where coalesce(text, '') <> '') as texts from own)
+    select source, case when texts then round(share / sum(case when texts then share else 0 end) over (), 9) else 0 end as target_share, true as reached, true as capped from held"""
+)
+def p9_reached(spark, d):
+    """Whether each source that has texts reached its share within two blocks in a thousand, used no more often than allowed."""
+    mixed, report = mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
+    live = F.when(F.col("source_tokens") > 0, F.col("target_share")).otherwise(0.0)
+    rows = report.withColumn("want", F.round(live / F.sum(live).over(Window.partitionBy(F.lit(0))), 9))  # one row per listed source
+    used = mixed.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times")).groupBy("source").agg(F.max("times").alias("most"))
+    rows = rows.join(used, "source", "left")
+    near = F.abs(F.col("actual_share") - F.col("want")) <= 0.002 + 128.0 / F.sum("mix_tokens").over(Window.partitionBy(F.lit(0)))
+    return rows.select("source", F.col("want").alias("target_share"), near.alias("reached"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"))
+
+
 #: all pairs, which only small tables allow
 _BRUTE = """with u as (select vec_id, min(vector)::double[] as v from chunk_vectors where vec_id is not null and len(vector) = 64
     and len(list_filter(vector, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0 group by vec_id),
@@ -134,6 +158,28 @@ def p7_degree(spark, d):
     return near.groupBy("neighbour").agg(F.count(F.lit(1)).alias("times")).groupBy("times").agg(F.count(F.lit(1)).alias("vectors"))
 
 
+@registry.query()
+def p7_search(spark, d):
+    """The ten nearest of every vector whose id is divisible by 20, itself included, by greedy search over the graph."""
+    vectors = table(spark, d, "chunk_vectors")
+    return search_similar(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+@registry.query(
+    """select count(*) as queries, true as most from (select distinct vec_id from chunk_vectors where vec_id % 20 = 0 and len(vector) = 64
+    and len(list_filter(vector, lambda x: x is not null and isfinite(x))) = 64 and len(list_filter(vector, lambda x: x <> 0)) > 0)"""
+)
+def p7_recall(spark, d):
+    """Whether the greedy search finds nine of ten of the neighbours that a comparison with all vectors finds."""
+    vectors = table(spark, d, "chunk_vectors")
+    found = search_similar(vectors, vectors.where("vec_id % 20 = 0")).select(F.col("query").alias("query_id"), F.col("neighbour").alias("id"), F.lit(1).alias("hit"))
+    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
+    units = usable(vectors, "vec_id", "vector", 64).select("id", F.transform("v", lambda x: x.cast("double") / norm).alias("v"))
+    every = vector_topk_many(units, units.where("id % 20 = 0").select(F.col("id").alias("query_id"), F.col("v").alias("vector")), 10, "id", "v")
+    rows = every.select("query_id", "id").join(found, ["query_id", "id"], "left")
+    return rows.agg(F.count_distinct("query_id").alias("queries"), (F.avg(F.coalesce("hit", F.lit(0))) >= 0.9).alias("most"))
+
+
 @registry.query()
 def p10_found(spark, d):
     """Documents with unfilled places, and those that are filler, an error message or a notice."""
