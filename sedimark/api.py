@@ -12,7 +12,7 @@ from sedimark import render
 from sedimark.config import DEFAULTS, Settings
 from sedimark.operators import audit as layout
 from sedimark.operators import edges as relations
-from sedimark.operators import loc, project_map, search, windows
+from sedimark.operators import loc, project_map, search, text_index, windows
 from sedimark.operators.styles import component_trace, dead_classes, property_matches
 from sedimark.streaming.ingest import Index, ingest, sync
 
@@ -33,10 +33,10 @@ class Engine:
         self.embedder, self.reranker, self.generator = embedder, reranker, generator
 
     def ingest(self, force: bool = False, progress: Callable[[str], None] | None = None) -> dict:
-        return ingest(self.spark, self.project, self.index, force, progress)
+        return ingest(self.spark, self.project, self.index, force, progress, self.embedder)
 
     def sync(self) -> dict:
-        return sync(self.spark, self.project, self.index)
+        return sync(self.spark, self.project, self.index, self.embedder)
 
     def chunks(self) -> DataFrame | None:
         return self.index.chunks.read() if self.index.exists() else None
@@ -53,9 +53,12 @@ class Engine:
         if rows is None:
             return None
         rows = rows.where(search.matches(scope=scope))
-        embedded = search.embed(rows.select("id", "source", "start_line", "end_line", "text", "scope"), model=self.embedder, dim=s.dimensions)
         vector = self.embedder([text])[0] if self.embedder else search.mock_embedding(text, s.dimensions)
-        found = search.hybrid(embedded, text, vector, s.candidates).select("id", F.col("rank").alias("_found"))
+        size = rows.agg(F.count("n_terms"), F.avg("n_terms")).first()
+        held = self.index.postings.read()
+        listed = search.ranked(text_index.bm25(held.where(search.matches(scope=scope)), size[0], size[1], text), s.candidates) if held is not None else None
+        near = search.vector_topk(rows, vector, s.candidates)
+        found = (search.fuse_ranks(near, listed, s.candidates) if listed is not None else near).select("id", F.col("rank").alias("_found"))
         candidates = rows.join(F.broadcast(found), "id")  # at most ``candidates`` rows
         if self.reranker is None:
             return search.rerank(candidates, text, k, least=s.min_score)
@@ -126,7 +129,7 @@ class Engine:
         declared = rows.where(F.col("source").rlike(r"\.(css|scss|less|sass)$")).select(F.explode("tags").alias("cls"), "source").groupBy("cls").agg(F.min("source").alias("css_file"))
         used = rows.where(F.col("source").rlike(r"\.(tsx|jsx|js|html|vue|svelte|astro)$")).select("source", F.explode("tags").alias("cls")).distinct()
         dynamic = F.col("cls").startswith("[BEM]")
-        return rules, declared, used.select("source", F.when(dynamic, F.substring("cls", 6, 1000)).otherwise(F.col("cls")).alias("cls"), dynamic.alias("dynamic"))
+        return rules, declared, used.select("source", F.when(dynamic, F.expr("substring(cls, 6)")).otherwise(F.col("cls")).alias("cls"), dynamic.alias("dynamic"))
 
     def styles_map(self, component: str | None = None, cls: str | None = None, prop: str | None = None) -> dict:
         rows = self.chunks()

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class Settings:
-    schema_version: str = "1.0.0"
+    schema_version: str = "1.1.0"
     max_lines: int = 50
     overlap: int = 10
     max_query_chars: int = 2000

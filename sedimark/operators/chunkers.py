@@ -186,7 +186,7 @@ def prisma(lines: list[str], s: Settings) -> list[Piece]:
 
 def _schema_piece(lines: list[str], a: int, b: int, block: re.Match) -> Piece:
     name = block.group(2)
-    return Piece(a, b, block.group(1), name, "", scripts.prisma_dependencies("".join(lines[a:b]), name), [name] if block.group(1) == "model" else [])
+    return Piece(a, b, block.group(1), name, "", scripts.prisma_dependencies("".join(lines[a:b]), name), [name] if block.group(1) in ("model", "enum") else [])
 
 
 class _Tree(HTMLParser):

@@ -139,7 +139,7 @@ def bm25(rows: DataFrame, query: str, id: str = "id", text: str = "text", k1: fl
     Term counts are taken row by row with array functions; the only aggregate is one row of corpus statistics (rows,
     mean length, and the document frequency of each query term), taken first and put into the plan as numbers.
     """
-    asked = sorted(set(x for x in "".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()))
+    asked = query_terms(query)
     if not asked:
         return rows.select(F.col(id).alias("id"), F.lit(0.0).alias("score")).limit(0)
     cut = rows.where(F.col(text).isNotNull()).select(F.col(id).alias("id"), terms(F.col(text)).alias("t"))
@@ -149,19 +149,33 @@ def bm25(rows: DataFrame, query: str, id: str = "id", text: str = "text", k1: fl
     stats = counted.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), *(F.count_if(F.col(f"f{i}") > 0).alias(f"df{i}") for i in range(len(asked))))
     known = stats.first()
     held = counted.where(" or ".join(f"f{i} > 0" for i in range(len(asked))))
-    number = lambda name: F.lit(float(known[name] or 0))
+    return held.select("id", score_bm25(known["n"], known["avgdl"], [known[f"df{i}"] for i in range(len(asked))], k1, b).alias("score"))
+
+
+def query_terms(query: str) -> list[str]:
+    """The distinct terms of a query, in order."""
+    return sorted(set("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()))
+
+
+def score_bm25(n: int, mean: float | None, dfs: list[int], k1: float, b: float) -> Column:
+    """The score from the columns ``dl`` and ``f0``, ``f1``, ... (how often the text holds each term)."""
     score = F.lit(0.0)
-    for i in range(len(asked)):
-        f, df = F.col(f"f{i}"), number(f"df{i}")
-        idf = F.log(1 + (number("n") - df + 0.5) / (df + 0.5))
-        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / number("avgdl")))
-    return held.select("id", F.round(score, 6).alias("score"))
+    for i, df in enumerate(dfs):
+        f = F.col(f"f{i}")
+        idf = F.log(F.lit(1 + (float(n) - float(df) + 0.5) / (float(df) + 0.5)))
+        score = score + idf * f * (k1 + 1) / (f + k1 * (1 - b + b * F.col("dl") / F.lit(float(mean or 1))))
+    return F.round(score, 6)
 
 
 def text_topk(rows: DataFrame, query: str, k: int, id: str = "id", text: str = "text") -> DataFrame:
     """``id, score, rank`` of the ``k`` best rows by full-text score."""
     check_k(k)
-    best = bm25(rows, query, id, text).orderBy(F.col("score").desc(), "id").limit(k)
+    return ranked(bm25(rows, query, id, text), k)
+
+
+def ranked(scored: DataFrame, k: int) -> DataFrame:
+    """The ``k`` rows of the highest ``score`` with their ``rank``; equal scores rank by id (H1)."""
+    best = scored.orderBy(F.col("score").desc(), "id").limit(k)
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("score").desc(), "id")))
 
 
@@ -181,7 +195,7 @@ def hybrid(rows: DataFrame, query: str, vector: list[float], k: int, id: str = "
 
 def overlap_logit(query: str, text: Column) -> Column:
     """Stand-in for a reranking model: the share of the query's terms that a text holds, on a scale of -10 to 10."""
-    asked = sorted(set("".join(c if c.isascii() and c.isalnum() else " " for c in query.lower()).split()))
+    asked = query_terms(query)
     have = F.array_distinct(terms(text))
     return F.round(F.size(F.array_intersect(have, F.array(*(F.lit(x) for x in asked)))) * (20.0 / max(1, len(asked))) - 10.0, 6)
 

@@ -90,10 +90,10 @@ def p1_records(spark, d):
     return target.read().select("doc_id", F.md5(F.col("text").cast("binary")).alias("text_md5"), "run")
 
 
-_UP = "x"
+UP = "x"
 for _ in range(8):
-    _UP = f"regexp_replace({_UP}, '(^|/)(?:[^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+)/\\.\\.(/|$)', '\\1')"
-_UP = _UP.replace("(x,", "(regexp_replace(regexp_replace(x, '(/\\.)+(/|$)', '\\2', 'g'), '^\\./', ''),", 1)
+    UP = f"regexp_replace({UP}, '(^|/)(?:[^/.][^/]*|\\.[^/.][^/]*|\\.\\.[^/]+)/\\.\\.(/|$)', '\\1')"
+UP = UP.replace("(x,", "(regexp_replace(regexp_replace(x, '(/\\.)+(/|$)', '\\2', 'g'), '^\\./', ''),", 1)
 
 _ORPHANS = f"""
 refs as (
@@ -106,7 +106,7 @@ r as (
     replace(regexp_extract(t, '^from\\s+\\.+([^\\s.]\\S*)', 1), '.', '/') as module
   from refs where t <> '' and kind in ('import', 'depends_on') and not (kind = 'depends_on' and starts_with(t, '--'))),
 resolved as (
-  select *, {_UP.replace("(x,", "(folder || '/' || t,")} as path,
+  select *, {UP.replace("(x,", "(folder || '/' || t,")} as path,
     array_to_string(string_split(folder, '/')[1:len(string_split(folder, '/')) - dots + 1], '/') || case when module <> '' then '/' || module else '' end as pymodule
   from r),
 keys as (

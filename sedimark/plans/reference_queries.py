@@ -8,9 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from sedimark.functions import code
-from sedimark.operators import loc, project_map, search, styles, windows
+from sedimark.operators import loc, project_map, search, styles, text_index, windows
 from sedimark.operators import audit as layout
 from sedimark.operators import edges as relations
+from sedimark.plans.data_queries import UP
 from sedimark.plans.registry import Registry, table
 from sedimark.session import shared_folder
 from sedimark.sources.versions import VersionedTable
@@ -70,8 +71,7 @@ def file_reassembly(spark, d):
 
 @registry.query(
     f"""with {_CHUNKS}, h as (select source, start_line, text, row_number() over (partition by source order by end_line - start_line desc, id) as rank from chunks where text <> ''),
-    k as (select * from h where rank % 3 <> 1 or rank = 1),
-    p as (select source, rank, start_line, case when right(text, 1) = chr(10) then string_split(text, chr(10))[:-2] else string_split(text, chr(10)) end as l from k),
+    p as (select source, rank, start_line, case when right(text, 1) = chr(10) then string_split(text, chr(10))[:-2] else string_split(text, chr(10)) end as l from h),
     n as (select source, start_line + i - 1 as line_no, l[i] as line, rank from (select *, unnest(range(1, len(l) + 1)) as i from p)),
     w as (select source, line_no, arg_max(line, rank) as line from n group by source, line_no),
     g as (select *, line_no - row_number() over (partition by source order by line_no) as island from w)
@@ -80,7 +80,7 @@ def file_reassembly(spark, d):
 def fuse_lines(spark, d):
     """Hits of each file fused into blocks of consecutive lines; a later rank wins on shared lines."""
     w = Window.partitionBy("source").orderBy((F.col("end_line") - F.col("start_line")).desc(), "id")
-    hits = _chunks(spark, d).where("text != ''").withColumn("rank", F.row_number().over(w)).where("rank % 3 != 1 or rank = 1")
+    hits = _chunks(spark, d).where("text != ''").withColumn("rank", F.row_number().over(w))
     blocks = windows.fuse(hits.select("source", "start_line", "text", "rank"), keep_order=False)
     return blocks.select("source", "start_line", "end_line", F.md5(F.col("content").cast("binary")).alias("content_md5"))
 
@@ -207,13 +207,13 @@ def dir_tree(spark, d):
 _TERMS = "list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')"
 
 
-def _bm25_sql(asked=ASKED) -> str:
+def _bm25_sql(asked=ASKED, rows="documents", key="doc_id") -> str:
     tf = ", ".join(f"len(list_filter(t, lambda x: x = '{q}')) as f{i}" for i, q in enumerate(asked))
     df = ", ".join(f"count_if(f{i} > 0) as df{i}" for i in range(len(asked)))
     score = " + ".join(f"ln(1 + (n - df{i} + 0.5) / (df{i} + 0.5)) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * dl / avgdl))" for i in range(len(asked)))
     some = " or ".join(f"f{i} > 0" for i in range(len(asked)))
-    return f"""cut as (select doc_id, lang, {_TERMS} as t from documents where text is not null), counted as (select doc_id, len(t) as dl, {tf} from cut),
-    stats as (select count(*) as n, avg(dl) as avgdl, {df} from counted), scored as (select doc_id as id, round({score}, 6) as score from counted, stats where {some})"""
+    return f"""cut as (select {key}, {_TERMS} as t from {rows} where text is not null), counted as (select {key}, len(t) as dl, {tf} from cut),
+    stats as (select count(*) as n, avg(dl) as avgdl, {df} from counted), scored as (select {key} as id, round({score}, 6) as score from counted, stats where {some})"""
 
 
 @registry.query(f"with {_bm25_sql()} select id, score from scored")
@@ -260,19 +260,6 @@ def vector_topk_multi(spark, d):
     return search.vector_topk_many(rows, queries, 5, "vec_id", "embedding")
 
 
-@registry.query(
-    f"""with {_bm25_sql()}, txt as (select id, row_number() over (order by score desc, id) as b from scored order by score desc, id limit 30),
-    vec as (select vec_id as id, row_number() over (order by {_l2_sql('embedding', _probe(1))}, vec_id) as a from embeddings order by a limit 30),
-    f as (select coalesce(txt.id, vec.id) as id, round(coalesce(1.0::double / (60 + a), 0) + coalesce(1.0::double / (60 + b), 0), 9) as score from txt full join vec on txt.id = vec.id)
-    select id, score, 'rrf' as score_kind, row_number() over (order by score desc, id)::int as rank from f order by score desc, id limit 30"""
-)
-def hybrid_rrf(spark, d):
-    """Vector and full-text lists fused by reciprocal rank."""
-    left = search.vector_topk(table(spark, d, "embeddings"), _probe(1), 30, "vec_id", "embedding")
-    right = search.text_topk(table(spark, d, "documents"), QUERY, 30, "doc_id")
-    return search.fuse_ranks(left, right, 30)
-
-
 _RERANK = f"""with {_bm25_sql()}, c as (select id from scored order by score desc, id limit 30),
     j as (select c.id, round(len(list_filter({list(ASKED)}, lambda q: list_contains({_TERMS}, q))) * 5.0::double - 10.0, 6) as score from c join documents on doc_id = c.id)"""
 
@@ -295,16 +282,62 @@ def no_context(spark, d):
     return kept.agg(F.count(F.lit(1)).alias("hits")).select(F.when(F.col("hits") > 0, "OK").otherwise("NO_CONTEXT").alias("status"), "hits")
 
 
-@registry.query()
+CODE_QUERY = "export class service ledger ticket"
+_CODE_ASKED = tuple(sorted(CODE_QUERY.split()))
+_FUSED = f"""with chunks as (select distinct on (id) * from code_chunks where id is not null and text is not null), {_bm25_sql(_CODE_ASKED, "chunks", "id")},
+  vectors as (select chunk_id as id, min(vector) as v from chunk_vectors where chunk_id in (select id from chunks) and len(vector) = 64 and len(list_filter(vector, lambda x: x is not null and isfinite(x))) = 64 group by chunk_id),
+  near as (select id, {_l2_sql("v", _probe(1))} as distance from vectors),
+  a as (select id, row_number() over (order by distance, id) as a from near order by a limit 30), b as (select id, row_number() over (order by score desc, id) as b from scored order by b limit 30),
+  f as (select coalesce(a.id, b.id) as id, round(coalesce(1.0::double / (60 + a), 0) + coalesce(1.0::double / (60 + b), 0), 9) as score from a full join b on a.id = b.id order by score desc, id limit 30)"""
+_RETRIEVED = f"""{_FUSED},
+  j as (select c.*, round(len(list_filter({list(_CODE_ASKED)}, lambda q: list_contains({_TERMS}, q))) * {20.0 / len(_CODE_ASKED)}::double - 10.0, 6) as judged from f join chunks c using (id)),
+  best as (select *, row_number() over (order by judged desc, id) as rank from j where judged >= -2.0 order by judged desc, id limit 8),
+  p as (select source, rank, start_line, case when right(text, 1) = chr(10) then string_split(text, chr(10))[:-2] else string_split(text, chr(10)) end as l from best),
+  n as (select source, start_line + i - 1 as line_no, l[i] as line, rank from (select *, unnest(range(1, len(l) + 1)) as i from p)),
+  w as (select source, line_no, arg_max(line, rank) as line from n group by source, line_no),
+  g as (select *, line_no - row_number() over (partition by source order by line_no) as island from w), o as (select source, min(rank) as file_rank from best group by source)
+  select source, min(line_no)::int as start_line, max(line_no)::int as end_line, string_agg(line, chr(10) order by line_no) as content, any_value(file_rank)::int as file_rank from g join o using (source) group by source, island"""
+
+
+def _fused(spark, d):
+    """Chunks, and the thirty best by vector and text with their ``score`` and ``rank``."""
+    chunks = table(spark, d, "code_chunks").where("id is not null and text is not null").dropDuplicates(["id"])
+    v = F.col("vector")
+    fine = (F.size(v) == 64) & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    vectors = table(spark, d, "chunk_vectors").where(fine).groupBy(F.col("chunk_id").alias("id")).agg(F.min("vector").alias("vector")).join(chunks.select("id"), "id", "left_semi")
+    return chunks, search.fuse_ranks(search.vector_topk(vectors, _probe(1), 30), search.text_topk(chunks, CODE_QUERY, 30), 30)
+
+
+@registry.query(f"{_FUSED} select id, score, 'rrf' as score_kind, row_number() over (order by score desc, id)::int as rank from f")
+def hybrid_rrf(spark, d):
+    """Chunks by vector and by text, fused by reciprocal rank."""
+    return _fused(spark, d)[1]
+
+
+@registry.query(_RETRIEVED)
 def hybrid_retrieval(spark, d):
-    """The whole read path: windows of the documents, hybrid search, reranking, fusion of neighbouring lines."""
-    parts = windows.line_windows(table(spark, d, "documents"), "doc_id", size=12, overlap=3)
-    rows = parts.select(F.concat_ws("#", "doc_id", "start_line").alias("id"), F.col("doc_id").cast("string").alias("source"), "start_line", "text")
-    hits = search.hybrid(search.embed(rows), QUERY, search.mock_embedding(QUERY), 30).select("id")
-    found = rows.join(F.broadcast(hits), "id")  # at most 30 rows
-    best = search.rerank(found, QUERY, 8)
-    blocks = windows.fuse(best.select("source", "start_line", "text", "rank"))
-    return blocks.orderBy("file_rank", "source", "start_line")
+    """The whole read path over chunks with stored vectors: vector and text search fused, reranked, gated, fused into blocks."""
+    chunks, hits = _fused(spark, d)
+    best = search.rerank(chunks.join(F.broadcast(hits.select("id")), "id"), CODE_QUERY, 8)  # at most 30 rows
+    return windows.fuse(best.select("source", "start_line", "text", "rank")).orderBy("file_rank", "source", "start_line")
+
+
+@registry.query(f"with {_bm25_sql()} select id, score, row_number() over (order by score desc, id)::int as rank from scored order by score desc, id limit 10")
+def index_topk(spark, d):
+    """The ten best documents by full text from an inverted index, half of whose rows were replaced since."""
+    rows = table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text")
+    held = VersionedTable(spark, f"{shared_folder(spark)}/postings-{uuid.uuid4().hex}", by="bucket")
+    held.commit(text_index.postings(rows.withColumn("text", F.when(F.col("id") % 2 == 0, F.concat(F.lit("panels panels "), F.col("id").cast("string"))).otherwise(F.col("text")))), append=True)
+    again = rows.where("id % 2 = 0")
+    held.commit(text_index.postings(again), again.select("id"), append=True)
+    size = text_index.lengths(rows).agg(F.count("n_terms"), F.avg("n_terms")).first()
+    return search.ranked(text_index.bm25(held.read(), size[0], size[1], QUERY), 10)
+
+
+@registry.query("select term, count(*) as documents, sum(tf)::bigint as times from (select doc_id, term, count(*) as tf from (select doc_id, unnest(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]+'), lambda x: x <> '')) as term from documents where text is not null) group by all) group by term")
+def index_terms(spark, d):
+    """Documents and occurrences of every term, from the postings."""
+    return text_index.postings(table(spark, d, "documents"), "doc_id").groupBy("term").agg(F.count(F.lit(1)).alias("documents"), F.sum("tf").alias("times"))
 
 
 @registry.query("select lang, count(*) as n from documents where lang = 'en' and source = 'runbooks' group by lang")
@@ -347,10 +380,15 @@ def truncate_safe(spark, d):
     return table(spark, d, "documents").where("text is not null").select("doc_id", code.truncate_safe(t, 400).alias("cut"))
 
 
-@registry.query("select id, length(regexp_replace(text, '\\s', '', 'g')) = 0 as blank from (select distinct on (id) * from code_chunks)")
+@registry.query(
+    f"""with {_CHUNKS}, e as (select id, text, lower(regexp_extract(source, '[^/.](\\.[^./]*)$', 1)) as ext from chunks where text is not null)
+    select id, not regexp_matches(case when ext in ('.ts', '.js') then regexp_replace(regexp_replace(text, '(?s)/\\*.*?\\*/', '', 'g'), '//[^\\n]*', '', 'g') when ext = '.prisma' then regexp_replace(text, '//[^\\n]*', '', 'g')
+      when ext = '.html' then regexp_replace(text, '(?s)<!--.*?-->', '', 'g') when ext = '.css' then regexp_replace(text, '(?s)/\\*.*?\\*/', '', 'g') else text end, '\\S') as blank from e"""
+)
 def blank_chunks(spark, d):
-    """Chunks without anything but white space."""
-    return _chunks(spark, d).select("id", (~F.col("text").rlike(r"\S")).alias("blank"))
+    """Chunks without anything but comments and white space."""
+    rows = _chunks(spark, d).where("text is not null")
+    return rows.select("id", code.comment_only(F.col("text"), code.extension(F.col("source"))).alias("blank"))
 
 
 @registry.query("select content_hash, count(*) as documents from (select sha256(text) as content_hash from documents where text is not null) group by 1 having count(*) > 1")
@@ -406,14 +444,14 @@ def css_variables(spark, d):
 
 
 @registry.query(
-    f"""with {_CSS}, v as (select source, unnest(regexp_extract_all(' ' || css || ' ', '[^0-9.]\\.([a-zA-Z_][a-zA-Z0-9_-]*)(?:[ \\t\\r\\n]|$)', 1)) as cls from c)
-    select count(distinct cls) as classes from v"""
+    f"""with {_CSS}, q as (select source, string_split(css, '.') as p from c), i as (select source, p, unnest(range(2, len(p) + 1)) as i from q),
+    n as (select source, regexp_extract(p[i], '^([a-zA-Z_][a-zA-Z0-9_-]*)(?:[ \\t\\r\\n:,>+~\\[]|$)', 1) as cls, right(p[i - 1], 1) as before, i from i)
+    select source, cls, count(*) > 0 as named from n where cls <> '' and not regexp_matches(before, '[0-9]') and (before <> '' or i = 2) group by source, cls"""
 )
-def css_class_count(spark, d):
-    """Distinct classes that stand alone before white space."""
+def css_class_names(spark, d):
+    """The classes that the selectors of each style sheet's pieces name."""
     rows = _chunks(spark, d).where("source like '%.css' and text is not null")
-    one = F.regexp_extract_all(F.concat(F.lit(" "), code._bare_css(F.col("text")), F.lit(" ")), F.lit(r"[^0-9.]\.([a-zA-Z_][a-zA-Z0-9_-]*)(?:[ \t\r\n]|\z)"), 1)
-    return rows.select(F.explode(one).alias("cls")).agg(F.count_distinct("cls").alias("classes"))
+    return rows.select("source", F.explode(code.css_classes(F.col("text"))).alias("cls")).distinct().withColumn("named", F.lit(True))
 
 
 _RULES = """rules as (select source as css_file, r.selector as selector, r.classes as classes, r.start_line as start_line, r.end_line as end_line, r.properties as properties, r.media_query as media_query
@@ -445,9 +483,9 @@ def component_css_trace(spark, d):
 
 @registry.query()
 def component_css_rules(spark, d):
-    """The rules of the components of one module, one row each."""
+    """The rules of every component of a repository, one row each, and its classes without a rule."""
     chunks = table(spark, d, "code_chunks")
-    return styles.component_trace(styles.consumed(chunks), styles.rules_of(chunks), component="/billing/", prop="gap", within_repository=True)
+    return styles.component_trace(styles.consumed(chunks), styles.rules_of(chunks), within_repository=True)
 
 
 @registry.query()
@@ -570,6 +608,57 @@ def edges_enrich_top15(spark, d):
     return relations.dependency_files(hits, edges, chunks, 15)
 
 
+_TRIMMED = "regexp_replace(target_symbol, '^[\\s\"''`]+|[\\s\"''`]+$', '', 'g')"
+_NO_MODELS = ", ".join(f"'{x}'" for x in relations.PRISMA_TYPES)
+_IMPORTS = f"""t as (select distinct source_file as source, {_TRIMMED} as t from code_relationships where relationship_type = 'import' and source_file is not null),
+  r as (select *, case when contains(source, '/') then regexp_replace(source, '/[^/]*$', '') else '' end as folder, length(regexp_extract(t, '(?:from|import)\\s+(\\.+)', 1)) as dots,
+    replace(regexp_extract(t, '(?:from|import)\\s+\\.+([A-Za-z_][A-Za-z0-9_.]*)', 1), '.', '/') as module from t),
+  z as (select *, {UP.replace("(x,", "(folder || '/' || t,")} as path, array_to_string(list_filter([nullif(array_to_string(string_split(folder, '/')[1:greatest(len(string_split(folder, '/')) - dots + 1, 0)], '/'), ''), nullif(module, '')], lambda x: x is not null), '/') as base from r),
+  c as (select source, t, case when dots > 0 then [base || '.py', base || '/__init__.py', base] when starts_with(t, '.') then list_transform(['', '.ts', '.tsx', '.js', '/index.ts', '/index.tsx', '/index.js'], lambda e: path || e) else [] end as files from z),
+  x as (select source, t, unnest(files) as file, unnest(range(1, len(files) + 1)) as pos from c)"""
+
+
+def _every_file(edges):
+    return edges.where("source_file is not null").select(F.col("source_file").alias("source")).distinct().withColumn("rank", F.col("source"))
+
+
+@registry.query(f"with {_IMPORTS} select source as rank, t as target, arg_min(file, pos) as file from x where file in (select source from code_chunks where source is not null) group by source, t")
+def edges_imports(spark, d):
+    """For every file, the files that its relative imports mean."""
+    edges = table(spark, d, "code_relationships")
+    return relations.import_files(_every_file(edges), edges, table(spark, d, "code_chunks")).select("rank", "target", "file")
+
+
+@registry.query(
+    f"""with e as (select distinct source_file as rank, {_TRIMMED} as target from code_relationships where relationship_type = 'depends_on' and source_file is not null),
+    k as (select trim(class_name) as target, min(source) as file from code_chunks where class_name is not null and trim(class_name) <> '' and not contains(trim(class_name), ',') group by 1)
+    select rank, target, file from e join k using (target) where regexp_matches(target, '^[A-Z]') and target not in ({_NO_MODELS})"""
+)
+def edges_classes(spark, d):
+    """For every file, the first files of the classes that it depends on."""
+    edges = table(spark, d, "code_relationships")
+    return relations.class_files(_every_file(edges), edges, table(spark, d, "code_chunks")).select("rank", "target", "file")
+
+
+@registry.query(
+    f"""with e as (select distinct source_file as rank, {_TRIMMED} as target from code_relationships where relationship_type = 'depends_on' and source_file like '%.prisma'),
+    n as (select source, trim(unnest(string_split(class_name, ','))) as target from code_chunks where source like '%.prisma' and class_name is not null), k as (select target, min(source) as file from n where target <> '' group by 1)
+    select rank, target, file from e join k using (target) where regexp_matches(target, '^[A-Z]') and target not in ({_NO_MODELS})"""
+)
+def edges_models(spark, d):
+    """For every schema, the files of the models that it names."""
+    edges = table(spark, d, "code_relationships")
+    return relations.model_files(_every_file(edges), edges, table(spark, d, "code_chunks")).select("rank", "target", "file")
+
+
+@registry.query("select source_file, target_symbol, relationship_type, false as fresh from code_relationships where split_part(source_file, '/', 2) <> 'src' union all select distinct source_file, 'again', 'import', true from code_relationships where split_part(source_file, '/', 2) = 'src'")
+def edges_replaced(spark, d):
+    """The edges after some files were read again: theirs are replaced, the others stay."""
+    edges = table(spark, d, "code_relationships").where("source_file is not null").select("id", "source_file", "target_symbol", "relationship_type", F.lit(False).alias("fresh"))
+    fresh = edges.where("split_part(source_file, '/', 2) = 'src'").select("source_file").distinct().select(F.col("source_file").alias("id"), "source_file", F.lit("again").alias("target_symbol"), F.lit("import").alias("relationship_type"), F.lit(True).alias("fresh"))
+    return relations.replace_edges(edges, fresh).select("source_file", "target_symbol", "relationship_type", "fresh")
+
+
 @registry.query(
     """with old as (select doc_id, text from documents where doc_id % 10 <> 3), new as (select doc_id, case when doc_id % 7 = 2 then coalesce(text, '') || '!' else text end as text from documents where doc_id % 11 <> 5)
     select case when o.doc_id is null then 'added' when n.doc_id is null then 'removed' when o.text is not distinct from n.text then 'kept' else 'changed' end as change, count(*) as documents from old o full join new n using (doc_id) group by 1"""
@@ -598,8 +687,10 @@ def upsert_and_delete(spark, d):
     return held.read().select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("text_md5"))
 
 
-@registry.query()
+@registry.query("select doc_id, 768::int as dim, true as inside, true as alike from documents")
 def mock_embedding(spark, d):
-    """The stand-in vectors of the documents (J2): first number and length."""
-    rows = search.embed(table(spark, d, "documents").select("doc_id", "text"))
-    return rows.select("doc_id", F.round(F.col("vector")[0].cast("double"), 6).alias("first"), F.size("vector").alias("dim"))
+    """The stand-in vectors of the documents (J2): 768 numbers within -1..1, equal for equal texts."""
+    rows = search.embed(table(spark, d, "documents").select("doc_id", "text")).withColumn("_text", F.coalesce("text", F.lit("")))
+    first = rows.groupBy("_text").agg(F.min("vector").alias("_v"))
+    one = rows.select("doc_id", "_text", "vector").join(first, "_text").select("doc_id", "vector", (F.col("vector") == F.col("_v")).alias("alike"))
+    return one.select("doc_id", F.size("vector").alias("dim"), F.forall("vector", lambda x: (x >= -1) & (x <= 1)).alias("inside"), "alike")

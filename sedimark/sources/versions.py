@@ -35,10 +35,11 @@ class CommitConflict(RuntimeError):
 
 
 class VersionedTable:
-    """A keyed table with snapshots. ``key`` names the column that upserts and deletes go by."""
+    """A keyed table with snapshots. ``key`` names the column that upserts and deletes go by; ``by``, if given, the
+    column whose values are folders of their own, so that filters on it read those alone."""
 
-    def __init__(self, spark: SparkSession, root: str, key: str = "id") -> None:
-        self.spark, self.root, self.key = spark, root.rstrip("/"), key
+    def __init__(self, spark: SparkSession, root: str, key: str = "id", by: str | None = None) -> None:
+        self.spark, self.root, self.key, self.by = spark, root.rstrip("/"), key, by
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
 
@@ -103,13 +104,22 @@ class VersionedTable:
         manifest = self.manifest(version)
         parts = []
         for entry in manifest["data"]:
-            part = self.spark.read.parquet(f"{self.root}/{entry['folder']}")
+            part = self._data(entry["folder"])
+            if part is None:
+                continue
             later = [f"{self.root}/{d['folder']}" for d in manifest["deletes"] if d["since"] > entry["since"]]
             if later:
                 part = part.join(self.spark.read.parquet(*later).distinct(), self.key, "left_anti")
             parts.append(part)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
+    def _data(self, folder: str) -> DataFrame | None:
+        """A data folder; None where a table in folders by value got no row."""
+        path = f"{self.root}/{folder}"
+        if self.by and not any(x.isDirectory() for x in self._fs.listStatus(self._path(path))):
+            return None
+        return self.spark.read.parquet(path)
+
     def changes(self, old: int, new: int | None = None) -> DataFrame | None:
         """Record deltas between two versions: rows with ``_change`` ``upsert`` or ``delete``; None where the table was never written to.
 
@@ -126,7 +136,9 @@ class VersionedTable:
         parts, gone = [], []
         for i, step in enumerate(steps):
             if step.get("data"):
-                rows = self.spark.read.parquet(f"{self.root}/{step['data']}")
+                rows = self._data(step["data"])
+                if rows is None:
+                    continue
                 later = [k for x in steps[i + 1 :] for k in keys(x)]
                 if later:
                     rows = rows.join(self.spark.read.parquet(*later).distinct(), self.key, "left_anti")
@@ -193,7 +205,7 @@ class VersionedTable:
         if upserts is not None:
             folder = f"data/{uuid.uuid4().hex}"
             rows = upserts if append else upserts.dropDuplicates([self.key])
-            rows.write.parquet(f"{self.root}/{folder}")
+            self._write(rows, folder)
             if not append and not rebuild and out["data"]:
                 mask = f"deletes/{uuid.uuid4().hex}"
                 self.spark.read.parquet(f"{self.root}/{folder}").select(self.key).write.parquet(f"{self.root}/{mask}")
@@ -203,6 +215,10 @@ class VersionedTable:
             out["step"]["data"] = folder
         return self._commit(out)
 
+    def _write(self, rows: DataFrame, folder: str) -> None:
+        writer = rows.repartition(self.by).write.partitionBy(self.by) if self.by else rows.write
+        writer.parquet(f"{self.root}/{folder}")
+
     def compact(self, files: int | None = None) -> int:
         """Rewrite the live rows into one data folder without masks; no row changes, so consumers get an empty delta."""
         last = self.manifest()
@@ -210,7 +226,7 @@ class VersionedTable:
         if rows is None:
             return last["version"]
         folder = f"data/{uuid.uuid4().hex}"
-        (rows.coalesce(files) if files else rows).write.parquet(f"{self.root}/{folder}")
+        self._write(rows.coalesce(files) if files else rows, folder)
         return self._commit({**last, "version": last["version"] + 1, "data": [{"folder": folder, "since": last["version"] + 1}], "deletes": [], "step": {}})
 
 

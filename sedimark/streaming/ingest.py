@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sedimark.config import DEFAULTS, Settings
+from sedimark.operators import search, text_index
 from sedimark.operators.chunkers import chunk_files
 from sedimark.operators.incremental import ADDED, CHANGED, KEPT, REMOVED, diff_manifests
 from sedimark.sources import files as sources
@@ -20,13 +21,17 @@ class NoRoot(ValueError):
 
 
 class Index:
-    """The chunk, edge and file-state tables of a repository, each a versioned table under one folder."""
+    """The chunk, posting, edge and file-state tables of a repository, each a versioned table under one folder.
+
+    Chunks hold their vector and number of terms, so a query embeds and reads no text but its own and its hits'.
+    """
 
     def __init__(self, spark: SparkSession, folder: str, settings: Settings = DEFAULTS) -> None:
         self.spark, self.settings = spark, settings
         self.chunks = VersionedTable(spark, f"{folder}/chunks")
         self.edges = VersionedTable(spark, f"{folder}/relationships")
         self.state = VersionedTable(spark, f"{folder}/file_state", key="rel_path")
+        self.postings = VersionedTable(spark, f"{folder}/postings", by="bucket")
 
     def exists(self) -> bool:
         return self.state.version() > 0
@@ -69,7 +74,12 @@ def _marks(root: str) -> list[str]:
     return out
 
 
-def ingest(spark: SparkSession, root: str, index: Index, force: bool = False, progress: Callable[[str], None] | None = None) -> dict[str, int]:
+def indexed(chunks: DataFrame, settings: Settings = DEFAULTS, embedder: Callable | None = None) -> DataFrame:
+    """Chunks with ``vector`` and ``n_terms``, as the chunk table holds them."""
+    return text_index.lengths(search.embed(chunks, model=embedder, dim=settings.dimensions))
+
+
+def ingest(spark: SparkSession, root: str, index: Index, force: bool = False, progress: Callable[[str], None] | None = None, embedder: Callable | None = None) -> dict[str, int]:
     """Bring the index up to date with the repository; returns the counters.
 
     New and changed files are chunked, deleted ones dropped, everything else stays. A mismatch of schema or model
@@ -97,11 +107,12 @@ def ingest(spark: SparkSession, root: str, index: Index, force: bool = False, pr
         say(f"files: {counts}")
         fresh = files.join(delta.where(F.col("change").isin(ADDED, CHANGED)).select(F.col("path").alias("rel_path")), "rel_path", "left_semi")
         touched = delta.where(F.col("change") != KEPT).select(F.col("path").alias("source"))
-        made = chunk_files(fresh.select(F.col("rel_path").alias("source"), "scope", "content"), index.settings).cache()
+        made = indexed(chunk_files(fresh.select(F.col("rel_path").alias("source"), "scope", "content"), index.settings), index.settings, embedder).cache()
         n = made.count()
         changed = sum(counts.get(c, 0) for c in (ADDED, CHANGED, REMOVED))
         if changed or rebuild or not index.exists():
             gone = stored.join(touched, "source", "left_semi").select("id") if stored is not None else None
+            index.postings.commit(text_index.postings(made, keep=("scope",)), gone, append=True, rebuild=rebuild)
             index.chunks.commit(made, gone, rebuild=rebuild)
             say("chunks committed")
             known = None if rebuild else index.edges.read()
@@ -118,36 +129,53 @@ def ingest(spark: SparkSession, root: str, index: Index, force: bool = False, pr
         files.unpersist()
 
 
-def sync(spark: SparkSession, root: str, index: Index) -> dict:
+def sync(spark: SparkSession, root: str, index: Index, embedder: Callable | None = None) -> dict:
     """Freshness before a query: ``updated, reason, changed_count``; -1 where the index was rebuilt (M2, M3)."""
     ok, reason = index.check()
     if reason == "missing":
         return {"updated": False, "reason": "no_index", "changed_count": 0}
     if not ok:
-        ingest(spark, root, index, force=True)
+        ingest(spark, root, index, force=True, embedder=embedder)
         return {"updated": True, "reason": "forced", "changed_count": -1}
-    counts = ingest(spark, root, index)
+    counts = ingest(spark, root, index, embedder=embedder)
     changed = counts["new"] + counts["modified"] + counts["deleted"]
     return {"updated": bool(changed), "reason": "synced" if changed else "clean", "changed_count": changed}
 
 
-def ingest_stream(files: DataFrame, index: Index, checkpoint: str, once: bool = True):
-    """Chunk a stream of files ``source, scope, content`` into the index, each micro-batch one commit.
+def ingest_stream(files: DataFrame, index: Index, checkpoint: str, once: bool = True, embedder: Callable | None = None):
+    """Chunk a stream of files ``source, scope, content`` into the index: chunks, postings, edges and file state.
 
-    The batch number is in the commit (``processed``), so a batch that is delivered again after a failure is skipped.
-    Of several contents of a file in a batch the last by ``seen`` (if there is such a column) counts.
+    The batch number is in each table's commit (``processed``), so of a batch that is delivered again after a failure
+    only the tables that did not get it are written. Of several contents of a file in a batch the last by ``seen`` (if
+    there is such a column) counts.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        if index.chunks.manifest()["processed"].get("stream", -1) >= number:
+        done = lambda t: t.manifest()["processed"].get("stream", -1) >= number
+        mark = {"stream": number}
+        if done(index.state):  # written last
             return
         last = F.max_by(F.struct("scope", "content"), "seen" if "seen" in batch.columns else F.length("content"))
-        latest = batch.groupBy("source").agg(last.alias("f")).select("source", "f.scope", "f.content")
-        made = chunk_files(latest, index.settings).persist()
-        stored = index.chunks.read()
-        gone = stored.join(latest.select("source"), "source", "left_semi").select("id") if stored is not None else None
-        index.chunks.commit(made, gone, processed={"stream": number})
+        latest = batch.groupBy("source").agg(last.alias("f")).select("source", "f.scope", "f.content").persist()
+        made = indexed(chunk_files(latest, index.settings), index.settings, embedder).persist()
+        if not done(index.postings):
+            stored = index.chunks.read(index.chunks.manifest()["version"] - 1 if done(index.chunks) else None)
+            gone = stored.join(latest.select("source"), "source", "left_semi").select("id") if stored is not None else None
+            index.postings.commit(text_index.postings(made, keep=("scope",)), gone, append=True, processed=mark)
+        if not done(index.chunks):
+            stored = index.chunks.read()
+            gone = stored.join(latest.select("source"), "source", "left_semi").select("id") if stored is not None else None
+            index.chunks.commit(made, gone, processed=mark)
+        if not done(index.edges):
+            known = index.edges.read()
+            lost = known.join(latest.select(F.col("source").alias("source_file")), "source_file", "left_semi").select("id") if known is not None else None
+            index.edges.commit(edges_of(made), lost, processed=mark)
+        state = latest.join(made.select("source").distinct().withColumn("_c", F.lit(True)), "source", "left")
+        content = F.coalesce("content", F.lit("")).cast("binary")
+        rows = state.select(F.col("source").alias("rel_path"), F.sha2(content, 256).alias("sha256"), F.current_timestamp().alias("mtime"), F.length(content).cast("long").alias("size"), F.col("_c").isNull().alias("empty"))
+        index.state.commit(rows, processed=mark, meta={"schema_version": index.settings.schema_version, "embedding_model": index.settings.embedding_model})
         made.unpersist()
+        latest.unpersist()
 
     writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return writer.trigger(availableNow=True).start() if once else writer.start()
