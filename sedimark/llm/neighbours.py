@@ -163,19 +163,57 @@ def _lists(ids: np.ndarray, others: np.ndarray, sims: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(ids.astype(np.int64)), n, s], ["v", "n", "s"])
 
 
-def _merge_lists(lists: DataFrame, k: int) -> DataFrame:
-    """Several partial lists per node as one list of its k best, without repeats: ``v, n, s, f``.
+def _by_node(lists: DataFrame, k: int, schema: str, width: int) -> DataFrame:
+    """Rows ``v, n, s, old`` (lists of nodes and similarities) as one list per ``v``: its k best without repeats.
 
-    Rows with ``old`` true are the graph so far; ``f`` says of each entry whether it is new against it.
+    The lists meet in sorted partitions and are merged as flat arrays; a collecting aggregate in the JVM would sort
+    them one object at a time. ``f`` says of each entry whether no ``old`` list has it.
     """
-    pairs = F.arrays_zip(F.col("s").alias("s"), F.col("n").alias("n"))
-    joined = lists.select("v", pairs.alias("p"), F.when(F.col("old"), F.col("n")).alias("o")).groupBy("v").agg(F.flatten(F.collect_list("p")).alias("p"), F.first("o", ignorenulls=True).alias("o"))
-    best = F.slice(F.reverse(F.array_sort(F.array_distinct("p"))), 1, k)
-    kept = joined.select("v", best.alias("p"), F.coalesce("o", F.array().cast("array<bigint>")).alias("o"))
-    return kept.select("v", F.col("p.n").alias("n"), F.col("p.s").alias("s"), F.transform("p.n", lambda x: ~F.array_contains("o", x)).alias("f"))
 
+    def merged(v: np.ndarray, n: np.ndarray, s: np.ndarray, old: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((~old, n, v))
+        v, n, s, old = v[order], n[order], s[order], old[order]
+        keep = np.r_[True, (v[1:] != v[:-1]) | (n[1:] != n[:-1])] if len(v) else np.zeros(0, dtype=bool)
+        v, n, s, old = v[keep], n[keep], s[keep], old[keep]
+        order = np.lexsort((n, -s, v))
+        v, n, s, old = v[order], n[order], s[order], old[order]
+        begin = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, dtype=int)
+        keep = np.arange(len(v)) - np.repeat(begin, np.diff(np.r_[begin, len(v)])) < k
+        v, n, s, old = v[keep], n[keep], s[keep], old[keep]
+        cuts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, dtype=int)
+        offsets = pa.array(np.r_[cuts, len(v)].astype(np.int32))
+        lists = [pa.ListArray.from_arrays(offsets, pa.array(x)) for x in (n, s, ~old)]
+        return pa.RecordBatch.from_arrays([pa.array(v[cuts]), *lists], ["v", "n", "s", "f"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sizes = batch.column(1).value_lengths().to_numpy(zero_copy_only=False)
+            v, old = (np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in (0, 3))
+            n, s = (batch.column(i).flatten().to_numpy(zero_copy_only=False) for i in (1, 2))
+            held.append((v, n, s, old.astype(bool)))
+            if len(v) and held[0][0][:1] != v[-1:]:
+                v, n, s, old = (np.concatenate(x) for x in zip(*held))
+                upto = int(np.searchsorted(v, v[-1]))  # the last node may go on in the next batch
+                yield merged(v[:upto], n[:upto], s[:upto], old[:upto])
+                held = [(v[upto:], n[upto:], s[upto:], old[upto:])]
+        if held:
+            yield merged(*(np.concatenate(x) for x in zip(*held)))
+
+    rows = lists.select("v", "n", "s", "old").repartition(width, "v").sortWithinPartitions("v")
+    return rows.mapInArrow(merge, schema)
+
+
+_GRAPH = "v long, n array<long>, s array<double>, f array<boolean>"
 
-def grow(nodes: DataFrame, dim: int, trees: int = 6, leaf_rows: int = 400, sample_rows: int = 20_000, seed: int = 5):
+
+def _merge_lists(lists: DataFrame, k: int) -> DataFrame:
+    return _by_node(lists, k, _GRAPH, shuffle_width(lists.sparkSession) * 2)
+
+
+def grow(nodes: DataFrame, dim: int, trees: int = 8, leaf_rows: int = 600, sample_rows: int = 20_000, seed: int = 5):
     """A broadcast forest for ``nodes`` (``id, v``), with their number. It has at most ``2 * sample_rows`` hyperplanes a tree."""
     n = nodes.count()
     sampled = nodes.orderBy(F.xxhash64("id", F.lit(seed))).limit(sample_rows).select("v").toPandas()["v"] if n else []
@@ -201,7 +239,7 @@ def numbered(nodes: DataFrame, dim: int, forest, n: int, block_rows: int = 2048)
     return nodes.select("id", "v").mapInArrow(number, "id long, number long")
 
 
-def knn_graph(nodes: DataFrame, dim: int, k: int, forest, n: int, leaf_cap: int = 1500, rounds: int = 6, delta: float = 0.01, join_k: int = 14, part: int = 48, seed: int = 5, report: list | None = None) -> DataFrame:
+def knn_graph(nodes: DataFrame, dim: int, k: int, forest, n: int, leaf_cap: int = 1500, rounds: int = 6, delta: float = 0.02, join_k: int = 10, part: int = 48, seed: int = 5, report: list | None = None) -> DataFrame:
     """The graph ``v, n, s, f`` of distinct directions: each node's k nearest found (fewer where there are fewer nodes).
 
     ``nodes``: ``id, v``, written by the caller, ``id`` as :func:`numbered` gives it. ``report`` collects the number of
@@ -295,60 +333,57 @@ def _descend(graph: DataFrame, nodes: DataFrame, dim: int, k: int, join_k: int,
     rows = rows.repartition(width * 2, "block", "part").sortWithinPartitions("block", "part", F.asc_nulls_first("u"))
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vs: list[np.ndarray] = []
-        ns: list[np.ndarray] = []
-        ss: list[np.ndarray] = []
-
-        def emit() -> pa.RecordBatch:
-            v, n, s = (np.concatenate(x) for x in (vs, ns, ss))
-            for x in (vs, ns, ss):
-                x.clear()
-            # a pair that several nodes propose counts once, and no more than a node's k best are of use
-            order = np.lexsort((n, v))
-            v, n, s = v[order], n[order], s[order]
-            keep = np.ones(len(v), dtype=bool)
-            keep[1:] = (v[1:] != v[:-1]) | (n[1:] != n[:-1])
-            v, n, s = v[keep], n[keep], s[keep]
-            order = np.lexsort((-s, v))
-            v, n, s = v[order], n[order], s[order]
-            begin = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
-            keep = np.arange(len(v)) - np.repeat(begin, np.diff(np.r_[begin, len(v)])) < k
-            v, n, s = v[keep], n[keep], s[keep]
-            cuts = np.flatnonzero(np.r_[True, v[1:] != v[:-1]]) if len(v) else np.zeros(0, dtype=int)
-            offsets = pa.array(np.r_[cuts, len(v)].astype(np.int32))
-            return pa.RecordBatch.from_arrays([pa.array(v[cuts]), pa.ListArray.from_arrays(offsets, pa.array(n)), pa.ListArray.from_arrays(offsets, pa.array(s))], ["v", "n", "s"])
-
-        held = 0
         for ids, unit, worst, lists in _blocks(batches, dim):
             place = np.argsort(ids)
             ids, unit, worst = ids[place], unit[place], worst[place]
+            short, least = unit.astype(np.float32), (worst - 1e-6).astype(np.float32)
             u, member, fwd, new = lists
             at = np.searchsorted(ids, member)
             begin = np.flatnonzero(np.r_[True, u[1:] != u[:-1]]) if len(u) else np.zeros(0, dtype=int)
             sizes = np.diff(np.r_[begin, len(u)])
+            held: list[tuple[np.ndarray, np.ndarray]] = []
+
+            def best(held=held, ids=ids, unit=unit, worst=worst) -> pa.RecordBatch:
+                """Of the pairs found so far each once, and no more than a node's k best, with their exact similarity."""
+                key, s = (np.concatenate(x) for x in zip(*held))
+                held.clear()
+                key, first = np.unique(key, return_index=True)
+                a, b, s = key // len(ids), key % len(ids), s[first]
+                order = np.lexsort((-s, a))
+                a, b = a[order], b[order]
+                cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]])
+                keep = np.arange(len(a)) - np.repeat(cuts, np.diff(np.r_[cuts, len(a)])) < k
+                a, b = a[keep], b[keep]
+                s = np.round(np.einsum("ij,ij->i", unit[a], unit[b]), EXACT)
+                keep = s > worst[a] + 1e-12
+                a, b, s = a[keep], b[keep], s[keep]
+                cuts = np.flatnonzero(np.r_[True, a[1:] != a[:-1]]) if len(a) else np.zeros(0, dtype=int)
+                offsets = pa.array(np.r_[cuts, len(a)].astype(np.int32))
+                return pa.RecordBatch.from_arrays([pa.array(ids[a[cuts]]), pa.ListArray.from_arrays(offsets, pa.array(ids[b])), pa.ListArray.from_arrays(offsets, pa.array(s))], ["v", "n", "s"])
+
+            n_held = 0
             for some in _alike(sizes):
-                # lists of about one length at a time, as one stack of matrices
+                # lists of about one length at a time, as one stack of matrices in single precision
                 wide = int(sizes[some].max())
                 take = begin[some][:, None] + np.minimum(np.arange(wide), sizes[some][:, None] - 1)
                 there = np.arange(wide) < sizes[some][:, None]
                 rows = at[take]
-                own = unit[rows]
-                sims = np.round(own @ own.transpose(0, 2, 1), EXACT)
-                f, w = fwd[take], new[take]
-                better = sims > worst[rows][:, :, None] + 1e-12
-                better &= (f[:, :, None] | f[:, None, :]) & (w[:, :, None] | w[:, None, :]) & there[:, :, None] & there[:, None, :]
+                own = short[rows]
+                sims = own @ own.transpose(0, 2, 1)
+                f, w = fwd[take] & there, new[take] & there
+                better = sims > np.where(there, least[rows], 9)[:, :, None]
+                better &= f[:, :, None] | (f[:, None, :] & there[:, :, None])
+                better &= (w[:, :, None] | w[:, None, :]) & there[:, None, :]
                 better &= rows[:, :, None] != rows[:, None, :]
                 g, a, b = np.nonzero(better)
                 if len(g):
-                    vs.append(ids[rows[g, a]])
-                    ns.append(ids[rows[g, b]])
-                    ss.append(sims[g, a, b])
-                    held += len(g)
-                    if held > 400_000:
-                        yield emit()
-                        held = 0
-        if vs:
-            yield emit()
+                    held.append((rows[g, a] * len(ids) + rows[g, b], sims[g, a, b]))
+                    n_held += len(g)
+                    if n_held > 2_000_000:
+                        yield best()
+                        n_held = 0
+            if held:
+                yield best()
 
     proposed = rows.mapInArrow(join, _LIST).withColumn("old", F.lit(False))
     merged = cut_lineage(_merge_lists(graph.select("v", "n", "s", F.lit(True).alias("old")).unionByName(proposed), k))
@@ -417,10 +452,11 @@ def most_similar(vectors: DataFrame, key: str = "vec_id", vector: str = "vector"
     graph = knn_graph(classes.select("id", "v"), dim, k + slack, forest, n, **settings)
     # the neighbours of a class as vectors: the members of near classes by similarity, then id
     near = graph.select("v", F.explode(F.arrays_zip("n", "s")).alias("p")).select("v", F.col("p.n").alias("n"), F.round("p.s", PLACES).alias("s"))
-    near = near.join(classes.select(F.col("id").alias("n"), "members"), "n").select("v", F.transform("members", lambda m: F.struct((-F.col("s")).alias("s"), m.alias("n"))).alias("p"))
-    near = near.groupBy("v").agg(F.slice(F.array_sort(F.flatten(F.collect_list("p"))), 1, k).alias("p"))
-    own = F.transform("members", lambda m: F.struct(F.lit(-1.0).alias("s"), m.alias("n")))
-    nearest = classes.join(near, classes["id"] == near["v"], "left").select("d", F.concat(own, F.coalesce("p", F.array().cast("array<struct<s:double,n:bigint>>"))).alias("p"))
+    near = near.join(classes.select(F.col("id").alias("n"), "members"), "n").select("v", "members", "s")
+    every = near.unionByName(classes.select(F.col("id").alias("v"), "members", F.lit(1.0).alias("s")))
+    alike = every.select("v", F.col("members").alias("n"), F.transform("members", lambda m: F.col("s")).alias("s"), F.lit(False).alias("old"))
+    best = _by_node(alike, k + 1, _GRAPH, shuffle_width(rows.sparkSession) * 2)
+    nearest = classes.join(best, classes["id"] == best["v"]).select("d", F.arrays_zip(F.transform(best["s"], lambda x: -x).alias("s"), best["n"].alias("n")).alias("p"))
     # one short list per class, sent to all members: a class of very many is dealt into parts of bounded size
     held = rows.groupBy("d").agg(F.ceil(F.count(F.lit(1)) / 10_000).cast("int").alias("parts"))
     lists = nearest.join(held, "d").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))

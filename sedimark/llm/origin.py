@@ -102,6 +102,9 @@ def declared(path: str, files: list[tuple[str, list]]) -> dict[str, bool]:
     return out
 
 
+#: fewer characters of literals are a few settings, which people write; more, with no code beside them, are data
+BULK_LITERALS = 400
+
 # -- evidence in a file ------------------------------------------------------------------------------------------------
 
 _C_LIKE = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`(?:[^`\\]|\\[\s\S])*`|(//[^\n]*|/\*(?:[^*]|\*(?!/))*(?:\*/|\Z))")
@@ -162,7 +165,7 @@ def notices(text: str, ext: str, scope: str) -> tuple[str, list[str]]:
 def dense(text: str) -> bool:
     """Minified: long lines with hardly a blank, full of punctuation."""
     body = [x for x in text.split("\n") if x.strip()]
-    if not body or len(text) < 200:
+    if not body:
         return False
     average = sum(map(len, body)) / len(body)
     if average < 110:
@@ -175,12 +178,12 @@ def dense(text: str) -> bool:
 
 
 def bulk(text: str, ext: str) -> bool:
-    """Nothing but data: an assignment or a few whose right sides are literals, at least 400 characters of them."""
-    if len(text) < 600 or ext in ("css", "html", "prisma") or not _ASSIGNED.match(text):
+    """Nothing but data: an assignment or a few whose right sides are literals, more than ``BULK_LITERALS`` characters of them."""
+    if ext in ("css", "html", "prisma") or not _ASSIGNED.match(text):
         return False
     bare = _COMMENTS.get(ext, _C_LIKE).sub(lambda m: "" if m.group(1) else m.group(), text)
     literals = _LITERALS.sub("", bare)
-    return len(bare) - len(literals) > 400 and len(re.findall(r"[A-Za-z_$][\w$]*", literals)) <= 12 and not _CODE.search(literals) and bool(_FRAME_CHARS.match(literals))
+    return len(bare) - len(literals) > BULK_LITERALS and len(re.findall(r"[A-Za-z_$][\w$]*", literals)) <= 12 and not _CODE.search(literals) and bool(_FRAME_CHARS.match(literals))
 
 
 def serial(text: str) -> bool:

@@ -20,6 +20,8 @@ from sedimark.operators.files import file_pieces, map_files
 
 EXTENSIONS = ("ts", "tsx", "js", "jsx", "html", "prisma", "py", "css")
 MAX_DEPTH = 60_000
+#: calls that one nested character takes at most
+FRAMES = 64
 
 
 def extension(source: str) -> str:
@@ -32,8 +34,9 @@ def failure(text: str, ext: str) -> tuple[int, str] | None:
     lang = language(ext)
     if lang is None:
         return None
-    if sys.getrecursionlimit() < MAX_DEPTH:
-        sys.setrecursionlimit(MAX_DEPTH)
+    depth = min(max(MAX_DEPTH, FRAMES * len(text)), 2**31 - 1)  # as deep as any text of this length can nest
+    if sys.getrecursionlimit() < depth:
+        sys.setrecursionlimit(depth)
     try:
         at = lang.check(text)
     except RecursionError:

@@ -110,3 +110,11 @@ def test_table(spark):
     rate = {r.language: (r.files, r.invalid) for r in rates(judge_files(df)).collect()}
     assert rate["ts"] == (3, 2)
     assert judge_files(df.limit(0)).count() == 0
+
+
+def test_deep_nesting_is_no_failure():
+    from sedimark.llm.syntax import failure
+
+    for n in (200, 20_000):
+        assert failure("let x = " + "[" * n + "]" * n + ";\n", "ts") is None
+        assert failure("let x = " + "[" * n + "]" * (n - 1) + ";\n", "ts") is not None
