@@ -49,12 +49,23 @@ def prepared(rules: DataFrame) -> DataFrame:
     return rows.where(~F.col("low").isin(*RESETS) & ~F.col("low").startswith("*"))
 
 
-def _plain(rows: DataFrame) -> DataFrame:
-    return rows.where(~F.col("low").rlike(PSEUDO))
+Check = tuple[Column, Column, str, Column, str]  #: condition, severity, category, message, advice
 
 
-def _issues(rows: DataFrame, severity: Column, category: str, message: Column, advice: str) -> DataFrame:
-    return rows.select(severity.alias("severity"), "file", "start_line", "end_line", "selector", F.lit(category).alias("category"), message.alias("message"), F.lit(advice).alias("recommendation"))
+def _plain() -> Column:
+    return ~F.col("low").rlike(PSEUDO)
+
+
+def _issue(check: Check) -> Column:
+    """A struct where the check hits, else null."""
+    condition, severity, category, message, advice = check
+    return F.when(condition, F.struct(severity.alias("severity"), F.lit(category).alias("category"), message.alias("message"), F.lit(advice).alias("recommendation")))
+
+
+def _issues(rows: DataFrame, *checks: Check) -> DataFrame:
+    """The issues of all checks in one pass over the rules."""
+    found = rows.select("file", "start_line", "end_line", "selector", F.explode(F.filter(F.array(*map(_issue, checks)), lambda x: x.isNotNull())).alias("i"))
+    return found.select("i.severity", "file", "start_line", "end_line", "selector", "i.category", "i.message", "i.recommendation")
 
 
 def ancestors(components: DataFrame, depth: int = 6) -> DataFrame:
@@ -97,59 +108,78 @@ def _why() -> Column:
     return F.when(F.col("by_parent").isNotNull(), F.concat(F.lit(" (held by ."), "by_parent", F.lit(")"))).when(F.col("by_file"), " (held by a container of this file)").otherwise("")
 
 
-def flex_overflow(rows: DataFrame) -> DataFrame:
-    """Flex or grid boxes that cannot shrink below their content."""
+def _flex_overflow() -> Check:
     box = _any(F.col("display"), ("flex", "grid")) | (F.col("flex") != "") | F.col("flex_grow").isin("1", "2", "3") | F.contains("low", F.lit("flex"))
     fixed = F.col("width").endswith("px") & F.col("height").endswith("px")
     stiff = (F.col("flex_shrink") == "0") | F.contains("flex", F.lit("0 0 ")) | (F.col("flex") == "none")
     free = F.col("min_width").isin("0", "0px", "0%", "none") | F.col("min_height").isin("0", "0px", "0%", "none") | _controls("overflow", "overflow_x", "overflow_y")
-    hit = rows.where(box & ~stiff & ~fixed & ~free & _any(F.col("low"), SHRINKING))
     message = F.concat(F.lit("flex box '"), "selector", F.lit("' sets neither min-width: 0 nor overflow: hidden"), _why())
-    return _issues(hit, _softened("CRITICAL"), "Flexbox/Grid Overflow Risk", message, "add min-width: 0 or overflow: hidden")
+    return box & ~stiff & ~fixed & ~free & _any(F.col("low"), SHRINKING), _softened("CRITICAL"), "Flexbox/Grid Overflow Risk", message, "add min-width: 0 or overflow: hidden"
 
 
-def flex_wrap(rows: DataFrame) -> DataFrame:
-    """Horizontal flex boxes of many items that do not wrap."""
+def _flex_wrap() -> Check:
     fixed = F.col("width").endswith("px") & F.col("height").endswith("px")
-    hit = _plain(rows).where(
-        F.contains("display", F.lit("flex")) & ~F.contains("flex_direction", F.lit("column")) & _any(F.col("low"), COLLECTIONS)
-        & ~F.col("flex_wrap").isin("wrap", "wrap-reverse") & ~_controls("overflow", "overflow_x", "overflow_y") & ~fixed
-    )
+    hit = F.contains("display", F.lit("flex")) & ~F.contains("flex_direction", F.lit("column")) & _any(F.col("low"), COLLECTIONS) & ~F.col("flex_wrap").isin("wrap", "wrap-reverse") & ~_controls("overflow", "overflow_x", "overflow_y") & ~fixed
     message = F.concat(F.lit("horizontal flex box '"), "selector", F.lit("' neither wraps nor scrolls"), _why())
-    return _issues(hit, _softened("WARNING"), "Flex Wrap Overflow Risk", message, "add flex-wrap: wrap or overflow-x: auto")
+    return _plain() & hit, _softened("WARNING"), "Flex Wrap Overflow Risk", message, "add flex-wrap: wrap or overflow-x: auto"
 
 
-def breakpoint_width(rows: DataFrame) -> DataFrame:
-    """Widths within a max-width media query that reach its limit."""
+def _breakpoint_width() -> Check:
     number = F.regexp_extract("media", r"(?i)max-width\s*:\s*([\d.]+)\s*(?:px|rem|em)", 1)
     limit = length_px(F.concat(number, F.regexp_extract("media", r"(?i)max-width\s*:\s*[\d.]+\s*(px|rem|em)", 1)))
     columns = F.aggregate(F.regexp_extract_all("grid_template_columns", F.lit(r"([\d.]+)\s*px"), 1), F.lit(0.0), lambda a, x: a + F.coalesce(F.when(x.rlike(r"^\d+(\.\d*)?$|^\.\d+$"), x.cast("double")), F.lit(0.0)))
     width = F.greatest(F.coalesce(length_px(F.col("min_width")), F.lit(0.0)), F.coalesce(length_px(F.col("width")), F.lit(0.0)), columns)
-    hit = _plain(rows).withColumn("_limit", limit).withColumn("_width", width).where("_limit is not null and _width > 0 and _width >= _limit")
-    message = F.concat(F.lit("'"), "selector", F.lit("' asks for "), F.round("_width").cast("long").cast("string"), F.lit("px where the breakpoint allows "), F.round("_limit").cast("long").cast("string"), F.lit("px"))
-    return _issues(hit, F.lit("WARNING"), "Breakpoint Width Overflow", message, "use relative widths within this breakpoint")
+    message = F.concat(F.lit("'"), "selector", F.lit("' asks for "), F.round(width).cast("long").cast("string"), F.lit("px where the breakpoint allows "), F.round(limit).cast("long").cast("string"), F.lit("px"))
+    return _plain() & limit.isNotNull() & (width > 0) & (width >= limit), F.lit("WARNING"), "Breakpoint Width Overflow", message, "use relative widths within this breakpoint"
+
+
+def _text_break() -> Check:
+    broken = F.col("word_break").isin("break-word", "break-all") | F.col("overflow_wrap").isin("break-word", "anywhere") | F.contains("text_overflow", F.lit("ellipsis"))
+    hit = _plain() & _any(F.col("low"), DYNAMIC_TEXT) & ~_any(F.col("low"), COMPACT) & ~broken
+    return hit, F.lit("WARNING"), "Text Break Risk", F.concat(F.lit("text box '"), "selector", F.lit("' has no rule for long words")), "add overflow-wrap: break-word"
+
+
+def _fixed_width() -> Check:
+    digits = F.regexp_replace("width", "[^0-9]", "")
+    hit = _plain() & F.col("width").endswith("px") & (F.col("max_width") == "") & F.when(digits.rlike(r"^\d{1,18}$"), digits.cast("long") > 400).otherwise(F.length(digits) > 18)
+    return hit, F.lit("WARNING"), "Fixed Width Responsive Risk", F.concat(F.lit("'"), "selector", F.lit("' is "), "width", F.lit(" wide at any screen size")), "add max-width: 100%"
+
+
+def _z_index() -> Check:
+    digits = F.regexp_replace("z_index", "[^0-9-]", "")
+    value = F.when(digits.rlike(r"^-?\d{1,18}$"), digits.cast("long"))
+    hit = _plain() & (value >= 100) & (F.col("isolation") != "isolate") & ~F.col("position").isin("relative", "absolute", "fixed", "sticky")
+    return hit, F.lit("INFO"), "Z-Index Stacking Conflict", F.concat(F.lit("'"), "selector", F.lit("' sets z-index "), value.cast("string"), F.lit(" outside a stacking context")), "add isolation: isolate"
+
+
+def flex_overflow(rows: DataFrame) -> DataFrame:
+    """Flex or grid boxes that cannot shrink below their content."""
+    return _issues(rows, _flex_overflow())
+
+
+def flex_wrap(rows: DataFrame) -> DataFrame:
+    """Horizontal flex boxes of many items that do not wrap."""
+    return _issues(rows, _flex_wrap())
+
+
+def breakpoint_width(rows: DataFrame) -> DataFrame:
+    """Widths within a max-width media query that reach its limit."""
+    return _issues(rows, _breakpoint_width())
 
 
 def text_break(rows: DataFrame) -> DataFrame:
     """Boxes of running text without a rule for long words. ``p`` counts as a substring of any selector."""
-    broken = F.col("word_break").isin("break-word", "break-all") | F.col("overflow_wrap").isin("break-word", "anywhere") | F.contains("text_overflow", F.lit("ellipsis"))
-    hit = _plain(rows).where(_any(F.col("low"), DYNAMIC_TEXT) & ~_any(F.col("low"), COMPACT) & ~broken)
-    return _issues(hit, F.lit("WARNING"), "Text Break Risk", F.concat(F.lit("text box '"), "selector", F.lit("' has no rule for long words")), "add overflow-wrap: break-word")
+    return _issues(rows, _text_break())
 
 
 def fixed_width(rows: DataFrame) -> DataFrame:
     """P5: widths over 400 px without a maximum. Digits are read in a row, so 450.5px counts as 4505."""
-    digits = F.regexp_replace("width", "[^0-9]", "")
-    hit = _plain(rows).where(F.col("width").endswith("px") & (F.col("max_width") == "") & F.when(digits.rlike(r"^\d{1,18}$"), digits.cast("long") > 400).otherwise(F.length(digits) > 18))
-    return _issues(hit, F.lit("WARNING"), "Fixed Width Responsive Risk", F.concat(F.lit("'"), "selector", F.lit("' is "), "width", F.lit(" wide at any screen size")), "add max-width: 100%")
+    return _issues(rows, _fixed_width())
 
 
 def z_index(rows: DataFrame) -> DataFrame:
     """A high z-index without a stacking context."""
-    digits = F.regexp_replace("z_index", "[^0-9-]", "")
-    value = F.when(digits.rlike(r"^-?\d{1,18}$"), digits.cast("long"))
-    hit = _plain(rows).withColumn("_z", value).where((F.col("_z") >= 100) & (F.col("isolation") != "isolate") & ~F.col("position").isin("relative", "absolute", "fixed", "sticky"))
-    return _issues(hit, F.lit("INFO"), "Z-Index Stacking Conflict", F.concat(F.lit("'"), "selector", F.lit("' sets z-index "), F.col("_z").cast("string"), F.lit(" outside a stacking context")), "add isolation: isolate")
+    return _issues(rows, _z_index())
 
 
 def audit(rules: DataFrame, parents: DataFrame, severity: str = "ALL", files: str | None = None) -> DataFrame:
@@ -158,7 +188,7 @@ def audit(rules: DataFrame, parents: DataFrame, severity: str = "ALL", files: st
     if files:
         wanted = [x.strip().lower() for x in files.split(",") if x.strip()]
         rows = rows.where(_any(F.lower("file"), tuple(wanted))) if wanted else rows
-    found = reduce(DataFrame.unionByName, (check(rows) for check in (flex_overflow, flex_wrap, breakpoint_width, text_break, fixed_width, z_index)))
+    found = _issues(rows, _flex_overflow(), _flex_wrap(), _breakpoint_width(), _text_break(), _fixed_width(), _z_index())
     if severity.upper() != "ALL":
         found = found.where(F.col("severity") == severity.upper())
     order = F.when(F.col("severity") == "CRITICAL", 0).when(F.col("severity") == "WARNING", 1).otherwise(2)

@@ -84,7 +84,7 @@ def vector_topk(rows: DataFrame, query: list[float], k: int, id: str = "id", vec
     return best.withColumn("rank", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("distance", "id")))
 
 
-def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", block: int = 1024) -> DataFrame:
+def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "id", vector: str = "vector", block: int = 8192) -> DataFrame:
     """The ``k`` nearest rows of each query: ``query_id, id, distance, rank``.
 
     ``queries``: ``query_id, vector``, a stated set that passes through the driver in blocks of ``block`` (their vectors
@@ -103,18 +103,26 @@ def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "id"
 
         def nearest(batches, names=names, matrix=matrix):
             q = matrix.value
+            own = (q * q).sum(axis=1)
+            best = (np.zeros(0, dtype=np.int64), np.zeros(0), [])  # query, distance, id
             for batch in batches:
-                ids = batch.column(0).to_numpy(zero_copy_only=False)
-                vectors = batch.column(1)
-                if not len(ids):
-                    continue
-                m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(ids), -1)
-                dist = np.empty((len(q), len(ids)))
-                for i, one in enumerate(q):
-                    dist[i] = np.round(np.sqrt(((m - one) ** 2).sum(axis=1)), 6)
-                take = min(k, len(ids))
-                out = [(names[i], ids[j].item() if hasattr(ids[j], "item") else ids[j], float(dist[i, j])) for i in range(len(q)) for j in np.lexsort((ids, dist[i]))[:take]]
-                yield pa.RecordBatch.from_pydict({"query_id": [x[0] for x in out], "id": [x[1] for x in out], "distance": [x[2] for x in out]})
+                for at in range(0, batch.num_rows, 500):
+                    part = batch.slice(at, 500)
+                    m = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(part.num_rows, -1)
+                    # squared distances as one matrix product say which rows come into question; those are measured exactly
+                    rough = own[:, None] + (m * m).sum(axis=1)[None, :] - 2.0 * (q @ m.T)
+                    take = min(k, part.num_rows)
+                    least = np.partition(rough, take - 1, axis=1)[:, take - 1]
+                    a, b = np.nonzero(rough <= (least + 1e-4 * (1.0 + np.abs(least)))[:, None])
+                    exact = np.round(np.sqrt(((m[b] - q[a]) ** 2).sum(axis=1)), 6)
+                    ids = part.column(0).take(pa.array(b)).to_pylist()
+                    who, far, what = np.concatenate([best[0], a]), np.concatenate([best[1], exact]), [*best[2], *ids]
+                    order = sorted(range(len(who)), key=lambda i: (who[i], far[i], what[i])) if what and isinstance(what[0], str) else np.lexsort((np.array(what), far, who))
+                    who, far, what = who[order], far[order], [what[i] for i in order]
+                    first = np.searchsorted(who, who)
+                    keep = np.flatnonzero(np.arange(len(who)) - first < k)
+                    best = (who[keep], far[keep], [what[i] for i in keep])
+            yield pa.RecordBatch.from_pydict({"query_id": [names[i] for i in best[0]], "id": best[2], "distance": best[1]})
 
         kinds = f"query_id {queries.schema['query_id'].dataType.simpleString()}, id {rows.schema[id].dataType.simpleString()}, distance double"
         dim = len(some[0][1])

@@ -113,6 +113,24 @@ class VersionedTable:
             parts.append(part)
         return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts) if parts else None
 
+    def get(self, ids: list | None = None, where=None, columns: list[str] | None = None, limit: int | None = None) -> DataFrame | None:
+        """Some rows by key or condition, with some columns (A14); None where the table has no data."""
+        rows = self.read()
+        if rows is None:
+            return None
+        rows = rows.where(F.col(self.key).isin(*ids)) if ids is not None else rows
+        rows = rows.where(where) if where is not None else rows
+        rows = rows.select(*columns) if columns else rows
+        return rows.limit(limit) if limit is not None else rows
+
+    def count(self) -> int:
+        rows = self.read()
+        return 0 if rows is None else rows.count()
+
+    def drop(self) -> None:
+        """Delete the table with all its versions."""
+        self._fs.delete(self._path(self.root), True)
+
     def _data(self, folder: str) -> DataFrame | None:
         """A data folder; None where a table in folders by value got no row."""
         path = f"{self.root}/{folder}"
@@ -265,3 +283,13 @@ def pending_files(chunks: DataFrame, file_state: DataFrame, runs: DataFrame) ->
     table.commit(manifest_of_runs(file_state, runs).select("path", "digest"), append=True)
     table.commit(manifest_of_chunks(chunks).where("not deleted").select("path", "digest"), append=True, rebuild=True)
     return table.changes(1, 2).where("_change = 'upsert'").select("path")
+
+
+def tables(spark: SparkSession, folder: str) -> list[str]:
+    """The names of the versioned tables under a folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    fs = place.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(place):
+        return []
+    inner = [s.getPath() for s in fs.listStatus(place) if s.isDirectory()]
+    return sorted(p.getName() for p in inner if fs.exists(spark._jvm.org.apache.hadoop.fs.Path(p, "manifests")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 import os
 from collections.abc import Callable
 
@@ -16,6 +17,9 @@ from sedimark.sources import files as sources
 from sedimark.sources.versions import VersionedTable
 
 
+log = logging.getLogger(__name__)
+
+
 class NoRoot(ValueError):
     """No folder of the repository marks a project root."""
 
@@ -86,7 +90,11 @@ def ingest(spark: SparkSession, root: str, index: Index, force: bool = False, pr
     rebuilds. The file state is committed last: a run that dies before it is repeated whole, and since chunks are
     replaced by source, the repetition changes nothing twice.
     """
-    say = progress or (lambda _: None)
+    def say(message: str) -> None:
+        log.info(message)
+        if progress:
+            progress(message)
+
     ok, reason = index.check()
     rebuild = force or (not ok and reason != "missing")
     files = scan(spark, root, index.settings).cache()

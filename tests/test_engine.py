@@ -135,3 +135,20 @@ def test_stream_is_exactly_once(spark, tmp_path):
     version = index.chunks.version()
     run()
     assert index.chunks.version() == version
+
+
+def test_a_stream_keeps_edges_and_state(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    index = Index(spark, str(tmp_path / "index"), Settings(dimensions=4))
+    files = lambda: spark.readStream.schema("source string, scope string, content string").json(str(tmp_path / "in"))
+
+    def feed(name, *rows):
+        (tmp_path / "in" / name).write_text("".join(json.dumps(dict(zip(("source", "scope", "content"), r))) + "\n" for r in rows))
+        ingest_stream(files(), index, str(tmp_path / "checkpoint")).awaitTermination()
+
+    feed("1.json", ("a.ts", "s", "import { x } from './b';\nexport const a = x;\n"), ("c.ts", "s", "export const c = 1;\n"))
+    assert {(r.source_file, r.target_symbol) for r in index.edges.read().collect()} == {("a.ts", "./b")} and index.exists() and index.check() == (True, "ok")
+    feed("2.json", ("a.ts", "s", "import { y } from './d';\nexport const a = y;\n"))
+    assert {(r.source_file, r.target_symbol) for r in index.edges.read().collect()} == {("a.ts", "./d")}
+    assert {r.rel_path for r in index.state.read().collect()} == {"a.ts", "c.ts"}
+    assert index.chunks.read().where("source = 'a.ts'").count() == 1 and index.postings.read().where("term = 'y'").count() == 1 and index.postings.read().where("term = 'x'").count() == 0

@@ -12,8 +12,6 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(DATA), reason="the driver's ta
 SPEC = importlib.util.spec_from_file_location("entry", Path(__file__).resolve().parent.parent / "__spark_entry__.py")
 ENTRY = importlib.util.module_from_spec(SPEC)
 SPEC.loader.exec_module(ENTRY)
-#: the iterative searches are tested in their own files
-SLOW = {"p7_degree", "p9_shares", "p3_kinds", "p10_kept"}
 
 
 def canonical(rows, names):
@@ -35,7 +33,7 @@ def duck():
     return con
 
 
-@pytest.mark.parametrize("name", sorted(set(ENTRY.queries()) - SLOW))
+@pytest.mark.parametrize("name", sorted(ENTRY.queries()))
 def test_query(spark, duck, name):
     df = ENTRY.queries()[name](spark, DATA)
     rows = [tuple(r) for r in df.collect()]
