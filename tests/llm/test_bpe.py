@@ -33,3 +33,12 @@ def test_table(spark):
     one = PUBLIC.encode_ordinary("one two")
     assert [(r[0], r[2], r[3]) for r in got] == [(1, one, 2), (1, one, 2), (2, [], 0), (3, [], 0)]
     assert encode_table(rows.limit(0)).count() == 0
+
+
+def test_tables_decode_to_their_texts(spark):
+    from sedimark.llm.bpe import decode_table, encode_table
+
+    texts = ["plain words", "", None, "é🙂\r\n\tx  y", "a" * 500, "x\x00y"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in decode_table(encode_table(rows), keep=("doc_id",)).collect()}
+    assert got == {i: t or "" for i, t in enumerate(texts)}

@@ -1,6 +1,6 @@
 import numpy as np
 
-from sedimark.llm.neighbours import most_similar, similar_pairs
+from sedimark.llm.neighbours import Forest, most_similar, search_similar, similar_pairs
 
 
 def brute(vectors: dict[int, np.ndarray], k: int) -> dict[int, list[tuple[float, int]]]:
@@ -48,3 +48,39 @@ def test_pairs_and_small_tables(spark):
     assert pairs == {(1, 2)}
     assert most_similar(table(spark, {1: np.array([1.0, 0.0])}), dim=2).count() == 0
     assert most_similar(table(spark, vectors).limit(0), dim=2).count() == 0
+
+
+def test_greedy_search_against_brute_force(spark):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((8, 12))
+    vectors = {i: (centres[i % 8] + 0.4 * rng.standard_normal(12)).astype(np.float32).astype(np.float64) for i in range(400)}
+    vectors[401] = vectors[0] * 2  # the same direction
+    asked = {i: vectors[i] for i in range(0, 400, 20)} | {5000: centres[3].astype(np.float32).astype(np.float64)}  # one that is not in the table
+    queries = table(spark, asked, [(6000, [0.0] * 12, "unusable", 0), (None, [1.0] * 12, "no key", 0)])
+    got: dict[int, list] = {}
+    for r in search_similar(table(spark, vectors), queries, dim=12, k=10).orderBy("query", "rank").collect():
+        got.setdefault(r["query"], []).append(r["neighbour"])
+    assert set(got) == set(asked) and all(len(x) == 10 for x in got.values()) and got[0][:2] == [0, 401]
+    ids = sorted(vectors)
+    m = np.stack([vectors[i] / np.linalg.norm(vectors[i]) for i in ids])
+    hits = 0
+    for q, v in asked.items():
+        s = np.round(m @ (v / np.linalg.norm(v)), 6)
+        hits += len(set(got[q]) & {ids[j] for j in np.lexsort((np.array(ids), -s))[:10]})
+    assert hits >= 0.9 * 10 * len(asked)
+    assert search_similar(table(spark, vectors), queries.limit(0), dim=12).count() == 0
+    assert search_similar(table(spark, vectors).limit(0), queries, dim=12).count() == 0
+
+
+def test_leaves_stay_small_where_the_sample_is(spark):
+    """A forest fitted on few vectors cuts on by random directions, so leaves do not grow with the table."""
+    rng = np.random.default_rng(3)
+    unit = rng.standard_normal((4000, 16))
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    forest = Forest(unit[:200], 4000, 2, 50, 1)
+    assert forest.extra > 0
+    for row in forest.leaves(unit):
+        assert np.bincount(row).max() <= 8 * 50 and row.min() >= 0
+    blocks = forest.leaves(unit, 1)[0] >> forest.shift(4000, 500)
+    assert 4 <= len(np.unique(blocks)) <= 16 and Forest(unit[:0], 0, 2, 50, 1).leaves(unit[:0]).shape == (2, 0)
+    assert (Forest(unit[:300], 300, 1, 1000, 1).leaves(unit[:300], 1)[0] == 0).all()
