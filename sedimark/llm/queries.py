@@ -127,13 +127,13 @@ def p9_shares(spark, d):
     select source, case when texts then round(share / sum(case when texts then share else 0 end) over (), 9) else 0 end as target_share, true as reached, true as capped from held"""
 )
 def p9_reached(spark, d):
-    """Whether each source that has texts reached its share within two blocks in a thousand, used no more often than allowed."""
+    """Whether each source that has texts reached its share, within four blocks and two thousandths of the mix, and its caps hold."""
     mixed, report = mix(table(spark, d, "documents"), table(spark, d, "mix_targets"))
     live = F.when(F.col("source_tokens") > 0, F.col("target_share")).otherwise(0.0)
     rows = report.withColumn("want", F.round(live / F.sum(live).over(Window.partitionBy(F.lit(0))), 9))  # one row per listed source
     used = mixed.groupBy("source", "block").agg(F.count(F.lit(1)).alias("times")).groupBy("source").agg(F.max("times").alias("most"))
     rows = rows.join(used, "source", "left")
-    near = F.abs(F.col("actual_share") - F.col("want")) <= 0.002 + 128.0 / F.sum("mix_tokens").over(Window.partitionBy(F.lit(0)))
+    near = F.abs(F.col("actual_share") - F.col("want")) <= 0.002 + 256.0 / F.sum("mix_tokens").over(Window.partitionBy(F.lit(0)))
     return rows.select("source", F.col("want").alias("target_share"), near.alias("reached"), (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("capped"))
 
 
