@@ -106,6 +106,7 @@ def xml_escape(text: Column) -> Column:
 
 def compress_code(text: Column, suffix: Column) -> Column:
     """Without whole-line comments (tool directives stay), trailing blanks and repeated blank lines."""
+    # fixed values below: suffixes, comment marks and the directives that stay
     script = suffix.isin(".ts", ".js", ".tsx", ".prisma")
     around = lambda t, a, b: t.startswith(a) & t.endswith(b)
     gone = lambda t: (
@@ -124,6 +125,7 @@ def compress_code(text: Column, suffix: Column) -> Column:
 def truncate_safe(text: Column, limit: int) -> Column:
     """At most ``limit`` characters, cut behind the last closing tag of a block, with a marker."""
     head = F.substring(text, 1, limit)
+    # fixed values: the tags that close a block
     ends = [F.when(F.contains(head, F.lit(tag)), limit - F.locate(tag[::-1], F.reverse(head)) + 2) for tag in ("</file>", "</imported_file>", "</related_model>")]
     cut = F.coalesce(F.array_max(F.array(*ends)), F.lit(limit + 1)) - 1
     return F.when(F.length(text) <= limit, text).otherwise(F.concat(F.substring(text, F.lit(1), cut), F.lit("\n[TRUNCATED]")))

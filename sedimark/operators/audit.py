@@ -73,6 +73,7 @@ def ancestors(components: DataFrame, depth: int = 6) -> DataFrame:
 
     Row by row with array functions, so a file is never shuffled.
     """
+    # fixed value: what counts as a class attribute
     values = F.regexp_extract_all("content", F.lit(r"(?:className|class)\s*=\s*[\"'`]?([^\"'`>]+)[\"'`]?"), 1)
     sets = F.filter(F.transform(values, lambda v: F.array_distinct(F.regexp_extract_all(v, F.lit(r"\b[a-zA-Z_][a-zA-Z0-9_-]*\b"), 0))), lambda s: F.size(s) > 0)
     rows = components.select(sets.alias("s"))

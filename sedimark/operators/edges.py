@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sedimark.functions.scripts import PRISMA_TYPES
 from sedimark.operators.orphans import _inside
 from sedimark.operators.packed import split_fields
 
-# fixed values: type names that are no models
-PRISMA_TYPES = ("String", "Int", "Boolean", "DateTime", "Json", "Decimal", "Float", "Bytes", "Unsupported")
-
 
 def extract(chunks: DataFrame) -> DataFrame:
     """``id, source_file, target_symbol, relationship_type`` of the packed imports and dependencies, each once."""

@@ -51,15 +51,17 @@ def fuse(hits: DataFrame, rank: str = "rank", keep_order: bool = True) -> DataFr
     blocks = islands(last_writer(numbered, "source", rank), "source")
     if not keep_order:
         return blocks
-    best = hits.groupBy("source").agg(F.min(rank).alias("file_rank"))
-    return blocks.join(best, "source")
+    best = hits.groupBy(F.col("source").alias("_s")).agg(F.min(rank).alias("file_rank"))
+    return blocks.join(best, F.col("source").eqNullSafe(F.col("_s"))).drop("_s")
 
 
 def within_budget(df: DataFrame, order: str, size: str, budget: int, partition: str | None = None) -> DataFrame:
     """The rows before the first that does not fit into the running budget (G4); none after it, however small.
 
-    What exceeds the budget within its own task exceeds it in all, so every task drops it before the shuffle, and a
-    partition that holds a tenth of all rows sends no more than a budget's worth per task. Rows should be narrow.
+    What comes after the first row that exceeds the budget within its own task exceeds it in all, so every task drops it
+    before the shuffle, and a partition that holds a tenth of all rows sends little more than a budget's worth per task.
+    That first row stays, so that the rows after it in other tasks are counted right. Rows should be narrow; sizes are
+    not negative; null ones count as 0.
     """
     keys = [partition] if partition else []
 
@@ -75,15 +77,15 @@ def within_budget(df: DataFrame, order: str, size: str, budget: int, partition:
             for a, b in zip(begins, [*begins[1:], batch.num_rows]):
                 if partition and (names[a],) != current:
                     current, total = (names[a],), 0
-                sums = total + np.cumsum(np.nan_to_num(sizes[a:b].astype(np.float64)))
-                kept[a:b] = sums <= budget
+                sums = total + np.concatenate([[0], np.cumsum(np.nan_to_num(sizes[a:b].astype(np.float64)))])
+                kept[a:b] = sums[:-1] <= budget
                 total = sums[-1]
             yield batch.filter(pa.array(kept))
 
     few = df.sortWithinPartitions(*keys, order).mapInArrow(early, df.schema)
     w = (Window.partitionBy(partition) if partition else Window.partitionBy(F.lit(0))).orderBy(order)
     total = F.sum(size).over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return few.withColumn("_total", total).where(F.col("_total") <= budget).drop("_total")
+    return few.withColumn("_total", F.coalesce(total, F.lit(0))).where(F.col("_total") <= budget).drop("_total")
 
 
 def reassemble(chunks: DataFrame, source: str = "source") -> DataFrame:

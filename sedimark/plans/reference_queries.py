@@ -296,7 +296,7 @@ _RETRIEVED = f"""{_FUSED},
   n as (select source, start_line + i - 1 as line_no, l[i] as line, rank from (select *, unnest(range(1, len(l) + 1)) as i from p)),
   w as (select source, line_no, arg_max(line, rank) as line from n group by source, line_no),
   g as (select *, line_no - row_number() over (partition by source order by line_no) as island from w), o as (select source, min(rank) as file_rank from best group by source)
-  select source, min(line_no)::int as start_line, max(line_no)::int as end_line, string_agg(line, chr(10) order by line_no) as content, any_value(file_rank)::int as file_rank from g join o using (source) group by source, island"""
+  select g.source as source, min(line_no)::int as start_line, max(line_no)::int as end_line, string_agg(line, chr(10) order by line_no) as content, any_value(file_rank)::int as file_rank from g join o on g.source is not distinct from o.source group by g.source, island"""
 
 
 def _fused(spark, d):

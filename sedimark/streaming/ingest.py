@@ -83,6 +83,10 @@ def indexed(chunks: DataFrame, settings: Settings = DEFAULTS, embedder: Callable
     return text_index.lengths(search.embed(chunks, model=embedder, dim=settings.dimensions))
 
 
+def _either(a: DataFrame, b: DataFrame | None) -> DataFrame:
+    return a if b is None else a.unionByName(b)
+
+
 def ingest(spark: SparkSession, root: str, index: Index, force: bool = False, progress: Callable[[str], None] | None = None, embedder: Callable | None = None) -> dict[str, int]:
     """Bring the index up to date with the repository; returns the counters.
 
@@ -120,7 +124,8 @@ def ingest(spark: SparkSession, root: str, index: Index, force: bool = False, pr
         changed = sum(counts.get(c, 0) for c in (ADDED, CHANGED, REMOVED))
         if changed or rebuild or not index.exists():
             gone = stored.join(touched, "source", "left_semi").select("id") if stored is not None else None
-            index.postings.commit(text_index.postings(made, keep=("scope",)), gone, append=True, rebuild=rebuild)
+            # those of a run that died after this commit go too
+            index.postings.commit(text_index.postings(made, keep=("scope",)), _either(made.select("id"), gone), append=True, rebuild=rebuild)
             index.chunks.commit(made, gone, rebuild=rebuild)
             say("chunks committed")
             known = None if rebuild else index.edges.read()
@@ -167,9 +172,9 @@ def ingest_stream(files: DataFrame, index: Index, checkpoint: str, once: bool =
         latest = batch.groupBy("source").agg(last.alias("f")).select("source", "f.scope", "f.content").persist()
         made = indexed(chunk_files(latest, index.settings), index.settings, embedder).persist()
         if not done(index.postings):
-            stored = index.chunks.read(index.chunks.manifest()["version"] - 1 if done(index.chunks) else None)
+            stored = index.chunks.read()  # postings are written before chunks
             gone = stored.join(latest.select("source"), "source", "left_semi").select("id") if stored is not None else None
-            index.postings.commit(text_index.postings(made, keep=("scope",)), gone, append=True, processed=mark)
+            index.postings.commit(text_index.postings(made, keep=("scope",)), _either(made.select("id"), gone), append=True, processed=mark)
         if not done(index.chunks):
             stored = index.chunks.read()
             gone = stored.join(latest.select("source"), "source", "left_semi").select("id") if stored is not None else None
