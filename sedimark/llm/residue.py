@@ -11,6 +11,9 @@
   others are prose. So prose forgets the residue that the documents hold, and the residue models learn the collection's
   phrasing. Each distinct window of the collection is sorted once; prose counts it as often as it occurs, the residue
   models once. Counts are whole numbers, added up per task and then as a tree: they do not depend on how rows are dealt.
+  Prose weighs its counts to a fixed worth, and the residue models those of each context, so they depend on how often
+  something occurs in proportion and not on how large the collection is. Unbroken runs, which no model judges, are not
+  counted.
 * *Windows.* A text's running part (no fenced code, no inline code) is cut into sentences and lines. A window is residue
   where its log likelihood ratio against prose exceeds ``evidence`` nats, prose where it is below the negative; what
   lies between (headings, menus) is neutral.
@@ -46,6 +49,12 @@ _BEGIN = "\x02" * (GAP + 1)
 _END = "\x03" + _BEGIN
 #: weight of the lower order in prose, and in the residue models
 PROSE_MASS, CLASS_MASS = 4.0, 2.0
+#: the counts of prose weigh as so many characters at most; all documents are counted, but with weights that grew with
+#: the collection, prose would learn each phrase of residue by heart
+PROSE_WORTH = 1e6
+#: what documents tell of a residue model's context weighs as so many characters at most, so that the commonest kind of
+#: residue does not drown the seeds, which come on top
+CONTEXT_WORTH = 200.0
 #: a longer run of characters without white space is no word but data, which counts as content
 LONGEST_WORD = 120
 #: a seed phrase weighs as so many windows
@@ -126,6 +135,10 @@ def _cut(text: str) -> list[str]:
     return [w for w in map(str.strip, _CUT.split(text)) if w]
 
 
+def _is_data(window: str) -> bool:
+    return len(window) > LONGEST_WORD and " " not in window
+
+
 def _plain(window: str) -> str:
     """With one digit and one blank."""
     return " ".join(_DIGIT.sub("0", window).split())
@@ -136,11 +149,12 @@ def windows(text: str) -> list[str]:
 
 
 def _tally(texts: list[str | None]) -> Counter:
-    """How often each window occurs in the texts."""
+    """How often each window occurs in the texts. Data are left out: no model judges them, and their n-grams never end."""
     raw = Counter(w for t in texts if t for w in _cut(running(t)))
     out: Counter = Counter()
     for w, n in raw.items():
-        out[_plain(w)] += n
+        if not _is_data(plain := _plain(w)):
+            out[plain] += n
     return out
 
 
@@ -196,14 +210,19 @@ class Models:
     """Log likelihood ratios of windows under the residue models against prose."""
 
     def __init__(self, counts: np.ndarray) -> None:
-        """``counts``: whole numbers by class, order and bucket."""
+        """``counts``: whole numbers by class, order and bucket, of the windows of documents; the seeds are added."""
         self.counts = counts
-        self.logs = np.ascontiguousarray(np.moveaxis(counts, 0, 2), dtype=np.float32)  # order, bucket, class
-        self.total = counts[:, 0].sum(axis=1).astype(np.float32)
+        weighed = np.zeros((ORDERS, BUCKETS, 2 * len(NAMES) - 1), dtype=np.float32)  # the classes, and the seeds of all but prose
+        weighed[:, :, : len(NAMES)] = np.moveaxis(counts, 0, 2)
+        weighed[:, :, PROSE] = counts[PROSE] * min(1.0, PROSE_WORTH / max(int(counts[PROSE, 0].sum()), 1))
+        for kind, ws in _SEEDS.items():
+            weighed[:, :, len(NAMES) - 1 + kind] = SEED_WEIGHT * count(ws)
+        self.logs = weighed  # order, bucket, class
+        self.total = weighed[0].sum(axis=0, dtype=np.float64).astype(np.float32)
 
     def _chars(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """Per part the ratios of every character under filler, notice and about, and the start and length of each text."""
-        lower, upper = np.float32(CLASS_MASS), np.float32(PROSE_MASS)
+        lower, upper, worth = np.float32(CLASS_MASS), np.float32(PROSE_MASS), np.float32(CONTEXT_WORTH)
         for a, b in _parts(texts):
             codes, starts, n = _lay(texts[a:b])
             prose = np.full(len(codes), 1 / 65536, dtype=np.float32)
@@ -211,10 +230,14 @@ class Models:
             before = None
             for order, buckets in enumerate(_hashes(codes)):
                 own = self.logs[order].take(buckets, axis=0)
-                context = np.broadcast_to(self.total, own.shape) if before is None else np.concatenate([np.zeros((1, len(NAMES)), np.float32), before[:-1]])
+                context = np.broadcast_to(self.total, own.shape) if before is None else np.concatenate([np.zeros((1, own.shape[1]), np.float32), before[:-1]])
+                np.minimum(own, context, out=own)  # only buckets that n-grams share exceed their context
                 prose = (own[:, PROSE] + upper * prose) / (context[:, PROSE] + upper)
-                steps.append((own[:, 1:], context[:, 1:]))
+                known = context[:, 1 : len(NAMES)]
+                share = own[:, 1 : len(NAMES)] * (worth / np.maximum(known, worth))
+                steps.append((share + own[:, len(NAMES) :], np.minimum(known, worth) + context[:, len(NAMES) :]))
                 before = own
+            np.maximum(prose, np.float32(1e-20), out=prose)  # no ratio depends on it, and no product of what follows is zero
             p = np.repeat(prose[:, None], len(NAMES) - 1, axis=1)
             for own, context in steps:
                 p *= lower
@@ -280,21 +303,13 @@ def counted(flat: list[str], times: np.ndarray, models: Models | None) -> np.nda
     return out
 
 
-def fitted(counts: np.ndarray) -> Models:
-    """Models of the counts of the windows and the seeds."""
-    counts = counts.copy()
-    for kind, ws in _SEEDS.items():
-        counts[kind] += SEED_WEIGHT * count(ws)
-    return Models(counts)
-
-
 def train(texts: list[str | None], rounds: int = 3) -> Models:
     """Models from the seeds and some whole texts (:func:`train_table` on one machine)."""
     found = _tally(texts)
     flat, times = list(found), np.array(list(found.values()), dtype=np.int64)
     models = None
     for _ in range(rounds + 1):
-        models = fitted(counted(flat, times, models))
+        models = Models(counted(flat, times, models))
     return models
 
 
@@ -326,7 +341,7 @@ def train_table(rows: DataFrame, text: str = "_text", rounds: int = 3) -> Models
         parts = each.mapInArrow(dealt, "counts binary")
         for width in (16, 1):  # as a tree, so that one sum arrives at the driver
             parts = parts.repartition(width).mapInArrow(_sum, "counts binary")
-        models = fitted(_unpacked(parts.first()[0]))
+        models = Models(_unpacked(parts.first()[0]))
         shared.destroy()
     drop_table(each)
     return models
@@ -407,7 +422,7 @@ def judge(texts: list[str | None], models: Models, coverage: float = 0.5, eviden
     size = np.array([len(w) + 1 for w in distinct], dtype=np.float64)
     worst = own[:, [FILLER - 1, NOTICE - 1]].max(axis=1) if len(own) else np.zeros(0)
     about = own[:, ABOUT - 1] if len(own) else np.zeros(0)
-    data = np.array([len(w) > LONGEST_WORD and " " not in w for w in distinct], dtype=bool)
+    data = np.array([_is_data(w) for w in distinct], dtype=bool)
     bad = (worst > about) & (worst * size > evidence) & ~data
     prose = data | (np.minimum(worst, np.where(about > worst, -about, worst)) * size < -evidence)
     n_places = np.array([len(places(w)) for w in distinct], dtype=np.int64)
