@@ -3,12 +3,12 @@
 from __future__ import annotations
 
 import hashlib
-import random
 from collections.abc import Callable, Iterator
 from itertools import islice
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -40,8 +40,17 @@ def check_k(k: int) -> int:
 
 def mock_embedding(text: str, dim: int = DEFAULTS.dimensions) -> list[float]:
     """Deterministic stand-in vector: a Mersenne stream seeded with the text's SHA-256, uniform in -1..1."""
-    stream = random.Random(hashlib.sha256(text.encode()).hexdigest())
-    return [stream.uniform(-1.0, 1.0) for _ in range(dim)]
+    return mock_vectors([text], dim)[0].tolist()
+
+
+def mock_vectors(texts: list[str], dim: int = DEFAULTS.dimensions, kind: type = np.float64) -> np.ndarray:
+    """The stand-in vectors of ``texts``: the numbers of ``random.Random(SHA-256 in hex).uniform(-1.0, 1.0)``, drawn a row at a time."""
+    out, stream = np.empty((len(texts), dim), dtype=kind), np.random.RandomState()
+    for row, text in zip(out, texts, strict=True):
+        name = hashlib.sha256(text.encode()).hexdigest().encode()
+        stream.seed(np.frombuffer((name + hashlib.sha512(name).digest())[::-1], dtype="<u4"))  # as random.Random seeds itself with a string
+        row[:] = 2.0 * stream.random_sample(dim) - 1.0
+    return out
 
 
 def embed(df: DataFrame, text: str = "text", out: str = "vector", model: Callable[[list[str]], list[list[float]]] | None = None, dim: int = DEFAULTS.dimensions) -> DataFrame:
@@ -52,9 +61,16 @@ def embed(df: DataFrame, text: str = "text", out: str = "vector", model: Callabl
         for texts in batches:
             values = [t or "" for t in texts]
             for some in (values[at : at + EMBED_ROWS] for at in range(0, len(values), EMBED_ROWS)):
-                yield pd.Series(model(some) if model else [np.array(mock_embedding(t, dim), dtype=np.float32) for t in some])
+                yield pd.Series(model(some))
 
-    return df.withColumn(out, vectors(F.col(text)))
+    @F.arrow_udf("array<float>")
+    def stand_ins(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for texts in batches:
+            for some in (texts[at : at + EMBED_ROWS] for at in range(0, len(texts), EMBED_ROWS)):
+                numbers = mock_vectors([t or "" for t in some.to_pylist()], dim, np.float32)
+                yield pa.ListArray.from_arrays(np.arange(len(some) + 1, dtype=np.int32) * dim, numbers.ravel())
+
+    return df.withColumn(out, (vectors if model else stand_ins)(F.col(text)))
 
 
 def matches(**equal: str | None) -> Column:
@@ -92,8 +108,6 @@ def vector_topk_many(rows: DataFrame, queries: DataFrame, k: int, id: str = "id"
     merges those.
     """
     check_k(k)
-    import pyarrow as pa
-
     spark = rows.sparkSession
     asked = queries.select("query_id", "vector").orderBy("query_id").toLocalIterator()
     parts = []
